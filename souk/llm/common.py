@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.fromiter((0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()), np.int64, batch.num_rows)
+        sizes = np.fromiter((0 if x is None else x for x in pc.binary_length(column).to_pylist()), np.int64, batch.num_rows)
         start, total = 0, 0
         for i, n in enumerate(sizes.tolist()):
             if total and total + n > most:

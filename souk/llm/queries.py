@@ -6,16 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.llm import op05_mixing
+from souk.llm import op02_quality, op05_mixing, op06_decontaminate, op08_tokens, op09_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed file of a public tokenizer is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return op02_quality.score(docs, op02_quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_mixing": op5_mixing}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op06_decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op09_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *op09_rules.COUNTS, "base_failed", "boilerplate_words", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op5_mixing": op5_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op8_tokens": op8_tokens,
+    "op9_rules": op9_rules,
+}
 ORACLES: dict[str, str] = {"op5_mixing": op05_mixing.oracle()}
