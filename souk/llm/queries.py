@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.llm import op02_quality, op05_mixing, op06_decontaminate, op08_tokens, op09_rules
+from souk.llm import op02_quality, op04_simhash, op05_mixing, op06_decontaminate, op08_tokens, op09_rules
+from souk.llm import op10_substrings as op10_substrings_operator
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_quality.score(docs, op02_quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,11 +48,18 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *op09_rules.COUNTS, "base_failed", "boilerplate_words", "kept")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op10_substrings_operator.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op8_tokens": op8_tokens,
     "op9_rules": op9_rules,
+    "op10_substrings": op10_substrings,
 }
 ORACLES: dict[str, str] = {"op5_mixing": op05_mixing.oracle()}
