@@ -69,19 +69,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def pack_gaps(positions: np.ndarray) -> bytes:
-    """Ascending integers as gaps in the narrowest width that few of them overflow."""
+    """Integers as gaps, in the narrowest width that few of them overflow: small for ascending ones."""
     gaps = np.diff(positions, prepend=0).astype(np.int64)
     if not gaps.size:
         return b""
     best = None
     for code, kind in ((1, np.uint8), (2, np.uint16)):
         top = np.iinfo(kind).max
-        over = np.flatnonzero(gaps >= top)
+        over = np.flatnonzero((gaps >= top) | (gaps < 0))
         size = gaps.size * code + 8 * over.size
         if best is None or size < best[0]:
             best = (size, code, kind, top, over)
     _, code, kind, top, over = best
-    small = np.minimum(gaps, top).astype(kind)
+    small = np.where(gaps < 0, top, np.minimum(gaps, top)).astype(kind)
     return bytes([code]) + np.int64(over.size).tobytes() + gaps[over].tobytes() + small.tobytes()
 
 

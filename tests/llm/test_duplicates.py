@@ -10,7 +10,8 @@ import pandas as pd
 import pytest
 import xxhash
 
-from souk.llm import components, op04_simhash, op10_substrings
+from souk.llm import components, op03_suffix_dedup, op04_simhash, op10_substrings
+from souk.llm.suffix import SENTINEL, shared_prefix_groups
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -130,6 +131,48 @@ def test_window_hashes_are_equal_only_for_equal_windows():
     assert len(seen) == 81
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_shared_prefix_groups(seed):
+    r = random.Random(seed)
+    letters, least = r.choice(["ab", "abc", "abcdefgh"]), r.choice([3, 8, 20, 50])
+    base = "".join(r.choice(letters) for _ in range(200))
+    parts = []
+    for _ in range(r.randint(1, 12)):
+        a = r.randrange(150)
+        parts.append(base[a : a + r.randint(1, 50)] + "".join(r.choice(letters) for _ in range(r.randint(0, 30))) if r.random() < 0.8 else "ab" * r.randint(1, 60))
+    text = b"".join(p.encode() + bytes([SENTINEL]) for p in parts)
+    where = {}
+    for i in range(len(text) - least + 1):
+        if SENTINEL not in text[i : i + least]:
+            where.setdefault(text[i : i + least], []).append(i)
+    got = {}
+    for p, g in zip(*(x.tolist() for x in shared_prefix_groups(np.frombuffer(text, np.uint8), least)), strict=True):
+        got.setdefault(g, []).append(p)
+    assert {tuple(sorted(x)) for x in got.values()} == {tuple(x) for x in where.values() if len(x) > 1}
+
+
+def test_suffix_dedup(spark, docs):
+    pieces = [(100, "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt"), (101, "xx Lorem ipsum dolor sit amet, consectetur adipiscing eliT"), (102, "ab" * 300), (103, "zz" + "ab" * 40 + "q"), (104, "é" * 24 + "ab"), (105, "é" * 26)]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(pieces, "doc_id long, text string"))
+    all_rows = frame.collect()
+    first = {}
+    data = [((r["text"] or "").encode(), r["doc_id"]) for r in all_rows]
+    for b, d in data:
+        for i in range(len(b) - 49 if d is not None else 0):
+            first[b[i : i + 50]] = min(first.get(b[i : i + 50], d), d)
+    expected = []
+    for b, d in data:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49 if d is not None else 0):
+            if first[b[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        expected.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    got = op03_suffix_dedup.remove_repeats(frame)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
+
+
 def test_empty_tables(empty_docs):
     assert op04_simhash.near_duplicates(empty_docs).count() == 0
     assert op10_substrings.remove_repeats(empty_docs).count() == 0
+    assert op03_suffix_dedup.remove_repeats(empty_docs).count() == 0
