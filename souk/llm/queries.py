@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.llm import op02_quality, op03_suffix_dedup, op04_simhash, op05_mixing, op06_decontaminate, op08_tokens, op09_rules
+from souk.llm import op01_chat, op02_quality, op03_suffix_dedup, op04_simhash, op05_mixing, op06_decontaminate, op07_lines, op08_tokens, op09_rules
 from souk.llm import op10_substrings as op10_substrings_operator
 
 
@@ -21,6 +21,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return op02_quality.score(docs, op02_quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -44,6 +48,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_lines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -59,13 +67,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_lines": op7_lines,
     "op8_tokens": op8_tokens,
     "op9_rules": op9_rules,
     "op10_substrings": op10_substrings,
 }
-ORACLES: dict[str, str] = {"op5_mixing": op05_mixing.oracle()}
+ORACLES: dict[str, str] = {"op1_chat": op01_chat.oracle(), "op5_mixing": op05_mixing.oracle(), "op7_lines": op07_lines.oracle()}
