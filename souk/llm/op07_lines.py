@@ -94,6 +94,12 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.mapInArrow(run, schema)
 
 
+def keep_cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """The rows of docs with cleaned texts and the same columns; rows that had lines and lost all of them go."""
+    cleaned = clean_lines(docs, id_col, text_col, site_col, min_sites)
+    return cleaned.where((F.col("_n_lines") == 0) | (F.col("_n_removed") < F.col("_n_lines"))).drop("_n_lines", "_n_removed")
+
+
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_md5) for every row; kept_md5 of the cleaned text (null: of the empty one)."""
     cleaned = clean_lines(docs.select(id_col, text_col, site_col), id_col, text_col, site_col, min_sites)
