@@ -57,7 +57,7 @@ def daily_demand(sales: DataFrame) -> DataFrame:
     rate = F.try_divide(F.sum(F.when(sold(), F.col("discount_amount"))).cast("double"), F.sum(F.when(sold(), F.col("gross_amount"))).cast("double"))
     return sales.groupBy("product_key", "order_date_key").agg(
         F.sum("units_sold").cast("long").alias("units_sold"), F.count_distinct(F.when(sold(), F.col("order_id"))).alias("orders"), F.sum("net_sales_amount").cast("decimal(18,2)").alias("net_sales"),
-        F.round(F.avg(F.when(sold(), F.col("unit_price")).cast("double")), 2).alias("average_unit_price"), F.round(rate, 4).alias("discount_rate"),
+        F.round(F.avg(F.when(sold(), F.col("unit_price"))), 2).cast("decimal(18,2)").alias("average_unit_price"), F.round(rate, 4).alias("discount_rate"),
     )
 
 

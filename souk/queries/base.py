@@ -30,6 +30,7 @@ class Shop:
             return self.shared(name)
         raise AttributeError(name)
 
+    lineitem_rows = cached_property(lambda s: s.table("lineitem").select("l_orderkey", "l_linenumber"))
     silver_lines = cached_property(lambda s: s.shared("silver_lines"))
     gold_lines = cached_property(lambda s: gold.order_lines(s.silver_lines))
     gold_orders = cached_property(lambda s: gold.orders(s.silver_lines))
@@ -55,6 +56,7 @@ class Shop:
 
 #: The engine's tables in DuckDB SQL, over the shared views.
 VIEWS: dict[str, str] = {
+    "lineitem_rows": "SELECT l_orderkey, l_linenumber FROM lineitem",
     "gold_lines": """
       SELECT order_id, line_number, source, product_id, quantity, unit_price, discount_pct, gross_amount, (gross_amount - net_amount)::DECIMAL(12,2) AS discount_amount, net_amount FROM (
         SELECT *, round(gross_amount * (100 - discount_pct) * 0.01::DECIMAL(3,2), 2)::DECIMAL(12,2) AS net_amount FROM (SELECT *, (quantity * unit_price)::DECIMAL(12,2) AS gross_amount FROM silver_lines))""",
@@ -88,7 +90,7 @@ VIEWS: dict[str, str] = {
         isoyear(date_day)::INT AS iso_year, week(date_day)::INT AS iso_week, isodow(date_day)::INT AS day_of_week, dayname(date_day) AS day_name, isodow(date_day) IN (6, 7) AS is_weekend, holiday_date IS NOT NULL AS is_public_holiday, holiday_name, event_name IS NOT NULL AS is_sales_event, event_name AS sales_event
       FROM (SELECT unnest(generate_series(date_trunc('month', min(order_date))::DATE, max(order_date) + 90, INTERVAL 1 DAY))::DATE AS date_day FROM gold_orders) LEFT JOIN holidays ON holiday_date = date_day LEFT JOIN sales_windows ON date_day BETWEEN start_date AND end_date""",
     "dim_channels": """
-      SELECT DISTINCT channel, upper(channel[1]) || lower(channel[2:]) AS channel_name, source, CASE source WHEN 'marketplace' THEN 'Partner marketplace (daily CSV export)' WHEN 'web_shop' THEN 'Own shop (order events)' ELSE source END AS source_system, source = 'web_shop' AS is_own_shop FROM gold_orders""",
+      SELECT DISTINCT channel, array_to_string(list_transform(string_split(lower(channel), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS channel_name, source, CASE source WHEN 'marketplace' THEN 'Partner marketplace (daily CSV export)' WHEN 'web_shop' THEN 'Own shop (order events)' ELSE source END AS source_system, source = 'web_shop' AS is_own_shop FROM gold_orders""",
     "dim_customers": """
       SELECT md5(customer_id) AS customer_key, customer_id, concat_ws(' ', first_name, last_name) AS full_name, left(postal_code, 2) AS department_code, first_name, last_name, email, city, postal_code, country, signup_date FROM gold_customers
       UNION ALL SELECT md5('_unknown_'), 'UNKNOWN', 'Unknown customer', NULL, NULL, NULL, NULL, 'Unknown', NULL, NULL, NULL""",
@@ -115,7 +117,7 @@ VIEWS: dict[str, str] = {
       FROM fct_sales s JOIN dim_dates d ON d.date_key = s.order_date_key JOIN dim_products p ON p.product_key = s.product_key GROUP BY ALL""",
     "mart_customers": """
       SELECT c.customer_key, c.customer_id, c.full_name, c.city, c.department_code, c.signup_date, coalesce(h.orders_placed, 0) AS orders_placed, coalesce(h.orders, 0) AS orders, coalesce(h.cancelled_orders, 0) AS cancelled_orders, coalesce(h.returned_orders, 0) AS returned_orders,
-        h.first_order_date, h.last_order_date, coalesce(h.units_bought, 0)::BIGINT AS units_bought, coalesce(h.total_spent, 0)::DECIMAL(18,2) AS total_spent, round(h.total_spent::DOUBLE / nullif(h.orders, 0), 2)::DECIMAL(18,2) AS average_order_value,
+        h.first_order_date, h.last_order_date, coalesce(h.units_bought, 0)::BIGINT AS units_bought, coalesce(h.total_spent, 0)::DECIMAL(18,2) AS total_spent, (CASE WHEN h.orders > 0 THEN (((h.total_spent * 100)::HUGEINT * 2 + h.orders) // (2 * h.orders))::DECIMAL(18,0) * 0.01 END)::DECIMAL(18,2) AS average_order_value,
         ((SELECT max(order_date) FROM fct_orders) - h.last_order_date)::INT AS days_since_last_order, CASE WHEN coalesce(h.orders, 0) = 0 THEN 'No purchase' WHEN h.orders = 1 THEN 'One-time' WHEN h.orders <= 4 THEN 'Repeat' ELSE 'Loyal' END AS customer_segment
       FROM dim_customers c LEFT JOIN (SELECT customer_key, count(*) AS orders_placed, count(*) FILTER (WHERE NOT is_cancelled) AS orders, count(*) FILTER (WHERE is_cancelled) AS cancelled_orders, count(*) FILTER (WHERE is_returned) AS returned_orders,
           min(order_date) FILTER (WHERE NOT is_cancelled) AS first_order_date, max(order_date) FILTER (WHERE NOT is_cancelled) AS last_order_date, sum(units_sold) AS units_bought, sum(billed_amount) AS total_spent FROM fct_orders GROUP BY customer_key) h ON h.customer_key = c.customer_key
@@ -124,7 +126,7 @@ VIEWS: dict[str, str] = {
       SELECT p.product_key, p.product_id, p.category, p.brand, unnest(generate_series(greatest(p.created_date, a), least(coalesce(p.discontinued_date, z), z), INTERVAL 1 DAY))::DATE AS date_day
       FROM dim_products p, (SELECT min(order_date) AS a, max(order_date) - 1 AS z FROM fct_sales) WHERE p.product_id <> 'UNKNOWN'""",
     "demand_sold": """
-      SELECT product_key, order_date, sum(units_sold)::BIGINT AS units_sold, count(DISTINCT order_id) FILTER (WHERE NOT is_cancelled) AS orders, sum(net_sales_amount)::DECIMAL(18,2) AS net_sales, round(avg(unit_price::DOUBLE) FILTER (WHERE NOT is_cancelled), 2) AS average_unit_price,
+      SELECT product_key, order_date, sum(units_sold)::BIGINT AS units_sold, count(DISTINCT order_id) FILTER (WHERE NOT is_cancelled) AS orders, sum(net_sales_amount)::DECIMAL(18,2) AS net_sales, (CASE WHEN count_if(NOT is_cancelled) > 0 THEN (((sum(unit_price) FILTER (WHERE NOT is_cancelled)) * 100)::HUGEINT * 2 + count_if(NOT is_cancelled)) // (2 * count_if(NOT is_cancelled)) END)::DECIMAL(18,0) * 0.01::DECIMAL(3,2) AS average_unit_price,
         round((sum(discount_amount) FILTER (WHERE NOT is_cancelled))::DOUBLE / nullif((sum(gross_amount) FILTER (WHERE NOT is_cancelled))::DOUBLE, 0), 4) AS discount_rate FROM fct_sales GROUP BY ALL""",
     "mart_rejects": """
       SELECT run_id, checked_at, checked_at::DATE AS checked_date, checked_at = (SELECT max(checked_at) FROM reject_runs) AS is_latest_run, source, reason, rejected,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from souk.operators import series
+from souk.operators.joins import with_scalar
 from souk.operators.rows import top_per_group
 from souk.plans import measures
 from souk.queries.base import both, query
@@ -179,13 +180,22 @@ def _(s):
     return series.covering(s.dim_dates.select("date_day"), "date_day", s.sales_windows, "start_date", "end_date", ["event_name"])
 
 
-both("scalar_cross", "SELECT customer_id, CAST(datediff(as_of, last_order_date) AS INT) AS days FROM {mart_customers} CROSS JOIN (SELECT max(last_order_date) AS as_of FROM {mart_customers}) t WHERE last_order_date IS NOT NULL", "mart_customers")
+@query("scalar_cross", "SELECT customer_id, CAST((SELECT max(last_order_date) FROM mart_customers) - last_order_date AS INT) AS days FROM mart_customers WHERE last_order_date IS NOT NULL")
+def _(s):
+    m = s.mart_customers
+    return with_scalar(m.where("last_order_date is not null"), m.agg(F.max("last_order_date").alias("as_of"))).select("customer_id", F.datediff("as_of", "last_order_date").alias("days"))
+
+
 both("filters", f"SELECT order_status, {_DAY} AS order_day, count(*) AS n FROM {{fct_orders}} WHERE payment_method IS NOT NULL AND order_status IN ('paid', 'shipped') AND NOT is_cancelled AND units BETWEEN 2 AND 200 AND order_date >= DATE '1996-01-01' GROUP BY order_status, order_date", "fct_orders")
 both("filtered_agg", f"SELECT channel, {_CAN} AS cancelled, min(order_date) FILTER (WHERE NOT is_cancelled) AS first_day, max(order_date) FILTER (WHERE is_returned) AS last_return, {money('sum(billed_amount) FILTER (WHERE is_returned)')} AS returned_amount FROM {{fct_orders}} GROUP BY channel", "fct_orders")
 both("daily_sales", f"SELECT order_date, channel, {ORDERS} AS orders, count(DISTINCT CASE WHEN is_returned THEN order_id END) AS returned_orders FROM {{fct_sales}} GROUP BY order_date, channel", "fct_sales")
 both("orders_by_source", f"SELECT source, count(*) AS orders, min(order_date) AS first_day, max(order_date) AS last_day, {money('sum(total_amount)')} AS total FROM {{gold_orders}} GROUP BY source", "gold_orders")
 both("distinct", "SELECT DISTINCT channel, payment_method FROM {shop_orders}", "shop_orders")
-both("anti_join", "SELECT o.order_id FROM {shop_orders} o LEFT ANTI JOIN {shop_lines} l ON l.l_orderkey = o.order_no", "shop_orders", "shop_lines")
+
+
+@query("anti_join", "SELECT order_id FROM shop_orders WHERE order_no NOT IN (SELECT l_orderkey FROM lineitem)")
+def _(s):
+    return s.shop_orders.join(s.table("lineitem").select(F.col("l_orderkey").alias("order_no")), "order_no", "left_anti").select("order_id")
 
 
 @query("dashboard_json")

@@ -17,7 +17,7 @@ for _name, _table in {
 }.items():
     query(_name, f"SELECT * FROM {_table}")(lambda s, t=_table: getattr(s, t))
 
-@query("demand_daily", "SELECT product_key, (year(order_date) * 10000 + month(order_date) * 100 + day(order_date))::INT AS order_date_key, units_sold, orders, net_sales, average_unit_price, discount_rate FROM demand_sold")
+@query("demand_daily", "SELECT product_key, (year(order_date) * 10000 + month(order_date) * 100 + day(order_date))::INT AS order_date_key, units_sold, orders, net_sales, average_unit_price::DECIMAL(18,2) AS average_unit_price, discount_rate FROM demand_sold")
 def _(s):
     return marts.daily_demand(s.fct_sales)
 
@@ -29,7 +29,7 @@ def _(s):
 
 @query(
     "demand_features",
-    """SELECT product_id, count(*) AS days, sum(units_sold)::BIGINT AS units, sum(lag1)::BIGINT AS lag1, sum(lag7)::BIGINT AS lag7, sum(lag14)::BIGINT AS lag14, round(sum(a7), 2) AS avg7, round(sum(a28), 2) AS avg28, max(days_on_sale) AS days_on_sale,
+    """SELECT product_id, count(*) AS days, sum(units_sold)::BIGINT AS units, sum(lag1)::BIGINT AS lag1, sum(lag7)::BIGINT AS lag7, sum(lag14)::BIGINT AS lag14, sum(a7::DECIMAL(12,3))::DECIMAL(18,3) AS avg7, sum(a28::DECIMAL(12,3))::DECIMAL(18,3) AS avg28, max(days_on_sale) AS days_on_sale,
       count_if(is_weekend) AS weekend_days, count_if(is_sales_event) AS event_days, count_if(is_public_holiday) AS holidays_met, sum(orders)::BIGINT AS orders FROM (
       SELECT g.product_id, g.date_day, coalesce(d.units_sold, 0) AS units_sold, coalesce(d.orders, 0) AS orders, lag(coalesce(d.units_sold, 0), 1) OVER w AS lag1, lag(coalesce(d.units_sold, 0), 7) OVER w AS lag7, lag(coalesce(d.units_sold, 0), 14) OVER w AS lag14,
         round(avg(coalesce(d.units_sold, 0)) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 3) AS a7, round(avg(coalesce(d.units_sold, 0)) OVER (w ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), 3) AS a28, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS days_on_sale, k.is_weekend, k.is_sales_event, k.is_public_holiday
@@ -38,8 +38,9 @@ def _(s):
 def _(s):
     """The feature table summed up by product: one row for each product and day is too much to compare."""
     total = lambda x, n: F.sum(x).cast("long").alias(n)
+    thousandths = lambda x, n: F.sum(F.col(x).cast("decimal(12,3)")).cast("decimal(18,3)").alias(n)
     return marts.demand_features(s.dim_products, s.fct_sales, s.dim_dates).groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("days"), total("units_sold", "units"), total("units_sold_lag_1", "lag1"), total("units_sold_lag_7", "lag7"), total("units_sold_lag_14", "lag14"), F.round(F.sum("units_sold_avg_7d"), 2).alias("avg7"), F.round(F.sum("units_sold_avg_28d"), 2).alias("avg28"),
+        F.count(F.lit(1)).alias("days"), total("units_sold", "units"), total("units_sold_lag_1", "lag1"), total("units_sold_lag_7", "lag7"), total("units_sold_lag_14", "lag14"), thousandths("units_sold_avg_7d", "avg7"), thousandths("units_sold_avg_28d", "avg28"),
         F.max("days_on_sale").alias("days_on_sale"), F.count_if("is_weekend").alias("weekend_days"), F.count_if("is_sales_event").alias("event_days"), F.count_if("is_public_holiday").alias("holidays_met"), total("orders", "orders"),
     )
 
