@@ -117,7 +117,7 @@ def _fused(df: DataFrame, rules: Sequence[Rule]) -> dict[str, dict]:
     for r in rules:
         if r.keys and set(r.keys) <= columns:
             filled = df.where(F.coalesce(*[F.col(k).cast("string") for k in r.keys]).isNotNull())
-            counts = filled.groupBy(*r.keys).agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("of"), F.sum(F.when(F.col("k") > 1, F.col("k"))).alias("bad")).first()
+            counts = filled.groupBy(*r.keys).agg(F.count(F.lit(1)).alias("_copies")).agg(F.sum("_copies").alias("of"), F.sum(F.when(F.col("_copies") > 1, F.col("_copies"))).alias("bad")).first()
             out[r.name] = {"elements": row["n"], "of": counts["of"] or 0, "unexpected": counts["bad"] or 0, "observed": None, "sample": None}
     return out
 

@@ -8,13 +8,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from souk.plans import cleaning, gold, marts, star, testdata
+from souk.sources.files import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 class Shop:
-    """The engine's tables, each planned once and only when used."""
+    """The engine's tables, each planned once and only when used. Bronze is stored first, as a lake holds it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -47,8 +48,8 @@ class Shop:
     mart_daily = cached_property(lambda s: marts.daily_sales(s.fct_sales, s.dim_products, s.dim_dates))
     mart_customers = cached_property(lambda s: marts.customer_history(s.fct_orders, s.dim_customers))
     mart_rejects = cached_property(lambda s: marts.reject_history(s.reject_runs))
-    bronze_events = cached_property(lambda s: testdata.bronze_events(s.spark, s.dir))
-    bronze_export = cached_property(lambda s: testdata.bronze_export(s.spark, s.dir))
+    bronze_events = cached_property(lambda s: stored(testdata.bronze_events(s.spark, s.dir), "bronze-events"))
+    bronze_export = cached_property(lambda s: stored(testdata.bronze_export(s.spark, s.dir), "bronze-export"))
     clean_events = cached_property(lambda s: cleaning.clean_events(s.bronze_events))
     web_lines = cached_property(lambda s: cleaning.web_order_lines(s.clean_events[0], s.catalogue))
     market_lines = cached_property(lambda s: cleaning.marketplace_lines(s.bronze_export, s.catalogue))
