@@ -122,22 +122,25 @@ def shared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bronze_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of order events (value, topic, partition, offset, kafka_timestamp), with re-deliveries and cut payloads."""
     f = shared(spark, sf_dir, "event_facts")
-    item = F.struct(F.lit(1).alias("line_number"), "product_id", "quantity", F.col("price").alias("unit_price"), F.col("percent").alias("discount_pct"))
+    record = lambda **fields: F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+    items = "array<struct<line_number:int,product_id:string,quantity:int,unit_price:decimal(10,2),discount_pct:int>>"
+    item = record(line_number=F.lit(1), product_id=F.col("product_id"), quantity=F.col("quantity"), unit_price=F.col("price"), discount_pct=F.col("percent"))
+    creates = F.col("creates")
     payload = F.to_json(
-        F.struct(
-            F.when(~F.col("nameless"), F.concat(F.lit("E"), F.col("event_id").cast("string"))).otherwise(F.lit(" ")).alias("event_id"),
-            F.col("kind").alias("event_type"),
-            F.when(F.col("undated"), F.lit("soon")).otherwise(F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("event_ts"),
-            F.lit(1).alias("schema_version"),
-            "order_id",
-            F.when(~F.col("creates"), F.col("status")).alias("status"),
-            "customer_id",
-            F.lit("web").alias("channel"),
-            F.lit("card").alias("payment_method"),
-            F.lit("EUR").alias("currency"),
-            F.when(F.col("creates"), F.struct(F.lit("Nice").alias("city"), F.lit("06000").alias("postal_code"), F.lit(4.9).cast("decimal(10,2)").alias("fee"))).alias("shipping"),
-            F.when(F.col("creates"), F.when(F.col("empty"), F.array().cast("array<struct<line_number:int,product_id:string,quantity:int,unit_price:decimal(10,2),discount_pct:int>>")).otherwise(F.array(item))).alias("items"),
-            F.when(F.col("creates"), F.col("price")).alias("total_amount"),
+        record(
+            event_id=F.when(~F.col("nameless"), F.concat(F.lit("E"), F.col("event_id").cast("string"))).otherwise(F.lit(" ")),
+            event_type=F.col("kind"),
+            event_ts=F.when(F.col("undated"), F.lit("soon")).otherwise(F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")),
+            schema_version=F.lit(1),
+            order_id=F.col("order_id"),
+            status=F.when(~creates, F.col("status")),
+            customer_id=F.col("customer_id"),
+            channel=F.lit("web"),
+            payment_method=F.lit("card"),
+            currency=F.lit("EUR"),
+            shipping=F.when(creates, record(city=F.lit("Nice"), postal_code=F.lit("06000"), fee=F.lit(4.9).cast("decimal(10,2)"))),
+            items=F.when(creates, F.when(F.col("empty"), F.array().cast(items)).otherwise(F.array(item))),
+            total_amount=F.when(creates, F.col("price")),
         )
     )
     cut = F.when(F.col("truncated"), F.substring(payload, 1, 40)).otherwise(payload)
