@@ -63,7 +63,7 @@ _BOUNDS = "(SELECT min(order_date) AS first_day, max(order_date) AS last_day FRO
 _INDEX_CHANNEL = "(SELECT channel, channel_name, CAST(row_number() OVER (ORDER BY net DESC, channel_name) - 1 AS INT) AS i FROM (SELECT c.channel, c.channel_name, coalesce(sum(net_sales_amount), 0) AS net FROM {dim_channels} c LEFT JOIN {fct_sales} f ON f.channel = c.channel GROUP BY c.channel, c.channel_name) t)"
 _INDEX_CATEGORY = "(SELECT category, CAST(row_number() OVER (ORDER BY net DESC, category) - 1 AS INT) AS i FROM (SELECT p.category, coalesce(sum(net_sales_amount), 0) AS net FROM {dim_products} p LEFT JOIN {fct_sales} f ON f.product_key = p.product_key GROUP BY p.category) t)"
 _INDEX_STATUS = "(SELECT order_status, CAST(row_number() OVER (ORDER BY CASE order_status WHEN 'created' THEN 1 WHEN 'paid' THEN 2 WHEN 'shipped' THEN 3 WHEN 'delivered' THEN 4 WHEN 'returned' THEN 5 WHEN 'cancelled' THEN 6 ELSE 7 END, order_status) - 1 AS INT) AS i FROM (SELECT DISTINCT order_status FROM {fct_orders}) t)"
-_INDEX_PAYMENT = "(SELECT payment_method, CAST(row_number() OVER (ORDER BY n DESC, payment_method) - 1 AS INT) AS i FROM (SELECT payment_method, count(*) AS n FROM {fct_orders} GROUP BY payment_method) t)"
+_INDEX_PAYMENT = "(SELECT payment_method, CAST(row_number() OVER (ORDER BY n DESC, payment_method NULLS LAST) - 1 AS INT) AS i FROM (SELECT payment_method, count(*) AS n FROM {fct_orders} GROUP BY payment_method) t)"
 _DAY = "CAST(order_date AS STRING)"
 both("dim_index", f"SELECT 'channel' AS kind, channel_name AS name, i FROM {_INDEX_CHANNEL} a UNION ALL SELECT 'category', category, i FROM {_INDEX_CATEGORY} b", "dim_channels", "dim_products", "fct_sales")
 both("status_index", f"SELECT order_status, i FROM {_INDEX_STATUS} a", "fct_orders")

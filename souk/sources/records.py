@@ -130,10 +130,10 @@ def read_lines(spark: SparkSession, path: str, entity: str, run_id: str) -> Data
     return lines.withColumn("r", F.from_json("value", schema)).select("r.*", F.col("value").alias("_raw"), "_source_file", F.current_timestamp().alias("_ingested_at"), F.lit(run_id).alias("_run_id"))
 
 
-def load_versions(spark: SparkSession, lake: Lake, client: ApiClient, entity: str, landing: str, run_id: str, full: bool = False) -> dict[str, int]:
+def load_versions(spark: SparkSession, lake: Lake, client: ApiClient, entity: str, landing: str, run_id: str, full: bool = False, margin_minutes: int = 10) -> dict[str, int]:
     """Fetches what changed since the stored watermark and appends the versions that are not stored."""
     table, keys = f"bronze/{entity}", [KEYS[entity], "updated_at"]
-    since = None if full or not lake.exists(table) else history.watermark(lake.read(table), "updated_at").first()["updated_since"]
+    since = None if full or not lake.exists(table) else history.watermark(lake.read(table), "updated_at", margin_minutes).first()["updated_since"]
     fetched = land(spark, client.records(entity, since), landing, run_id)
     if not fetched:
         return {"fetched": 0, "stored": 0}
