@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.llm import op02_quality, op04_simhash, op05_mixing, op06_decontaminate, op07_lines
+from souk.llm import op02_quality, op05_mixing, op06_decontaminate, op07_lines, similar
 from souk.llm.common import materialize
 
 
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return op04_simhash.keep_first(docs)
+    """One document of each group of near copies stays: five-word similarity of 0.8 or more, or fingerprints that op4 links."""
+    return similar.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

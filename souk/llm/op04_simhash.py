@@ -45,11 +45,12 @@ SPLIT_ABOVE = 4096
 SMALL = 8
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of the text's shingles in order; fewer words than a shingle are one."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     h, seed = xxhash.xxh64_intdigest, SEED
     if n <= shingle:
@@ -58,8 +59,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
         begins = np.concatenate([[0], ends[:-1] + 1])
         values = [h(joined[a:b], seed) for a, b in zip(begins[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return np.array(values, np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    if not hashes.size:
+        return 0
     bits = np.zeros(64, np.int64)
-    hashes = np.array(values, np.uint64)
     for at in range(0, hashes.size, 1 << 16):
         part = hashes[at : at + (1 << 16)]
         bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -184,8 +191,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(classes, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is the component_id that found has for it."""
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all their columns; of rows that share that id all stay,
     and rows with a null id go unless their component has no other id."""
-    gone = near_duplicates(docs, id_col, text_col).where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return keep_smallest(docs, near_duplicates(docs, id_col, text_col), id_col)
