@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import threading
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.operators import history, series
 from souk.queries.base import query
 from souk.sources import csv_export, records
-from souk.sources.files import scratch
+from souk.sources.files import Files, scratch
 from souk.sources.lake import Lake
 from souk.streaming import ingest
 
@@ -116,15 +119,25 @@ def _(s):
     return history.only_new(b.where("updated_at >= '1998-01-01'"), b.where("_ingested_at % 2 = 0"), ["customer_id", "updated_at"]).select("customer_id", "updated_at")
 
 
-def serve(pages: dict[str, list[dict]], size: int):
-    """A small API over lists of records, for the time of a query."""
+def pages(df: DataFrame, size: int) -> tuple[list[str], Callable[[str], list[dict]]]:
+    """The rows of df in its order as written files of at most size records, and how to read one: the driver holds one page at a time."""
+    path = scratch(df.sparkSession, "pages")
+    df.write.option("maxRecordsPerFile", size).option("ignoreNullFields", "false").json(path)
+    files = Files(df.sparkSession)
+    numbered = sorted((int(m[1]), int(m[2]), n) for n in files.names(path) if (m := re.fullmatch(r"part-(\d+)-.*-c(\d+)\.json", n)))
+    # records hold other line breaks as they are
+    return [f"{path}/{n}" for _, _, n in numbered], lambda file: [json.loads(x) for x in files.read(file).split("\n") if x]
+
+
+def serve(entities: dict[str, tuple[list[str], Callable[[str], list[dict]]]]):
+    """A small API over the pages of records, for the time of a query."""
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             url = urlparse(self.path)
             number = int(parse_qs(url.query)["page"][0])
-            rows = pages[url.path.strip("/")]
-            body = json.dumps({"items": rows[(number - 1) * size : number * size], "has_next": number * size < len(rows)}).encode()
+            files, read = entities[url.path.strip("/")]
+            body = json.dumps({"items": read(files[number - 1]) if number <= len(files) else [], "has_next": number < len(files)}).encode()
             self.send_response(200)
             self.end_headers()
             self.wfile.write(body)
@@ -139,12 +152,13 @@ def serve(pages: dict[str, list[dict]], size: int):
 
 @query("api_pages")
 def _(s):
-    """The products of the catalogue's first pages through the paginated source. The records served are a fixture of 1,000."""
-    rows = [r.asDict() for r in s.bronze_products.select(*records.FIELDS["products"]).orderBy("product_id", "updated_at").limit(1000).collect()]
-    server = serve({"products": rows}, 100)
+    """All products of the catalogue through the paginated source, 100 records at most a page."""
+    server = serve({"products": pages(s.bronze_products.select(*records.FIELDS["products"]).orderBy("product_id", "updated_at"), 100)})
     lake, landing = Lake(s.spark, scratch(s.spark, "lake")), scratch(s.spark, "landing")
-    records.load_versions(s.spark, lake, records.ApiClient(f"http://127.0.0.1:{server.server_port}"), "products", landing, "run-1")
-    server.shutdown()
+    try:
+        records.load_versions(s.spark, lake, records.ApiClient(f"http://127.0.0.1:{server.server_port}"), "products", landing, "run-1")
+    finally:
+        server.shutdown()
     return lake.read("bronze/products").select("product_id", "updated_at", "unit_price")
 
 
