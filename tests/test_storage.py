@@ -1,9 +1,12 @@
 """Sources as queries: all rows arrive."""
 
+import datetime as dt
 from collections import Counter
 
+import duckdb
+
 from souk.queries import storage
-from souk.queries.base import QUERIES, Shop
+from souk.queries.base import ORACLES, QUERIES, Shop
 
 
 def test_pages_hold_every_record_in_order(spark):
@@ -16,3 +19,20 @@ def test_api_pages_has_every_product_version(spark):
     key = lambda r: (r["product_id"], r["updated_at"], r["unit_price"])
     got, wanted = (Counter(map(key, x.collect())) for x in (QUERIES["api_pages"](spark, sf), Shop(spark, sf).bronze_products))
     assert got == wanted and sum(got.values()) > 1000
+
+
+def oracle(name, sf):
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return Counter(con.execute(ORACLES[name]).fetchall())
+
+
+def test_whole_export_is_loaded(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {n: Counter(map(tuple, QUERIES[n](spark, sf).collect())) for n in ("csv_ingest", "csv_ingest_all", "csv_lineage", "csv_lineage_all", "missing_days", "missing_days_all")}
+    for n, found in rows.items():
+        assert found == oracle(n, sf), n
+    month = lambda d: dt.date(1997, 3, 1) <= d <= dt.date(1997, 3, 31)
+    assert rows["csv_ingest"] == Counter({r: n for r, n in rows["csv_ingest_all"].items() if month(r[1])}) != rows["csv_ingest_all"]
+    assert sum(rows["csv_ingest_all"].values()) == sum(n * k for (*_, n), k in rows["csv_lineage_all"].items()) == Shop(spark, sf).bronze_export.count()
