@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,11 @@ SLICE_BYTES = 12_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a folder set here (one machine only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without; it gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="souk-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,11 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written once to shared storage and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/souk/{name}-{uuid.uuid4().hex}"
+    return written(spark, df, f"{shared_dir(spark)}/souk/{name}-{uuid.uuid4().hex}")
+
+
+def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null becomes empty."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -64,10 +75,30 @@ def with_text(docs: DataFrame, id_col: str, text_col: str, *others: str) -> Data
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_{c}") for c in others])
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parts(spark: SparkSession, amount: float, each: float) -> int:
+    """Tasks for an amount (of bytes or rows) if none is to hold much more than `each`, and no fewer than the session's."""
+    return max(shuffle_partitions(spark), math.ceil((amount or 0) / each))
+
+
+def text_bytes(docs: DataFrame, text: str = "_text") -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 def pack_gaps(positions: np.ndarray) -> bytes:
     """Integers as gaps, in the narrowest width that few of them overflow: small for ascending ones."""
     gaps = np.diff(positions, prepend=0).astype(np.int64)

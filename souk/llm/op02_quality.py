@@ -8,8 +8,10 @@ the two log densities, from Mahalanobis distances through the cached Cholesky fa
 doc_id, source, lang and labels are never inputs of a score. Ratios carry pseudo-counts, so short and empty texts lie near the
 middle of the range of normal texts.
 
-Defined results: a null text scores as an empty one; labels with a null or a value other than 0 and 1 are not learnt from; if a
-class has fewer than two rows to learn from, every score is the smoothed share of label 1; rows that repeat are scored each.
+Defined results: a null text scores as an empty one, and an empty one by its statistics like any other (on the tables here it scores
+above the threshold); labels that are null, no number or other than 0 and 1 are not learnt from, nor is an id with both; equal
+labels of an id count once, and rows of documents that share a labelled id are learnt from each. If a class has fewer than two rows
+to learn from, every score is the smoothed share of label 1; rows that repeat are scored each.
 """
 
 from __future__ import annotations
@@ -126,9 +128,10 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Discriminant:
     """Fitted on at most max_train labelled rows outside the held-out fold. Those rows' vectors, a bounded number, come to the driver."""
-    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & (fold(F.col("_id")) != 0))
+    told = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("string").try_cast("double").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0.0, 1.0) & (fold(F.col("_id")) != 0))
+    usable = told.groupBy("_id").agg(F.min("_label").cast("int").alias("_label"), F.max("_label").cast("int").alias("_top")).where("_label = _top").drop("_top")
     picked = usable.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(max_train)
-    rows = with_text(docs, id_col, text_col).join(F.broadcast(picked.dropDuplicates(["_id"])), "_id")
+    rows = with_text(docs, id_col, text_col).join(F.broadcast(picked), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):

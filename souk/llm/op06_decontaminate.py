@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import binary_column, materialize, pack_gaps, runs, slices, unpack_gaps, with_text
+from souk.llm.common import binary_column, materialize, pack_gaps, runs, slices, unpack_gaps, unused, with_text
 
 #: Fixed by the contract.
 WINDOW = 13
@@ -170,9 +170,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """The rows of docs that are not contaminated, with all their columns, in one pass where one block holds the benchmark."""
     last, items = next(_blocks(benchmark, item_col, item_text_col, block_bytes))
     if not last:
-        numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
-        bad = decontaminate(numbered, benchmark, "_row", text_col, item_col, item_text_col, window, share, block_bytes).where("contaminated")
-        return numbered.join(bad.select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+        row, bad_row = unused(docs.columns, "_row", "_bad_row")
+        numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+        bad = decontaminate(numbered, benchmark, row, text_col, item_col, item_text_col, window, share, block_bytes).where("contaminated")
+        return numbered.join(bad.select(F.col("doc_id").alias(bad_row)), F.col(row) == F.col(bad_row), "left_anti").drop(row)
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from souk.llm.common import binary_column, materialize, slices, with_text
+from souk.llm.common import binary_column, materialize, slices, unused, with_text
 
 #: Lines on at least so many distinct sites are boilerplate.
 MIN_SITES = 10
@@ -67,43 +68,44 @@ def _occurrences(source: DataFrame) -> DataFrame:
     return source.select("_id", "_digest", "_site", "_text").mapInArrow(run, f"_id {kind}, _digest long, site string, line long")
 
 
-def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """All rows and columns of docs with boilerplate lines taken out of the text, and _n_lines and _n_removed added."""
+def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> tuple[DataFrame, str, str]:
+    """(All rows and columns of docs with boilerplate lines taken out of the text and two columns added, the names of these: the number
+    of lines with words, and of those removed; both are names that docs has not)."""
     source = with_text(docs, id_col, text_col, site_col).select("_id", F.xxhash64("_text").alias("_digest"), F.col(f"_{site_col}").cast("string").alias("_site"), "_text")
     found = materialize(_occurrences(source), "lines")
     verdicts = boilerplate(found, min_sites).select(F.col("line").alias("bad_line"), "keeper")
-    gone = found.join(verdicts, (F.col("line") == F.col("bad_line")) & ~F.col("_id").eqNullSafe(F.col("keeper"))).groupBy("_id", "_digest").agg(F.collect_set("line").alias("_gone"))
-    gone = gone.withColumnsRenamed({"_id": "_gone_id", "_digest": "_gone_digest"})
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_gone_digest")), "left").drop("_gone_id", "_gone_digest")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _n_lines long, _n_removed long"
+    bad, gone_id, gone_digest, n_lines, n_removed = unused(docs.columns, "gone", "gone_id", "gone_digest", "n_lines", "n_removed")
+    gone = found.join(verdicts, (F.col("line") == F.col("bad_line")) & ~F.col("_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("_id").alias(gone_id), F.col("_digest").alias(gone_digest)).agg(F.collect_set("line").alias(bad))
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(gone_digest)), "left").drop(gone_id, gone_digest)
+    schema = StructType([*(StructField(f.name, StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields), StructField(n_lines, LongType()), StructField(n_removed, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             texts, counts, removed = [], [], []
             nulls = batch.column(batch.schema.get_field_index(text_col)).is_null().to_pylist()
-            for text, null, lines in zip(binary_column(batch, text_col), nulls, batch.column(batch.schema.get_field_index("_gone")).to_pylist(), strict=True):
+            for text, null, lines in zip(binary_column(batch, text_col), nulls, batch.column(batch.schema.get_field_index(bad)).to_pylist(), strict=True):
                 all_lines = text.split(b"\n")
-                bad = set(lines or ())
-                kept = [x for x in all_lines if line_key(x) not in bad] if bad else all_lines
+                hashes = set(lines or ())
+                kept = [x for x in all_lines if line_key(x) not in hashes] if hashes else all_lines
                 texts.append(None if null else b"\n".join(kept).decode())
                 counts.append(sum(1 for x in all_lines if x.strip()))
                 removed.append(len(all_lines) - len(kept))
-            columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_gone"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*(f.name for f in batch.schema if f.name != "_gone"), "_n_lines", "_n_removed"])
+            columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(i) for i, f in enumerate(batch.schema) if f.name != bad]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*(f.name for f in batch.schema if f.name != bad), n_lines, n_removed])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema), n_lines, n_removed
 
 
 def keep_cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """The rows of docs with cleaned texts and the same columns; rows that had lines and lost all of them go."""
-    cleaned = clean_lines(docs, id_col, text_col, site_col, min_sites)
-    return cleaned.where((F.col("_n_lines") == 0) | (F.col("_n_removed") < F.col("_n_lines"))).drop("_n_lines", "_n_removed")
+    cleaned, n_lines, n_removed = clean_lines(docs, id_col, text_col, site_col, min_sites)
+    return cleaned.where((F.col(n_lines) == 0) | (F.col(n_removed) < F.col(n_lines))).drop(n_lines, n_removed)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_md5) for every row; kept_md5 of the cleaned text (null: of the empty one)."""
-    cleaned = clean_lines(docs.select(id_col, text_col, site_col), id_col, text_col, site_col, min_sites)
-    return cleaned.select(F.col(id_col).alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("kept_md5"))
+    cleaned, n_lines, n_removed = clean_lines(docs.select(id_col, text_col, site_col), id_col, text_col, site_col, min_sites)
+    return cleaned.select(F.col(id_col).alias("doc_id"), F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("kept_md5"))
 
 
 #: The same in DuckDB SQL; {documents} and {min_sites} are filled in. Ids must be unique.

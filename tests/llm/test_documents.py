@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from souk.llm import op02_quality, op06_decontaminate, op08_tokens, op09_rules
+from souk.llm import op02_quality, op06_decontaminate, op07_lines, op08_tokens, op09_rules
 from souk.llm.queries import vocabulary
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,6 +121,60 @@ def test_quality_learns_and_holds_out(spark, odd_docs, empty_docs):
     assert op02_quality.score(odd_docs, none).where("score is null").count() == 0
 
 
+def test_quality_scores_equal_densities_by_inverse(spark, small_docs):
+    """The whole operator by loops: class means and covariances, their inverses and determinants, for every document."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    told = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    docs = [(r["doc_id"], r["text"]) for r in small_docs.collect()]
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _ in docs}
+    x = {d: [float(v) for v in op02_quality.statistics((t or "").encode())] for d, t in docs}
+    size = op02_quality.N_FEATURES
+    means, scatter, count = {}, {}, {}
+    for k in (0, 1):
+        own = [x[d] for d, _ in docs if told.get(d) == k and not held[d]]
+        count[k] = len(own)
+        means[k] = [sum(v[i] for v in own) / len(own) for i in range(size)]
+        scatter[k] = np.array([[sum((v[i] - means[k][i]) * (v[j] - means[k][j]) for v in own) / len(own) for j in range(size)] for i in range(size)])
+    pooled = (count[0] * scatter[0] + count[1] * scatter[1]) / (count[0] + count[1])
+    inverse, log_det = {}, {}
+    for k in (0, 1):
+        s = 0.9 * scatter[k] + 0.1 * pooled
+        s = 0.98 * s + 0.02 * (sum(s[i][i] for i in range(size)) / size) * np.eye(size)
+        inverse[k], log_det[k] = np.linalg.inv(s), np.log(np.linalg.det(s))
+    got = {r["doc_id"]: r for r in op02_quality.score(small_docs, op02_quality.train(small_docs, labels)).collect()}
+    assert len(got) == len(docs)
+    for d, _ in docs:
+        z = np.log((count[1] + 1) / (count[0] + 1))
+        for k, sign in ((1, 1), (0, -1)):
+            away = np.array(x[d]) - means[k]
+            z += sign * -0.5 * (log_det[k] + away @ inverse[k] @ away)
+        assert got[d]["held_out"] == held[d]
+        assert got[d]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -500, 500))), abs=1e-7)
+        assert got[d]["predicted"] == int(got[d]["score"] >= 0.3)
+
+
+def test_labels_that_are_no_labels(spark, small_docs):
+    ids = sorted(r["doc_id"] for r in small_docs.collect())[:60]
+    good = [(d, str(i % 2)) for i, d in enumerate(ids)]
+    bad = [(ids[0], "1"), (ids[0], "0"), (ids[1], "0.7"), (ids[2], "fine"), (ids[3], None), (None, "1"), (ids[4], "2")]
+    clean = spark.createDataFrame([x for x in good if x[0] != ids[0]], "doc_id long, quality string")
+    odd = spark.createDataFrame(good + bad + good[5:9], "doc_id long, quality string")
+    one, two = (op02_quality.train(small_docs, x) for x in (clean, odd))
+    assert np.allclose(one.good.mean, two.good.mean) and np.allclose(one.bad.factor, two.bad.factor) and one.log_odds == two.log_odds
+
+
+def test_clashing_columns_stay(spark, odd_docs):
+    """keep_clean and keep_cleaned keep columns that are called as their own helpers."""
+    names = ("_row", "_bad_row", "gone", "gone_id", "gone_digest", "n_lines", "n_removed", "_n_lines", "_gone", "_hits", "_items", "_n_words", "_id")
+    frame = odd_docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    benchmark = spark.createDataFrame([(1, "one two three one"), (2, "w1 w2 w3")], "item_id long, text string")
+    for block in (16_000_000, 4):
+        kept = op06_decontaminate.keep_clean(frame, benchmark, block_bytes=block)
+        assert kept.columns == frame.columns and kept.where(" and ".join(f"`{n}` = {i}" for i, n in enumerate(names))).count() == kept.count() > 0
+    kept = op07_lines.keep_cleaned(frame, min_sites=2)
+    assert kept.columns == frame.columns and kept.where(" and ".join(f"`{n}` = {i}" for i, n in enumerate(names))).count() == kept.count() > 0
+
+
 def test_empty_tables(spark, empty_docs):
     assert op08_tokens.count_tokens(empty_docs, vocabulary("word_bpe_49k.json")).count() == 0
     assert op09_rules.quality_rules(empty_docs).count() == 0

@@ -1,8 +1,10 @@
 """Operators with SQL oracles, on odd inputs; and the pipeline, stage by stage."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from souk.llm import op01_chat, op05_mixing, op07_lines
 
@@ -38,6 +40,20 @@ def test_mixing_of_odd_rows(odd_docs, duck, seed):
     assert drawn.columns == odd_docs.columns
 
 
+def test_rows_that_share_an_id_are_drawn_each(spark):
+    """Helper columns that clash, repeated and null ids: what is drawn has the words that the mix takes."""
+    rows = [(i % 4 if i % 9 else None, " ".join(["w"] * (1 + i % 7)), f"s{i % 3}" if i % 5 else None, i, i, "x") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_id long, mix_n long, f_source string").withColumn("mix_rank", F.lit(1)).withColumn("start", F.lit(2)).withColumn("each", F.lit(0.1))
+    taken = {r["source"]: r["n"] for r in op05_mixing.mix_sources(frame).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    drawn = op05_mixing.draw(frame)
+    assert drawn.columns == frame.columns
+    counts = Counter(r["_mix_id"] for r in drawn.collect())
+    got = Counter()
+    for i, n in counts.items():
+        got[rows[i][2]] += n * (1 + i % 7)
+    assert got == Counter(taken) and max(counts.values()) <= 3
+
+
 def test_mixing_meets_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     for r in op05_mixing.mix_sources(docs).groupBy("source").agg({"taken": "sum", "target": "max", "source_size": "max"}).collect():
@@ -62,7 +78,7 @@ def test_line_dedup_of_odd_rows(spark, odd_docs, duck):
         assert len(got) == docs.count()
     cleaned = op07_lines.keep_cleaned(docs, min_sites=7)
     assert cleaned.columns == docs.columns
-    assert op07_lines.clean_lines(odd_docs, min_sites=2).count() == odd_docs.count()
+    assert op07_lines.clean_lines(odd_docs, min_sites=2)[0].count() == odd_docs.count()
     wide = op07_lines.keep_cleaned(odd_docs, min_sites=2)
     assert wide.columns == odd_docs.columns
 
