@@ -5,6 +5,9 @@ bucket of the key space, one row that packs the distinct keys it holds there wit
 the counts of each key over all slices and answers every slice with the totals that matter, again packed. A key that a
 third of all documents hold is one entry for each slice that has it, so no group grows with the copies of a key.
 
+The number of buckets and of tasks follows the bytes of text, so a bucket stays at some megabytes at any input size. What is
+packed is one row for each slice and bucket, never more rows than there are pieces.
+
 The buckets come from a second hash of the piece, independent of the key: a false match needs both to agree.
 """
 
@@ -19,12 +22,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from souk.llm.common import mix, pack_gaps, shuffle_partitions, slices, unpack_gaps
+from souk.llm.common import mix, pack_gaps, parts, slices, text_bytes, unpack_gaps
 
 CELL = "bucket long, slice long, n int, keys binary, counts binary, places binary, head binary"
 ANSWER = "slice long, places binary, totals binary, head binary"
-#: Buckets for each shuffle partition, so that hashing buckets to partitions stays even.
+#: Buckets for each task, so that hashing buckets to tasks stays even.
 BUCKETS_PER_PARTITION = 4
+#: Bytes of text whose pieces a task counts: with nine bytes or so a word's piece, about twice as many bytes.
+TEXT_PER_TASK = 12_000_000
 
 
 def narrow(values: np.ndarray) -> bytes:
@@ -44,7 +49,8 @@ def count_pieces(docs: DataFrame, extract: Callable[[pa.RecordBatch], tuple[np.n
     finish. places are the indexes of the pieces whose key occurs `least` times or more in docs; totals are those counts.
     docs must give the same rows in the same order when a task is repeated (a scan or a written table does).
     """
-    n_buckets = BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
+    n_tasks = parts(docs.sparkSession, text_bytes(docs, text), TEXT_PER_TASK)
+    n_buckets = BUCKETS_PER_PARTITION * n_tasks
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -114,7 +120,5 @@ def count_pieces(docs: DataFrame, extract: Callable[[pa.RecordBatch], tuple[np.n
         return finish(head, places, totals)
 
     cells = docs.mapInArrow(scatter, CELL)
-    answers = cells.groupBy("bucket").applyInPandas(lambda g: answer(g), ANSWER)
-    return answers.groupBy("slice").applyInPandas(lambda g: gather(g), schema)
-
-
+    answers = cells.repartition(n_tasks, "bucket").groupBy("bucket").applyInPandas(lambda g: answer(g), ANSWER)
+    return answers.repartition(n_tasks, "slice").groupBy("slice").applyInPandas(lambda g: gather(g), schema)

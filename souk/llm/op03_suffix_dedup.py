@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import binary_column, materialize, mix, pack_gaps, runs, shuffle_partitions, slices, unpack_gaps, with_text
-from souk.llm.exchange import BUCKETS_PER_PARTITION, narrow, widen
+from souk.llm.common import binary_column, materialize, mix, pack_gaps, parts, runs, slices, text_bytes, unpack_gaps, with_text
+from souk.llm.exchange import BUCKETS_PER_PARTITION, TEXT_PER_TASK, narrow, widen
 from souk.llm.op10_substrings import powers
 from souk.llm.suffix import SENTINEL, shared_prefix_groups
 
@@ -143,10 +143,10 @@ def _by_owner(owner: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(owner[a]), slice(a, b)
 
 
-def find_segments(docs: DataFrame, length: int) -> DataFrame:
+def find_segments(docs: DataFrame, length: int, n_tasks: int) -> DataFrame:
     """(_id, _digest, _covered, _begins, _sizes, _hashes): for documents that have any, edges of what equal segments cover, and
     the segments to compare byte by byte."""
-    n_buckets = BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
+    n_buckets = BUCKETS_PER_PARTITION * n_tasks
     kind = docs.schema["_id"].dataType.simpleString()
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,13 +231,13 @@ def find_segments(docs: DataFrame, length: int) -> DataFrame:
         return pd.DataFrame([(ids[d], digests[d], *x) for d, x in made.items()], columns=["_id", "_digest", "_covered", "_begins", "_sizes", "_hashes"]).astype({"_id": object})
 
     messages = docs.mapInArrow(scatter, _MESSAGE)
-    replies = messages.groupBy("bucket").applyInPandas(meet, "slice long, payload binary")
-    return replies.groupBy("slice").applyInPandas(settle, f"_id {kind}, _digest long, _covered binary, _begins binary, _sizes binary, _hashes binary")
+    replies = messages.repartition(n_tasks, "bucket").groupBy("bucket").applyInPandas(meet, "slice long, payload binary")
+    return replies.repartition(n_tasks, "slice").groupBy("slice").applyInPandas(settle, f"_id {kind}, _digest long, _covered binary, _begins binary, _sizes binary, _hashes binary")
 
 
-def compare_segments(joined: DataFrame, length: int) -> DataFrame:
+def compare_segments(joined: DataFrame, length: int, n_tasks: int) -> DataFrame:
     """(_id, _digest, _edges): bytes of the open segments that strings in smaller documents cover. joined: documents with their marks."""
-    n_buckets = BUCKETS_PER_PARTITION * shuffle_partitions(joined.sparkSession)
+    n_buckets = BUCKETS_PER_PARTITION * n_tasks
     kind = joined.schema["_id"].dataType.simpleString()
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +301,8 @@ def compare_segments(joined: DataFrame, length: int) -> DataFrame:
         out = [(*keys[d], pack_gaps(merge(at[own], at[own] + length))) for d, own in _by_owner(owner)]
         return pd.DataFrame(out, columns=["_id", "_digest", "_edges"]).astype({"_id": object})
 
-    replies = joined.mapInArrow(scatter, _MESSAGE).groupBy("bucket").applyInPandas(meet, "slice long, payload binary")
-    return replies.groupBy("slice").applyInPandas(settle, f"_id {kind}, _digest long, _edges binary")
+    replies = joined.mapInArrow(scatter, _MESSAGE).repartition(n_tasks, "bucket").groupBy("bucket").applyInPandas(meet, "slice long, payload binary")
+    return replies.repartition(n_tasks, "slice").groupBy("slice").applyInPandas(settle, f"_id {kind}, _digest long, _edges binary")
 
 
 def _with_marks(source: DataFrame, marks: DataFrame) -> DataFrame:
@@ -314,9 +314,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept, kept_sha256) for every row; spans: [begin, end) of bytes, flattened;
     kept: the remaining bytes. Ids are integers."""
     source = with_text(docs, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), F.xxhash64("_text").alias("_digest"), "_text")
-    marks = materialize(find_segments(source, length).dropDuplicates(["_id", "_digest"]), "suffix-marks")
+    n_tasks = parts(docs.sparkSession, text_bytes(source), TEXT_PER_TASK)
+    marks = materialize(find_segments(source, length, n_tasks).dropDuplicates(["_id", "_digest"]), "suffix-marks")
     joined = _with_marks(source, marks.drop("_covered"))
-    hits = compare_segments(joined, length)
+    hits = compare_segments(joined, length, n_tasks)
     edges = marks.select("_id", "_digest", F.col("_covered").alias("_edges")).unionAll(hits.dropDuplicates(["_id", "_digest"])).groupBy("_id", "_digest").agg(F.collect_list("_edges").alias("_edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
