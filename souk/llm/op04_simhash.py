@@ -1,11 +1,12 @@
 """SimHash near-duplicates through an inverted index on byte positions, with count filtering.
 
-Two 64-bit fingerprints that differ in at most 3 bits share at least 5 of their 8 bytes, each at its position. So of any 6
-positions they share at least 3: the index holds each distinct fingerprint under the 20 triples of the first six
-positions. Under a key, the bytes that a pair shares are tallied over all 8 positions; pairs with the guaranteed minimum
-of 5 are verified by their differing bits. Where a key holds many fingerprints, they are split again by two more
-positions, of which a pair must share both for some choice, and links are followed breadth first among those not yet
-reached: a key gives at most one link for each fingerprint it holds, never all pairs.
+Two 64-bit fingerprints that differ in at most 3 bits share at least 5 of their 8 bytes, each at its position. The index
+holds each distinct fingerprint under 14 quadruples of positions, the blocks of the affine space over 3 bits: any 5 positions
+hold one of them. Keys are counted by an aggregate and those of a single fingerprint dropped. Under a key, the bytes that a
+pair shares are tallied over all 8 positions; pairs with the guaranteed minimum of 5 are verified by their differing bits.
+Where a key holds many fingerprints, each is indexed again by one more position, of which a pair must share some: such a
+key fixes 5 bytes, so it holds at most 2^24 fingerprints (128 MB) however large the input. Links are followed breadth
+first among those not yet reached: a key gives at most one link for each fingerprint it holds, never all pairs.
 
 Links join the distinct fingerprints into components with joins and aggregates only. Copies share a fingerprint and are
 counted once before any of this.
@@ -24,25 +25,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import binary_column, materialize, mix, shuffle_partitions, slices, with_text
+from souk.llm.common import binary_column, materialize, parts, slices, unused, with_text
 from souk.llm.components import components
-from souk.llm.exchange import BUCKETS_PER_PARTITION
 
 #: Fixed by the contract.
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-#: Bytes of 8 that must agree if at most MAX_BITS bits differ, and the positions that are indexed.
+#: Bytes of 8 that must agree if at most MAX_BITS bits differ, and the positions that are indexed together.
 MIN_MATCHES = 8 - MAX_BITS
-INDEXED = 6
-TRIPLES = tuple(combinations(range(INDEXED), MIN_MATCHES - (8 - INDEXED)))
-#: Keys with more fingerprints than this are split by two more positions.
+BLOCKS = tuple(b for b in combinations(range(8), MIN_MATCHES - 1) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0)
+#: Keys with more fingerprints than this are split by one more position.
 SPLIT_ABOVE = 4096
 #: Keys with at most this many are compared pair by pair.
 SMALL = 8
+#: Entries of a task.
+ENTRIES_PER_TASK = 500_000
+#: Fingerprints of one key from which on links are looked up among all neighbours of a fingerprint.
+LOOK_UP_ABOVE = 20_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -74,15 +77,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint's 64 bits as a signed long."""
-    source = with_text(docs, id_col, text_col)
+    """(doc_id, digest, fp) for every row; fp is the fingerprint's 64 bits as a signed long, digest a hash of the text."""
+    source = with_text(docs, id_col, text_col).select("_id", F.xxhash64("_text").alias("_digest"), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             values = np.array([fingerprint(t) for t in binary_column(batch, "_text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["doc_id", "digest", "fp"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['_id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(run, f"doc_id {source.schema['_id'].dataType.simpleString()}, digest long, fp long")
 
 
 def linked(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -109,95 +112,103 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def key_links(fps: np.ndarray, triple: tuple[int, ...]) -> list[tuple[int, int]]:
-    """Links among the fingerprints of one key."""
-    if fps.size <= SPLIT_ABOVE:
-        return forest(fps)
+def neighbour_links(fps: np.ndarray) -> list[tuple[int, int]]:
+    """The same for many fingerprints that share 5 bytes: each is linked to the first found of those that differ from it in a given
+    set of bits, so the work is in proportion to their number."""
+    fps = np.unique(fps)
+    free = [b for b in range(64) if ((fps ^ fps[0]) >> np.uint64(b) & np.uint64(1)).any()]
     links = []
-    parts = fps.view(np.uint8).reshape(-1, 8)
-    for a, b in combinations([p for p in range(8) if p not in triple], 2):
-        key = parts[:, a].astype(np.int64) << 8 | parts[:, b]
-        order = np.argsort(key, kind="stable")
-        for own in np.split(fps[order], np.flatnonzero(np.diff(key[order])) + 1):
-            if own.size > 1:
-                links += forest(own)
+    for n in range(1, MAX_BITS + 1):
+        for bits in combinations(free, n):
+            other = fps ^ np.uint64(sum(1 << b for b in bits))
+            at = np.minimum(np.searchsorted(fps, other), fps.size - 1)
+            hit = (fps[at] == other) & (fps < other)
+            links += zip(fps[hit].tolist(), other[hit].tolist(), strict=True)
     return links
 
 
-def bucket_links(fps: np.ndarray, kinds: np.ndarray) -> pd.DataFrame:
-    """Links among the index entries of a bucket: fingerprint and number of its triple."""
-    parts = fps.view(np.uint8).reshape(-1, 8)
-    picked = np.array(TRIPLES)[kinds]
-    key = kinds.astype(np.int64)
-    for j in range(picked.shape[1]):
-        key = key << 8 | np.take_along_axis(parts, picked[:, j : j + 1], 1)[:, 0]
-    order = np.lexsort((fps, key))
-    fps, key, kinds = fps[order], key[order], kinds[order]
-    begins = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
-    sizes = np.diff(begins, append=key.size)
+def bucket_links(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
+    """Links among the index entries of a bucket."""
+    order = np.lexsort((fps, keys))
+    fps, keys = fps[order], keys[order]
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
+    sizes = np.diff(begins, append=keys.size)
     links = []
     small = np.repeat(sizes <= SMALL, sizes)
     for step in range(1, SMALL):
-        at = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
+        at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
         if not at.size:
             break
         hit = at[linked(fps[at], fps[at + step])]
         links += zip(fps[hit].tolist(), fps[hit + step].tolist(), strict=True)
     for begin, n in zip(begins[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        links += key_links(fps[begin : begin + n], TRIPLES[kinds[begin]])
+        links += (forest if n <= LOOK_UP_ABOVE else neighbour_links)(fps[begin : begin + n])
     pairs = np.array(sorted({(min(p), max(p)) for p in links}), np.uint64).reshape(-1, 2).view(np.int64)
     return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def _masked(positions: tuple[int, ...]) -> Column:
+    """The bytes of a fingerprint at some positions, as a column; with the positions themselves it makes a key."""
+    mask = sum(0xFF << 8 * p for p in positions)
+    return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+
+def links(distinct: DataFrame, split_above: int | None = None) -> DataFrame:
     """(u, v): links between the distinct fingerprints fp, enough to connect every pair within MAX_BITS."""
-    n_buckets = BUCKETS_PER_PARTITION * shuffle_partitions(distinct.sparkSession)
-
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            parts = fps.view(np.uint8).reshape(-1, 8).astype(np.uint64)
-            buckets, kinds = [], []
-            for k, triple in enumerate(TRIPLES):
-                key = np.full(fps.size, np.uint64(k))
-                for p in triple:
-                    key = key << np.uint64(8) | parts[:, p]
-                buckets.append((mix(key) % np.uint64(n_buckets)).astype(np.int64))
-                kinds.append(np.full(fps.size, k, np.uint8))
-            bucket, kind, every = np.concatenate(buckets), np.concatenate(kinds), np.tile(fps, len(TRIPLES))
-            order = np.argsort(bucket, kind="stable")
-            bucket, kind, every = bucket[order], kind[order], every[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            spans = list(zip([0, *cuts], [*cuts, bucket.size], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans]), pa.array([every[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([kind[a:b].tobytes() for a, b in spans], pa.binary())], names=["bucket", "fps", "kinds"])
+    spark, split_above = distinct.sparkSession, split_above or SPLIT_ABOVE
+    indexed = distinct.select("fp", F.posexplode(F.array(*[_masked(b) for b in BLOCKS])).alias("block", "part")).withColumn("key", F.xxhash64("block", "part"))
+    counted = materialize(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "k"), "simhash-keys")
+    shared = indexed.join(counted, F.col("key") == F.col("k")).select("fp", "block", "key", "n")
+    more = F.element_at(F.array(*[F.array(*[_masked((*b, p)) for p in range(8) if p not in b]) for b in BLOCKS]), F.col("block") + 1)
+    hot = shared.where(F.col("n") > split_above).select("fp", "block", F.posexplode(more).alias("place", "part")).select("fp", F.xxhash64("block", "place", "part").alias("key"))
+    entries = shared.where(F.col("n") <= split_above).select("fp", "key").unionAll(hot)
+    n_tasks = parts(spark, counted.agg(F.sum(F.when(F.col("n") > split_above, 4 * F.col("n")).otherwise(F.col("n")))).first()[0], ENTRIES_PER_TASK)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        return bucket_links(np.concatenate([np.frombuffer(x, np.uint64) for x in group["fps"]]), np.concatenate([np.frombuffer(x, np.uint8) for x in group["kinds"]]))
+        return bucket_links(group["key"].to_numpy(np.int64), group["fp"].to_numpy(np.int64).view(np.uint64))
 
-    cells = distinct.select("fp").mapInArrow(scatter, "bucket long, fps binary, kinds binary")
-    return cells.groupBy("bucket").applyInPandas(meet, "u long, v long")
+    bucketed = entries.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(2 * n_tasks)))
+    return bucketed.repartition(n_tasks, "bucket").groupBy("bucket").applyInPandas(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) for every row of docs."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, fp, root, component_id) for every row of docs."""
     own = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     found = components(links(distinct))
     rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    classes = rooted.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("class_fp"), "component_id")
-    return own.join(classes, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = rooted.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("class_fp"), "root", "component_id")
+    return own.join(classes, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "digest", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, fingerprint, component_id) for every row of docs."""
+    return _rooted(docs, id_col, text_col).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each root of found (doc_id, digest, root): of the smallest id (null last), then of the smallest digest of a
+    text. Rows that share both are copies, of which any one stays."""
+    own = found.groupBy("doc_id", "digest", "root").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest"))
+    chosen = own.groupBy("root").agg(first.alias("z")).select(F.col("root").alias("r"), "z")
+    judged = materialize(own.join(chosen, F.col("root") == F.col("r")).select("doc_id", "digest", "n", (F.col("doc_id").eqNullSafe(F.col("z.doc_id")) & (F.col("digest") == F.col("z.digest"))).alias("stays")), "kept-keys")
+    k_id, k_digest, place = unused(docs.columns, "_key_id", "_key_digest", "_place")
 
+    def keys(where: str) -> DataFrame:
+        return judged.where(where).select(F.col("doc_id").alias(k_id), F.col("digest").alias(k_digest))
 
-def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id is the component_id that found has for it."""
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col(k_id)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(k_digest))
+    left = docs.join(keys("not stays"), same, "left_anti")
+    if judged.where("stays and n > 1").isEmpty():
+        return left
+    again = keys("stays and n > 1")
+    over = Window.partitionBy(id_col, F.xxhash64(F.col(text_col).cast("string"))).orderBy(F.lit(1))
+    copies = left.join(again, same, "left_semi").withColumn(place, F.row_number().over(over)).where(F.col(place) == 1).drop(place)
+    return left.join(again, same, "left_anti").unionAll(copies)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns; of rows that share that id all stay,
-    and rows with a null id go unless their component has no other id."""
-    return keep_smallest(docs, near_duplicates(docs, id_col, text_col), id_col)
+    """One row of docs for each component, with all its columns: see keep_one."""
+    return keep_one(docs, _rooted(docs, id_col, text_col), id_col, text_col)

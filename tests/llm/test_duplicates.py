@@ -10,7 +10,9 @@ import pandas as pd
 import pytest
 import xxhash
 
-from souk.llm import components, op03_suffix_dedup, op04_simhash, op10_substrings
+from pyspark.sql import functions as F
+
+from souk.llm import components, op03_suffix_dedup, op04_simhash, op10_substrings, similar
 from souk.llm.suffix import SENTINEL, shared_prefix_groups
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,12 +64,13 @@ def test_simhash(docs):
     assert rows(op04_simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == expected
     kept = op04_simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    assert rows(kept, "doc_id") == sorted(((d,) for d, _, c in expected if d == c or c is None), key=repr)
+    assert rows(kept, "doc_id") == sorted(((first.get(c),) for c in set(root.values())), key=repr)
 
 
-@pytest.mark.parametrize("split", [4096, 40])
-def test_links_connect_all_near_fingerprints(spark, monkeypatch, split):
+@pytest.mark.parametrize("split, look_up", [(4096, 20_000), (40, 20_000), (40, 10)])
+def test_links_connect_all_near_fingerprints(spark, monkeypatch, split, look_up):
     monkeypatch.setattr(op04_simhash, "SPLIT_ABOVE", split)
+    monkeypatch.setattr(op04_simhash, "LOOK_UP_ABOVE", look_up)
     r = random.Random(5)
     centre = r.getrandbits(64)
     fps = {r.getrandbits(64) for _ in range(500)} | {0, (1 << 64) - 1, centre}
@@ -77,9 +80,8 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, split):
             x ^= 1 << r.randrange(64)
         fps.add(x)
     fps = sorted(fps)
-    table = np.array(fps, np.uint64)
-    kinds = np.repeat(np.arange(20, dtype=np.uint8), len(fps))
-    pairs = op04_simhash.bucket_links(np.tile(table, 20), kinds)
+    distinct = spark.createDataFrame(pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64)}))
+    pairs = op04_simhash.links(distinct).toPandas()
     u, v = (pairs[c].to_numpy().view(np.uint64) for c in "uv")
     assert (np.bitwise_count(u ^ v) <= 3).all()
     frame = spark.createDataFrame(pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)}))
@@ -95,6 +97,18 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, split):
     assert all(len(g) == 1 for g in groups.values()) and len({x for g in groups.values() for x in g}) == len(groups)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids, texts and null ids, and columns with the operator's own names."""
+    near = "a text of some words that is copied once and once again here"
+    docs = [(5, near), (5, near), (2, near), (5, "other words stand under the same id"), (None, near), (None, "only null ids have this text"), (None, "only null ids have this text"), (9, "x"), (8, None), (7, "")]
+    frame = spark.createDataFrame([(*x, i, "g", 0.5) for i, x in enumerate(docs)], "doc_id long, text string, _gone long, root string, n double").withColumn("_key_id", F.lit(1)).withColumn("_key_digest", F.lit(2)).withColumn("_place", F.lit(3))
+    for keep in (op04_simhash.keep_first, similar.keep_first):
+        got = keep(frame)
+        assert got.columns == frame.columns
+        kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+        assert kept == sorted([(2, near), (5, "other words stand under the same id"), (None, "only null ids have this text"), (9, "x"), (7, "")], key=repr)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -1,16 +1,18 @@
-"""The pipeline against its stages done one document at a time."""
+"""The pipeline against its stages done one document at a time, and its stages on odd rows."""
 
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from souk.llm import op02_quality, op05_mixing, op07_lines  # noqa: E402
 from tests.llm.test_documents import hits  # noqa: E402
-from tests.llm.test_duplicates import brute_components, brute_fingerprint  # noqa: E402
+from tests.llm.test_duplicates import WORDS  # noqa: E402
+from tests.llm.test_similar import brute_first  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,7 +24,7 @@ def test_pipeline_equals_brute_force(spark):
     assert len(rows) > 0.8 * docs.count()
 
     def norm(line):
-        return " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+        return " ".join(WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), line)))
 
     sites, keeper = defaultdict(set), {}
     for r in rows:
@@ -35,12 +37,9 @@ def test_pipeline_equals_brute_force(spark):
         left = [x for x in lines if not (len(sites[norm(x)]) >= op07_lines.MIN_SITES and keeper[norm(x)] != r["doc_id"])]
         if any(norm(x) for x in left) or not any(norm(x) for x in lines):
             kept.append((r["doc_id"], r["source"], "\n".join(left)))
-    fps = {d: brute_fingerprint(t) for d, _, t in kept}
-    root = brute_components(list(fps.values()))
-    first = {}
-    for d, f in fps.items():
-        first[root[f]] = min(first.get(root[f], d), d)
-    kept = [x for x in kept if first[root[fps[x[0]]]] == x[0]]
+    # the rule for near-duplicate stages: five-word similarity of 0.8 or more; and what fingerprints link
+    first = brute_first([(d, t) for d, _, t in kept])
+    kept = [x for x in kept if first[x[0]] == x[0]]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = [x for x in kept if not hits(x[2], items)[-1]]
     frame = spark.createDataFrame(kept, "doc_id long, source string, text string")
@@ -49,3 +48,20 @@ def test_pipeline_equals_brute_force(spark):
     assert got.columns == docs.columns
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter({(d, t): copies[d] for d, _, t in kept if copies[d]})
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
+
+
+def test_stages_take_odd_rows(odd_docs, spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and no rows at all: each stage keeps the columns."""
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(str(tmp_path / f"{table}.parquet"))
+    wide = odd_docs.select("*", *[F.lit("x").alias(c) for c in ("lang", "_gone", "n_lines", "mix_n", "_row", "_key_id", "digest")])
+    twice = wide.unionAll(wide.where("doc_id < 8"))
+    for frame in (twice, twice.where("false")):
+        docs = frame
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path)).cache()
+            assert out.columns == frame.columns, name
+            assert frame.isEmpty() == out.isEmpty(), name
+            if name == "near dedup":
+                assert out.count() == out.select("doc_id", "text").distinct().count()
+            docs = out if not out.isEmpty() else docs

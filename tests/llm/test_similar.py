@@ -2,13 +2,11 @@
 
 import random
 import re
-from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from souk.llm import op02_quality, op04_simhash, op05_mixing, op07_lines, similar
-from tests.llm.test_documents import hits
+from souk.llm import op04_simhash, similar
 from tests.llm.test_duplicates import WORDS, brute_components, brute_fingerprint
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -72,6 +70,7 @@ def test_equals_all_pairs(spark, small_docs):
 def test_large_keys_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(similar, "SMALL", 4)
     monkeypatch.setattr(similar, "NEIGHBOURS", 1)
+    monkeypatch.setattr(similar, "BLOCK", 16)
     docs = list(enumerate([*copies(60, 200, 2, 2), *copies(40, 200, 5, 3), *copies(40, 120, 3, 4)]))
     found = {r["doc_id"]: r["component_id"] for r in similar.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == brute_first(docs)
@@ -80,32 +79,3 @@ def test_large_keys_lose_no_link(spark, monkeypatch):
 def test_empty_table(empty_docs):
     assert similar.near_copies(empty_docs).count() == 0
     assert similar.sketch(np.zeros(0, np.uint64)) == bytes(similar.HASHES)
-
-
-def test_pipeline_with_similar_documents(spark):
-    """test_pipeline.py's brute force, whose near-dedup step knows fingerprints only, with all pairs of five-word sets."""
-    sf = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = op02_quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    rows = [r for r in docs.collect() if model.score(np.array([op02_quality.statistics(r["text"].encode())]))[0] >= 0.3]
-
-    def norm(line):
-        return " ".join(WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), line)))
-
-    sites, keeper = defaultdict(set), {}
-    for r in rows:
-        for x in {norm(x) for x in r["text"].split("\n")} - {""}:
-            sites[x].add(r["source"])
-            keeper[x] = min(keeper.get(x, r["doc_id"]), r["doc_id"])
-    kept = []
-    for r in rows:
-        lines = r["text"].split("\n")
-        left = [x for x in lines if not (len(sites[norm(x)]) >= op07_lines.MIN_SITES and keeper[norm(x)] != r["doc_id"])]
-        if any(norm(x) for x in left) or not any(norm(x) for x in lines):
-            kept.append((r["doc_id"], r["source"], "\n".join(left)))
-    first = brute_first([(d, t) for d, _, t in kept])
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    kept = [x for x in kept if first[x[0]] == x[0] and not hits(x[2], items)[-1]]
-    copies = {r["doc_id"]: r["copies"] for r in op05_mixing.mix_sources(spark.createDataFrame(kept, "doc_id long, source string, text string")).collect()}
-    got = corpus_pipeline.run(spark, sf)
-    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter({(d, t): copies[d] for d, _, t in kept if copies[d]})
