@@ -12,8 +12,10 @@ whole corpus fits no machine, so strings are first brought together with all the
    themselves. Of each set of equal strings, all those outside the smallest document are hits.
 4. Covered segments and hits are merged into maximal runs of bytes for each document.
 
-Groups stay small whatever the skew: a segment that a third of all documents hold is one entry for each slice of documents
-that has it, and copies within a slice are settled there.
+Groups stay small whatever the skew. A segment that a third of all documents hold is one entry for each slice of documents
+that has it, and copies within a slice are settled there. The edges of a common passage give each document a segment of its
+own under one hash: where a hash has more than HOT different segments in a bucket, its strings are dealt out one by one, by
+a hash of all their bytes, and a slice sends each of them once, so that equal strings meet and no others need to.
 
 Defined results: a null text is empty; texts shorter than `length` lose nothing; rows with equal ids are one document, so they
 take nothing from each other; rows with a null id are kept whole and cover nothing; an empty table gives no rows. Equal
@@ -43,6 +45,8 @@ from souk.llm.suffix import SENTINEL, shared_prefix_groups
 LENGTH = 50
 #: Bytes of the strings whose least hash says where a longer string belongs.
 KMER = 26
+#: Different segments of one hash above which their strings are dealt out one by one.
+HOT = 2000
 _BASE, _CONTENT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MESSAGE = "bucket long, slice long, payload binary"
 
@@ -144,9 +148,9 @@ def _by_owner(owner: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def find_segments(docs: DataFrame, length: int, n_tasks: int) -> DataFrame:
-    """(_id, _digest, _covered, _begins, _sizes, _hashes): for documents that have any, edges of what equal segments cover, and
+    """(_id, _digest, _covered, _begins, _sizes, _hashes, _hots): for documents that have any, edges of what equal segments cover, and
     the segments to compare byte by byte."""
-    n_buckets = BUCKETS_PER_PARTITION * n_tasks
+    n_buckets, hot = BUCKETS_PER_PARTITION * n_tasks, HOT
     kind = docs.schema["_id"].dataType.simpleString()
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +200,11 @@ def find_segments(docs: DataFrame, length: int, n_tasks: int) -> DataFrame:
             new_c = new_h | np.concatenate([[True], c_o[1:] != c_o[:-1]])
             first_doc = d_o[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
             begins = np.flatnonzero(new_h)
-            several = np.add.reduceat(new_c.astype(np.int64), begins) > 1
+            different = np.add.reduceat(new_c.astype(np.int64), begins)
+            several = different > 1
             several &= np.minimum.reduceat(first_doc, begins) != np.maximum.reduceat(first_doc, begins)
             state = np.empty(order.size, np.int8)
-            state[order] = np.where(d_o > first_doc, 1, np.where(several[np.cumsum(new_h) - 1], 2, 0))
+            state[order] = np.where(d_o > first_doc, 1, np.where(several[np.cumsum(new_h) - 1], np.where(different[np.cumsum(new_h) - 1] > hot, 3, 2), 0))
             at = 0
             for number, c in zip(numbers, cells, strict=True):
                 n = len(c[0]) // 4
@@ -207,8 +212,8 @@ def find_segments(docs: DataFrame, length: int, n_tasks: int) -> DataFrame:
                 at += n
                 if own.any():
                     begin, size, hashes = unpack_gaps(c[3]), widen(c[4]), np.frombuffer(c[0], np.uint32)
-                    one, two = own == 1, own == 2
-                    out.append((number, pickle.dumps(("reply", pack_gaps(begin[one]), narrow(size[one]), pack_gaps(begin[two]), narrow(size[two]), hashes[two].tobytes()), protocol=5)))
+                    one, two = own == 1, own >= 2
+                    out.append((number, pickle.dumps(("reply", pack_gaps(begin[one]), narrow(size[one]), pack_gaps(begin[two]), narrow(size[two]), hashes[two].tobytes(), (own[two] == 3).tobytes()), protocol=5)))
         return pd.DataFrame(out, columns=["slice", "payload"])
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
@@ -221,18 +226,38 @@ def find_segments(docs: DataFrame, length: int, n_tasks: int) -> DataFrame:
         open_begin = np.concatenate([np.zeros(0, np.int64), *(unpack_gaps(r[2]) for r in replies)])
         open_size = np.concatenate([np.zeros(0, np.int64), *(widen(r[3]) for r in replies)])
         open_hash = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r[4], np.uint32) for r in replies)])
+        open_hot = np.concatenate([np.zeros(0, bool), *(np.frombuffer(r[5], bool) for r in replies)])
         order = np.argsort(open_begin)
-        open_begin, open_size, open_hash = open_begin[order], open_size[order], open_hash[order]
+        open_begin, open_size, open_hash, open_hot = open_begin[order], open_size[order], open_hash[order], open_hot[order]
         made: dict[int, list] = {}
         for d, own in _by_owner(_Slice.owners(starts, edges[:, 0])):
-            made.setdefault(d, [b"", b"", b"", b""])[0] = pack_gaps((edges[own] - starts[d]).ravel())
+            made.setdefault(d, [b""] * 5)[0] = pack_gaps((edges[own] - starts[d]).ravel())
         for d, own in _by_owner(_Slice.owners(starts, open_begin)):
-            made.setdefault(d, [b"", b"", b"", b""])[1:] = [pack_gaps(open_begin[own] - starts[d]), narrow(open_size[own]), open_hash[own].tobytes()]
-        return pd.DataFrame([(ids[d], digests[d], *x) for d, x in made.items()], columns=["_id", "_digest", "_covered", "_begins", "_sizes", "_hashes"]).astype({"_id": object})
+            made.setdefault(d, [b""] * 5)[1:] = [pack_gaps(open_begin[own] - starts[d]), narrow(open_size[own]), open_hash[own].tobytes(), open_hot[own].tobytes()]
+        return pd.DataFrame([(ids[d], digests[d], *x) for d, x in made.items()], columns=["_id", "_digest", "_covered", "_begins", "_sizes", "_hashes", "_hots"]).astype({"_id": object})
 
     messages = docs.mapInArrow(scatter, _MESSAGE)
     replies = messages.repartition(n_tasks, "bucket").groupBy("bucket").applyInPandas(meet, "slice long, payload binary")
-    return replies.repartition(n_tasks, "slice").groupBy("slice").applyInPandas(settle, f"_id {kind}, _digest long, _covered binary, _begins binary, _sizes binary, _hashes binary")
+    return replies.repartition(n_tasks, "slice").groupBy("slice").applyInPandas(settle, f"_id {kind}, _digest long, _covered binary, _begins binary, _sizes binary, _hashes binary, _hots binary")
+
+
+def _strings(data: list[bytes], documents: np.ndarray, owner: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The strings of segments, once for each that the slice has: (places, owners, hashes of all bytes) in their smallest document, and
+    (owners, places) of those in other documents, which need no other slice to be covered."""
+    at, of, keys = [], [], []
+    for o, own in _by_owner(owner):
+        hashes = _block_hashes(np.frombuffer(data[o], np.uint8), length)
+        places = np.unique(np.concatenate([np.arange(b, b + n - length + 1) for b, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)]))
+        at.append(places)
+        of.append(np.full(places.size, o))
+        keys.append(hashes[places])
+    at, of, keys = np.concatenate(at), np.concatenate(of), np.concatenate(keys)
+    order = np.lexsort((documents[of], keys))
+    at, of, keys = at[order], of[order], keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    smallest = documents[of][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = documents[of] > smallest
+    return at[~later], of[~later], keys[~later], (of[later], at[later])
 
 
 def compare_segments(joined: DataFrame, length: int, n_tasks: int) -> DataFrame:
@@ -244,21 +269,26 @@ def compare_segments(joined: DataFrame, length: int, n_tasks: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         for seq, batch in enumerate(slices(batches, "_text")):
             number = part << 32 | seq
-            begins, sizes, hashes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_begins", "_sizes", "_hashes"))
+            begins, sizes, hashes, hots = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_begins", "_sizes", "_hashes", "_hots"))
             rows = sorted({(i, g): r for r, (i, g, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), begins, strict=True)) if b}.items())
             if not rows:
                 continue
             texts = batch.column(batch.schema.get_field_index("_text"))
-            found = [(unpack_gaps(begins[r]), widen(sizes[r]), np.frombuffer(hashes[r], np.uint32)) for _, r in rows]
+            found = [(unpack_gaps(begins[r]), widen(sizes[r]), np.frombuffer(hashes[r], np.uint32), np.frombuffer(hots[r], bool)) for _, r in rows]
             data = [texts[r].as_py().encode() for _, r in rows]
             counts = [f[0].size for f in found]
-            begin, size, h = (np.concatenate([f[j] for f in found]) for j in range(3))
+            begin, size, h, hot = (np.concatenate([f[j] for f in found]) for j in range(4))
             owner = np.repeat(np.arange(len(rows)), counts)
+            route, settled = h.astype(np.uint64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if hot.any():
+                documents = np.array([k[0] for k, _ in rows], np.int64)
+                at, of, keys, settled = _strings(data, documents, owner[hot], begin[hot], size[hot], length)
+                begin, size, owner, route = np.concatenate([begin[~hot], at]), np.concatenate([size[~hot], np.full(at.size, length)]), np.concatenate([owner[~hot], of]), np.concatenate([route[~hot], keys])
             out = []
-            for b, own in _cells((mix(h.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)):
+            for b, own in _cells((mix(route) % np.uint64(n_buckets)).astype(np.int64)):
                 parts = [data[o][x : x + s] for o, x, s in zip(owner[own].tolist(), begin[own].tolist(), size[own].tolist(), strict=True)]
                 out.append((b, number, ("cell", np.array([rows[o][0][0] for o in owner[own].tolist()], np.int64).tobytes(), owner[own].astype(np.int32).tobytes(), begin[own].tobytes(), size[own].tobytes(), b"".join(parts))))
-            out.append((_spread(number, n_buckets), number, ("head", [k for k, _ in rows])))
+            out.append((_spread(number, n_buckets), number, ("head", [k for k, _ in rows], *settled)))
             yield _message(out)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -293,9 +323,9 @@ def compare_segments(joined: DataFrame, length: int, n_tasks: int) -> DataFrame:
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         payloads = [pickle.loads(b) for b in group["payload"]]
-        keys = next(p for p in payloads if p[0] == "head")[1]
-        owner = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(p[1], np.int32) for p in payloads if p[0] == "reply")])
-        at = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p[2], np.int64) for p in payloads if p[0] == "reply")])
+        _, keys, settled_owner, settled_at = next(p for p in payloads if p[0] == "head")
+        owner = np.concatenate([settled_owner, *(np.frombuffer(p[1], np.int32) for p in payloads if p[0] == "reply")])
+        at = np.concatenate([settled_at, *(np.frombuffer(p[2], np.int64) for p in payloads if p[0] == "reply")])
         order = np.lexsort((at, owner))
         owner, at = owner[order], at[order]
         out = [(*keys[d], pack_gaps(merge(at[own], at[own] + length))) for d, own in _by_owner(owner)]

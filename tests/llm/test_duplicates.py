@@ -165,8 +165,13 @@ def test_shared_prefix_groups(seed):
     assert {tuple(sorted(x)) for x in got.values()} == {tuple(x) for x in where.values() if len(x) > 1}
 
 
-def test_suffix_dedup(spark, docs):
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_suffix_dedup(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(op03_suffix_dedup, "HOT", hot)
     pieces = [(100, "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt"), (101, "xx Lorem ipsum dolor sit amet, consectetur adipiscing eliT"), (102, "ab" * 300), (103, "zz" + "ab" * 40 + "q"), (104, "é" * 24 + "ab"), (105, "é" * 26)]
+    r = random.Random(4)
+    passage = "a passage that stands in many documents, each time with other words before and after it."
+    pieces += [(200 + i, "".join(r.choice("abcdefgh ") for _ in range(90)) + passage + "".join(r.choice("abcdefgh ") for _ in range(70))) for i in range(40)]
     frame = docs.select("doc_id", "text").union(spark.createDataFrame(pieces, "doc_id long, text string"))
     all_rows = frame.collect()
     first = {}
