@@ -51,7 +51,12 @@ def base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
 
 
-def test_rule_counts_and_verdicts(docs):
+@pytest.mark.parametrize("least, share", [(1, 0.02), (op09_rules.MIN_DOCS, op09_rules.MAX_SHARE), (3, 0.5)])
+def test_rule_counts_and_verdicts(spark, docs, least, share):
+    """Also with production limits, over added documents of which many share a line."""
+    shared = [(1000 + i, "a line that many documents of one host have in common\n" + " ".join(f"own{i}x{k}" for k in range(60)), f"src{i % 2}") for i in range(40)]
+    shared += [(2000 + i, "\n".join([f"common line {k} " * 12 for k in range(5)]) + f"\nown {i}", None) for i in range(12)]
+    docs = docs.select("doc_id", "text", "source").unionAll(spark.createDataFrame(shared, "doc_id long, text string, source string"))
     all_rows = docs.collect()
     hosts = Counter(r["source"] for r in all_rows)
     on = Counter()
@@ -61,11 +66,11 @@ def test_rule_counts_and_verdicts(docs):
     expected = []
     for r in all_rows:
         counts = base(r["text"])
-        over = lambda x, h=r["source"]: on[h, norm(x)] > max(1, 0.02 * hosts[h])
+        over = lambda x, h=r["source"]: on[h, norm(x)] > max(least, share * hosts[h])
         gone = sum(len(WORDS.findall(x)) for x in (r["text"] or "").split("\n") if over(x))
         failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
         expected.append((r["doc_id"], *counts, failed, gone, not failed and counts[0] - gone >= 0.5 * counts[0]))
-    got = op09_rules.quality_rules(docs, min_docs=1)
+    got = op09_rules.quality_rules(docs, min_docs=least, max_share=share)
     assert rows(got, "doc_id", *op09_rules.COUNTS, "base_failed", "boilerplate_words", "kept") == sorted(expected, key=repr)
 
 
