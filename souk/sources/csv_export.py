@@ -13,7 +13,8 @@ from souk.plans.cleaning import EXPORT_COLUMNS
 from souk.sources.files import Files
 from souk.sources.lake import Lake
 
-NAME = re.compile(r"marketplace_(\d{4}-\d{2}-\d{2})\.csv")
+#: Fixed value: how the files are named.
+NAME = re.compile(r"marketplace_orders_(\d{4}-\d{2}-\d{2})\.csv")
 
 
 class MissingFiles(RuntimeError):
@@ -32,9 +33,14 @@ def select_days(files: dict[dt.date, str], first: dt.date, last: dt.date) -> tup
 
 
 def read(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """All text. A renamed or reordered header fails the read; a row of other length is kept, with its line in _corrupt_record."""
+    """All text. A renamed or reordered header fails the read; a row of other length is kept, with its line in _corrupt_record.
+    Paths that are all the export files of a folder are read as that folder, which is listed once."""
+    paths = list(paths)
+    folders = {p.rsplit("/", 1)[0] for p in paths}
+    whole = len(folders) == 1 and len(paths) > 1 and len(paths) == len(available(spark, folder := next(iter(folders))))
     schema = ", ".join(f"{c} STRING" for c in [*EXPORT_COLUMNS, "_corrupt_record"])
-    return spark.read.csv(list(paths), schema=schema, sep=";", header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    reader = spark.read.option("pathGlobFilter", "marketplace_orders_*.csv") if whole else spark.read
+    return reader.csv(folder if whole else paths, schema=schema, sep=";", header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
 
 
 def with_lineage(df: DataFrame, run_id: str) -> DataFrame:
@@ -49,22 +55,21 @@ def load(spark: SparkSession, lake: Lake, folder: str, first: dt.date, last: dt.
     if missing and not skip_missing:
         raise MissingFiles(", ".join(map(str, missing)))
     if files:
-        days = list(files)
-        lake.replace_where(with_lineage(read(spark, files.values()), run_id), "bronze/marketplace_orders", F.col("_file_date").isin(days))
+        lake.replace_slices(with_lineage(read(spark, files.values()), run_id), "bronze/marketplace_orders", "_file_date")
     return len(files)
 
 
 def write(df: DataFrame, folder: str) -> None:
-    """Export rows (with file_date) as one file for each day, named as the marketplace does. For fixtures."""
-    spark, files = df.sparkSession, Files(df.sparkSession)
+    """Export rows (with file_date) as one file for each day, named as the marketplace does. For fixtures. Files are written by the
+    executors, header first, and only renamed here."""
+    files = Files(df.sparkSession)
     staged = f"{folder}/_staged"
     line = F.concat_ws(";", *[F.coalesce(c, F.lit("")) for c in EXPORT_COLUMNS])
     torn = F.concat_ws(";", "numero_commande", "date_commande")
-    lines = df.select("file_date", F.when(F.col("torn"), torn).otherwise(line).alias("value"))
-    lines.repartition("file_date").write.partitionBy("file_date").option("compression", "none").text(staged)
-    header = ";".join(EXPORT_COLUMNS)
-    for part in (n for n in files.names(staged) if n.startswith("file_date=")):
-        body = "".join(files.read(f"{staged}/{part}/{n}") for n in files.names(f"{staged}/{part}") if n.startswith("part-"))
-        files.create(f"{folder}/marketplace_{part[10:]}.csv", f"{header}\n{body}")
+    lines = df.select("file_date", F.lit(1).alias("place"), F.when(F.col("torn"), torn).otherwise(line).alias("value"))
+    headers = df.select("file_date").distinct().select("file_date", F.lit(0).alias("place"), F.lit(";".join(EXPORT_COLUMNS)).alias("value"))
+    ordered = lines.unionAll(headers).repartition("file_date").sortWithinPartitions("file_date", "place")
+    ordered.select("file_date", "value").write.partitionBy("file_date").option("compression", "none").text(staged)
+    written = {re.search(r"file_date=([^/]+)/", p)[1]: p for p in files.matching(f"{staged}/file_date=*/part-*")}
+    files.rename_all({p: f"{folder}/marketplace_orders_{day}.csv" for day, p in written.items()})
     files.delete(staged)
-    del spark

@@ -1,11 +1,14 @@
-"""Lake tables: immutable Parquet parts and a chain of numbered manifests. A commit is one file created if absent, and may
-cover several tables, so readers see all of a publication or none."""
+"""Lake tables: immutable Parquet parts and a chain of numbered manifests. A commit is one file that appears whole if its number is
+free, and may cover several tables, so readers see all of a publication or none. A part may hold one slice of a table, such
+as a day, by its name; replacing slices drops and adds whole parts."""
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +33,24 @@ class Lake:
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
     def manifest(self) -> tuple[int, dict[str, list[str]]]:
-        names = [n for n in self.files.names(f"{self.root}/_manifests") if n.endswith(".json")]
+        names = [n for n in self.files.names(f"{self.root}/_manifests") if re.fullmatch(r"\d{12}\.json", n)]
         return (int(names[-1][:-5]), json.loads(self.files.read(f"{self.root}/_manifests/{names[-1]}"))) if names else (0, {})
 
     def exists(self, table: str) -> bool:
         return table in self.manifest()[1]
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.root}/{p}" for p in self.manifest()[1][table]])
+        """The table's rows. Slices that were written together are read as one folder while all of them are current."""
+        roots: dict[str, list[str]] = {}
+        for part in self.manifest()[1][table]:
+            root, _, slice_ = part.partition("/_slice=")
+            roots.setdefault(root, []).append(slice_)
+        whole = {r for r, own in roots.items() if len(own) > 1 and len(own) == sum(n.startswith("_slice=") for n in self.files.names(f"{self.root}/{r}"))}
+        single = [f"{self.root}/{r}/_slice={x}" if x else f"{self.root}/{r}" for r, own in roots.items() if r not in whole for x in own]
+        frames = [self.spark.read.parquet(f"{self.root}/{r}").drop("_slice") for r in roots if r in whole]
+        if single:
+            frames.append(self.spark.read.parquet(*single))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
     def _write(self, df: DataFrame, table: str) -> str:
         part = f"{table}/v-{uuid.uuid4().hex}"
@@ -47,10 +60,8 @@ class Lake:
     def _commit(self, number: int, tables: Mapping[str, list[str]]) -> None:
         try:
             self.files.create(f"{self.root}/_manifests/{number + 1:012d}.json", json.dumps(tables))
-        except Exception as e:
-            if "already exists" in str(e):
-                raise Conflict(f"manifest {number + 1}") from e
-            raise
+        except FileExistsError as e:
+            raise Conflict(f"manifest {number + 1}") from e
 
     def append(self, df: DataFrame, table: str) -> None:
         part = self._write(df, table)
@@ -69,14 +80,38 @@ class Lake:
         self._commit(number, tables | parts)
 
     def replace_where(self, df: DataFrame, table: str, slice_: Column) -> None:
-        """Replaces the rows of the slice; the first load creates the table. Rows outside the slice are refused."""
+        """Replaces the rows of the slice; the first load creates the table. Rows outside the slice are refused. Parts without a row
+        of the slice stay as they are."""
         number, tables = self.manifest()
-        if df.where(~F.coalesce(slice_, F.lit(False))).limit(1).count():
+        inside = F.coalesce(slice_, F.lit(False))
+        if not df.where(~inside).isEmpty():
             raise OutsideSlice(table)
-        if table in tables:
-            df = self.read(table).where(~F.coalesce(slice_, F.lit(False))).unionByName(df)
-        part = self._write(df, table)
-        self._commit(number, tables | {table: [part]})
+        kept = []
+        for part in tables.get(table, []):
+            own = self.spark.read.parquet(f"{self.root}/{part}")
+            kept.append(part if own.where(inside).isEmpty() else self._write(own.where(~inside), table))
+        self._commit(number, tables | {table: [*kept, self._write(df, table)]})
+
+    def replace_slices(self, df: DataFrame, table: str, column: str) -> None:
+        """Replaces, for each value of the column in df, all rows with that value. Each value is a part of its own: where the stored
+        parts are such slices too, nothing else is read or written. Nulls are refused."""
+        number, tables = self.manifest()
+        if not df.where(F.col(column).isNull()).isEmpty():
+            raise OutsideSlice(f"{table}: null {column}")
+        path = f"{table}/v-{uuid.uuid4().hex}"
+        df.withColumn("_slice", F.col(column).cast("string")).hint("rebalance", "_slice").write.partitionBy("_slice").parquet(f"{self.root}/{path}")
+        added = [f"{path}/{n}" for n in self.files.names(f"{self.root}/{path}") if n.startswith("_slice=")]
+        names = {p.rsplit("/", 1)[1] for p in added}
+        kept = []
+        for part in tables.get(table, []):
+            if "/_slice=" in part:
+                kept += [] if part.rsplit("/", 1)[1] in names else [part]
+                continue
+            own = self.spark.read.parquet(f"{self.root}/{part}")
+            values = df.select(F.col(column).alias("_value")).distinct()
+            touched = not own.join(values, F.col(column) == F.col("_value"), "left_semi").isEmpty()
+            kept.append(self._write(own.join(values, F.col(column) == F.col("_value"), "left_anti"), table) if touched else part)
+        self._commit(number, tables | {table: [*kept, *added]})
 
 
 def check_publishable(schema: T.StructType, table: str) -> None:

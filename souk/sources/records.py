@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -12,8 +13,6 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
 
 from souk.operators import history
 from souk.sources.files import Files
@@ -26,6 +25,7 @@ FIELDS = {
 }
 KEYS = {"customers": "customer_id", "products": "product_id"}
 PAGE_SIZE = 500
+FIRST_PAUSE = 0.5
 RETRIED = {429, 500, 502, 503, 504}
 
 
@@ -56,49 +56,23 @@ class ApiClient:
                 return json.loads(body)
             if status not in RETRIED:
                 raise ApiError(f"{url}: {status}")
-            asked = headers.get("Retry-After")
-            wait = float(asked) if asked else 2.0**attempt * random.uniform(0.75, 1.25)
             if attempt < self.tries - 1:
-                self.sleep(min(self.most, wait))
+                self.sleep(min(self.most, self.pause(attempt, headers.get("Retry-After"))))
         raise ApiError(f"{url}: {status} after {self.tries} tries")
 
+    @staticmethod
+    def pause(attempt: int, asked: str | None) -> float:
+        """Seconds to wait: what the server asks for if that is a number, else twice as long after each attempt, a little shaken."""
+        if asked and re.fullmatch(r"\d+(\.\d*)?", asked.strip()):
+            return float(asked)
+        return FIRST_PAUSE * 2.0**attempt * random.uniform(0.75, 1.25)
+
     def records(self, entity: str, updated_since: str | None = None) -> Iterator[dict]:
         number, more = 1, True
         while more:
             page = self.page(entity, number, updated_since)
-            yield from page["items"]
-            number, more = number + 1, page["has_next"]
-
-
-class ShopApi(DataSource):
-    """spark.read.format("shop_api") with options base, entity, pages, updated_since: one partition for each of `pages` page strides."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "shop_api"
-
-    def schema(self) -> StructType:
-        return StructType([StructField(f, StringType()) for f in FIELDS[self.options["entity"]]])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _ShopReader(dict(self.options))
-
-
-class _ShopReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(n) for n in range(int(self.options.get("strides", "1")))]
-
-    def read(self, partition: InputPartition):
-        entity, stride = self.options["entity"], int(self.options.get("strides", "1"))
-        client, number, more = ApiClient(self.options["base"]), partition.value + 1, True
-        while more:
-            page = client.page(entity, number, self.options.get("updated_since"))
-            for item in page["items"]:
-                yield tuple(None if item.get(f) is None else str(item[f]) for f in FIELDS[entity])
-            number, more = number + stride, page["has_next"]
+            yield from page["data"]
+            number, more = number + 1, page["pagination"]["has_next"]
 
 
 def land(spark: SparkSession, records: Iterator[dict], folder: str, run_id: str) -> int:
