@@ -7,14 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lookups up to so many rows are broadcast; Spark's size estimates decide beyond.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, which is counted first; else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
 
 def flagged(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
     """df with whether its key is among keys; false where it isn't or is null."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from souk.sources.files import stored
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key. order must be total for a defined result."""
@@ -36,6 +38,16 @@ def copies_removed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted.withColumn("removed", F.col("rows") - F.col("distinct_rows"))
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df with a running number from 0 in an order that must be total. Rows are dealt to ranges and numbered within them; only the sizes of
+    the ranges, one for each task, are summed up in one place."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n")).select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.join(starts, F.col("_range") == F.col("_r")).withColumn(name, place).drop("_range", "_r", "_start")
+
+
 def rejects(df: DataFrame, source: str, reason: str = "_reason", record: Column | None = None, reference: Column | None = None) -> DataFrame:
     """The uniform reject layout of the rows that carry a reason."""
     return df.where(F.col(reason).isNotNull()).select(

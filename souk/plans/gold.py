@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions import columns as c
@@ -28,12 +28,20 @@ def orders(silver: DataFrame) -> DataFrame:
     )
 
 
+#: The columns of current records, each with what it is made of.
+CUSTOMERS = dict.fromkeys("customer_id first_name last_name email phone city postal_code country".split()) | {"signup_ts": "created_at", "signup_date": None, "updated_at": None}
+PRODUCTS = dict.fromkeys("product_id name category brand unit_price currency is_active created_at updated_at".split())
+
+
+def _current(versions: DataFrame, columns: dict[str, str | None], **made: Column) -> DataFrame:
+    return versions.where("is_current").select(*[made.get(name, F.col(of or name)).alias(name) for name, of in columns.items()])
+
+
 def customers(versions: DataFrame) -> DataFrame:
     """The current version of each customer."""
-    return versions.where("is_current").select("customer_id", "first_name", "last_name", "email", "phone", "city", "postal_code", "country", F.col("created_at").alias("signup_ts"), c.business_day("created_at").alias("signup_date"), "updated_at")
+    return _current(versions, CUSTOMERS, signup_date=c.business_day("created_at"))
 
 
 def products(versions: DataFrame) -> DataFrame:
     """The current version of each product; a missing category or brand is Unknown."""
-    named = [F.coalesce(x, F.lit(c.UNKNOWN)).alias(x) for x in ("category", "brand")]
-    return versions.where("is_current").select("product_id", "name", *named, "unit_price", "currency", "is_active", "created_at", "updated_at")
+    return _current(versions, PRODUCTS, **{x: F.coalesce(x, F.lit(c.UNKNOWN)) for x in ("category", "brand")})

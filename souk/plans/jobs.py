@@ -11,11 +11,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.plans import cleaning, flow, gold, quality
-from souk.sources import csv_export, records
+from souk.plans import cleaning, flow, gold, quality, status, warehouse
+from souk.sources import csv_export, records, relational
 from souk.sources.files import Files, stored
 from souk.sources.lake import Lake
 from souk.streaming import ingest
@@ -51,8 +51,11 @@ class Settings:
     topic: str = _env("KAFKA_TOPIC", "orders")
     #: A folder of messages as Parquet, read in place of a topic.
     messages: str | None = None
-    #: The root of the lake that takes the published gold tables.
+    #: The root of the lake, or the JDBC URL of the database, that takes the published gold tables; the driver's class of the latter.
     warehouse: str | None = _env("WAREHOUSE_ROOT")
+    driver: str | None = _env("WAREHOUSE_DRIVER")
+    #: The folder of the calendar's CSV files.
+    seeds: str | None = _env("SEEDS_ROOT")
 
 
 def new_run_id(now: dt.datetime | None = None) -> str:
@@ -147,31 +150,17 @@ class Jobs:
 
     # quality
 
-    def views(self, now: Column) -> dict[str, Callable[[], DataFrame]]:
-        """The prepared views of the checks. A table that is missing fails its own suite only."""
-        read, today = self.read, F.to_date(F.from_utc_timestamp(now.cast("timestamp"), str(BUSINESS_ZONE)))
-        plain = lambda df: df.withColumn("_ingested_at", F.col("_ingested_at").cast("timestamp_ntz"))
-        received = lambda: reduce(DataFrame.unionAll, [read(f"bronze/{t}").select(F.lit(t).alias("source")) for t in TABLES["bronze"]])
-        return {
-            "freshness": lambda: quality.ages(now, plain(read("bronze/order_events")), plain(read("bronze/customers")), read("bronze/marketplace_orders")),
-            "silver_customers": lambda: quality.with_current_key(read("silver/customers"), "customer_id"),
-            "silver_products": lambda: quality.with_current_key(read("silver/products"), "product_id"),
-            "silver_events": lambda: read("silver/order_events"),
-            "web_lines": lambda: read("silver/web_order_lines"),
-            "marketplace_lines": lambda: read("silver/marketplace_order_lines"),
-            "reject_rates": lambda: quality.reject_rates(received(), read("silver/rejects")),
-            "gold_orders": lambda: quality.order_assertions(read("gold/orders"), today),
-            "orders_freshness": lambda: read("gold/orders").agg(F.datediff(today, F.max("order_date")).alias("days_since_last_order")),
-            "gold_lines": lambda: quality.line_assertions(read("gold/order_lines"), read("gold/orders"), read("gold/products")),
-            "gold_customers": lambda: read("gold/customers"),
-            "gold_products": lambda: read("gold/products"),
-        }
+    def frames(self) -> dict[str, Callable[[], DataFrame]]:
+        """What the checks look at, by name. A table that is missing fails its own checks only."""
+        named = {f"{layer}.{t}": (lambda n=f"{layer}/{t}": self.read(n)) for layer in ("bronze", "silver", "gold") for t in TABLES[layer]}
+        received = lambda: reduce(DataFrame.unionAll, [self.read(f"bronze/{t}").select(F.lit(t).alias("source")) for t in TABLES["bronze"]])
+        return named | {"silver.reject_rates": lambda: quality.reject_rates(received(), self.read("silver/rejects"))}
 
     def quality(self, now: dt.datetime | None = None) -> dict:
         """Runs all checks and keeps their results and the rejects by reason as history."""
         began, run_id = time.time(), new_run_id(now)
-        now = now or dt.datetime.now(dt.UTC).replace(tzinfo=None)
-        results = quality.run(self.spark, quality.suites(self.views(F.lit(now.isoformat(" ")).cast("timestamp_ntz"))), run_id, now)
+        now = now or dt.datetime.now(dt.UTC).replace(tzinfo=None, microsecond=0)
+        results = quality.run(self.spark, quality.checks(), self.frames(), run_id, now)
         self.lake.append(results, "quality/check_results")
         if self.exists("silver/rejects"):
             counted = self.lake.read("silver/rejects").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("rejected"))
@@ -188,40 +177,94 @@ class Jobs:
 
     # publication, overview
 
+    def warehouse(self) -> Lake:
+        return Lake(self.spark, self.settings.warehouse or f"{self.lake.root}/warehouse")
+
     def warehouse_load(self) -> dict:
-        """Gold and quality tables into the warehouse's lake, all in one commit."""
-        began, frames = time.time(), {f"raw/{t}": df for t, df in self.layer("gold").items()}
-        frames |= {f"raw/quality_{t}": self.read(f"quality/{t}") for t in TABLES["quality"] if self.exists(f"quality/{t}")}
-        target = Lake(self.spark, self.settings.warehouse or f"{self.lake.root}/warehouse")
-        target.publish({n: df.withColumn("_loaded_at", F.current_timestamp()) for n, df in frames.items()})
-        return {"job": "warehouse-load", "rows": {n: target.read(n).count() for n in frames}, "seconds": round(time.time() - began, 1)}
+        """Gold and quality tables into the warehouse, all in one commit: a lake of its own, or a database if its place is a JDBC URL."""
+        began, frames = time.time(), dict(self.layer("gold"))
+        frames |= {f"quality_{t}": self.read(f"quality/{t}") for t in TABLES["quality"] if self.exists(f"quality/{t}")}
+        if (self.settings.warehouse or "").startswith("jdbc:"):
+            driver = {"driver": self.settings.driver} if self.settings.driver else {}
+            done = relational.Database(self.spark, self.settings.warehouse, driver).publish({f"lake.{n}": df for n, df in frames.items()})
+            return {"job": "warehouse-load", "tables": done, "seconds": round(time.time() - began, 1)}
+        target = self.warehouse()
+        target.publish({f"raw/{n}": df.withColumn("_loaded_at", F.current_timestamp()) for n, df in frames.items()})
+        return {"job": "warehouse-load", "rows": {f"raw/{n}": target.read(f"raw/{n}").count() for n in frames}, "seconds": round(time.time() - began, 1)}
+
+    def raw(self) -> dict[str, DataFrame]:
+        """The published tables. Quality tables that were never written are empty."""
+        target = self.warehouse()
+        empty = {"quality_check_results": quality.RESULT, "quality_reject_history": "run_id STRING, checked_at TIMESTAMP_NTZ, source STRING, reason STRING, rejected BIGINT"}
+        missing = [t for t in TABLES["gold"] if not target.exists(f"raw/{t}")]
+        if missing:
+            raise MissingTables(f"warehouse: {', '.join(missing)}")
+        return {t: target.read(f"raw/{t}") if target.exists(f"raw/{t}") else self.spark.createDataFrame([], empty[t]) for t in (*TABLES["gold"], *empty)}
+
+    def seeds(self) -> dict[str, DataFrame]:
+        """Public holidays and sales events, as CSV files with a header in the seeds' folder; none where it is not set."""
+        schemas = {"public_holidays": "holiday_date DATE, holiday_name STRING", "sales_events": "event_name STRING, start_date DATE, end_date DATE"}
+        folder = self.settings.seeds
+        return {n: self.spark.read.csv(f"{folder}/{n}.csv", schema=x, header=True) if folder else self.spark.createDataFrame([], x) for n, x in schemas.items()}
+
+    def warehouse_build(self, today: dt.date | None = None) -> dict:
+        """Builds the models, each stored before the next needs it, and runs their tests. Rows that fail a reconciliation are kept under
+        test_failures. Models are published in one commit, before they are tested, as their readers see them."""
+        began, raw, seeds, target = time.time(), self.raw(), self.seeds(), self.warehouse()
+        made: dict[str, DataFrame] = {}
+        for name, build in warehouse.build(raw, seeds["public_holidays"], seeds["sales_events"]).items():
+            made[name] = stored(build(made), name.replace("/", "-"))
+        target.publish(made)
+        frames = {n.replace("/", "."): (lambda d=df: d) for n, df in made.items()} | {f"lake.{n}": (lambda d=df: d) for n, df in raw.items()} | {f"seeds.{n}": (lambda d=df: d) for n, df in seeds.items()}
+        results = quality.run(self.spark, warehouse.tests(), frames, new_run_id(), dt.datetime.now(dt.UTC).replace(tzinfo=None, microsecond=0)).collect()
+        failing = warehouse.failing_rows({n.split("/")[1]: df for n, df in made.items()} | {"order_lines": raw["order_lines"]}, today or dt.datetime.now(BUSINESS_ZONE).date())
+        target.publish({f"test_failures/{n}": df for n, df in failing.items()})
+        bad = {n: k for n in failing if (k := target.read(f"test_failures/{n}").count())}
+        states = [r["status"] for r in results] + ["passed" if n not in bad else "warning" if n in warehouse.WARNINGS else "failed" for n in failing]
+        failures = [f"{r['layer']}.{r['table_name']}.{r['check_name']}" for r in results if r["status"] == "failed"] + [n for n in bad if n not in warehouse.WARNINGS]
+        return {"job": "warehouse-build", "models": {n: df.count() for n, df in made.items()}, "tests": len(states), **{x: states.count(x) for x in ("passed", "warning", "failed")}, "failures": failures, "seconds": round(time.time() - began, 1)}
+
+    def warehouse_gate(self) -> dict:
+        found = self.warehouse_build()
+        if found["failed"]:
+            raise ChecksFailed(", ".join(found["failures"]))
+        return found
+
+    def freshness(self, now: dt.datetime | None = None) -> dict:
+        """How old the last load of each gold table in the warehouse is."""
+        at = F.lit((now or dt.datetime.now(dt.UTC).replace(tzinfo=None)).isoformat(" ")).cast("timestamp_ntz")
+        rows = warehouse.freshness({t: self.raw()[t] for t in TABLES["gold"]}, at).collect()
+        return {"job": "freshness", "sources": {r["name"]: {"age_hours": r["age_hours"], "status": r["status"]} for r in rows}, "failed": sum(r["status"] == "error" for r in rows)}
+
+    def freshness_gate(self) -> dict:
+        found = self.freshness()
+        if found["failed"]:
+            raise ChecksFailed(", ".join(n for n, x in found["sources"].items() if x["status"] == "error"))
+        return found
 
     def status(self, layers: Sequence[str] = tuple(TABLES)) -> list[dict]:
-        """Rows of each table, and the least and greatest of the columns that say how far it reaches."""
-        reach = ("updated_at", "_file_date", "kafka_timestamp", "event_ts", "order_date", "checked_at", "_ingested_at")
-        out = []
-        for name in (f"{layer}/{t}" for layer in layers for t in TABLES[layer]):
-            if not self.exists(name):
-                out.append({"table": name, "exists": False})
-                continue
-            df = self.read(name)
-            told = [c for c in reach if c in df.columns]
-            row = df.agg(F.count(F.lit(1)).alias("rows"), *[f(c).cast("string").alias(f"{word} {c}") for c in told for f, word in ((F.min, "first"), (F.max, "last"))]).first()
-            out.append({"table": name, "exists": True, **row.asDict()})
-        return out
+        """What each table holds."""
+        names = [f"{layer}/{t}" for layer in layers for t in TABLES[layer]]
+        return [{"table": n, "exists": True, **status.facts(self.read(n), n)} if self.exists(n) else {"table": n, "exists": False} for n in names]
 
     # the day
 
     def daily(self, day: dt.date | None = None, client: records.ApiClient | None = None, export_timeout: float = 7200.0) -> list[flow.Step]:
-        """The steps of a business day: both bronze loads, silver, gold, the quality gate, and only then the warehouse."""
+        """The steps of a business day: both bronze loads, messages if they have a place, silver, gold, the quality gate, and only then the
+        warehouse, its models and how fresh it is."""
         day = day or yesterday()
         ready = lambda: day in csv_export.available(self.spark, self.export_folder())
+        events = self.settings.messages or self.settings.servers
+        loads = ("bronze_marketplace", "bronze_api", *(["bronze_events"] if events else []))
         return [
             flow.Step("export_ready", lambda: flow.wait_for(ready, timeout=export_timeout) or {"day": str(day)}, retries=0),
             flow.Step("bronze_marketplace", lambda: self.bronze_marketplace(day, day), ("export_ready",)),
             flow.Step("bronze_api", lambda: self.bronze_api(client=client)),
-            flow.Step("silver", self.silver, ("bronze_marketplace", "bronze_api")),
+            *([flow.Step("bronze_events", self.bronze_events)] if events else []),
+            flow.Step("silver", self.silver, loads),
             flow.Step("gold", self.gold, ("silver",)),
             flow.Step("quality", self.gate, ("gold",), retries=0),
             flow.Step("warehouse_load", self.warehouse_load, ("quality",)),
+            flow.Step("warehouse_build", self.warehouse_gate, ("warehouse_load",), retries=0),
+            flow.Step("freshness", self.freshness_gate, ("warehouse_build",), retries=0),
         ]
