@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,12 +15,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _kept(name: str, build: Callable[[Shop], DataFrame]) -> cached_property:
+    """A table that is built and stored when it is first used, as the engine's jobs store it."""
+    return cached_property(lambda shop: stored(build(shop), name.replace("_", "-")))
+
+
+def _parts(name: str, build: Callable[[Shop], tuple[DataFrame, ...]]) -> cached_property:
+    """The same for a step that gives several tables."""
+    return cached_property(lambda shop: tuple(stored(df, f"{name}-{i}") for i, df in enumerate(build(shop))))
+
+
 class Shop:
-    """The engine's tables, each planned once and only when used. Bronze is stored first, as a lake holds it."""
+    """The engine's tables over a folder of driver tables. Each is stored once in a session, when it is first used; whatever
+    is asked later reads it, as the warehouse's queries read what the daily jobs have built."""
+
+    _open: ClassVar[dict[tuple[str, str], Shop]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Shop:
+        """The shop of this Spark application and folder."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in cls._open:
+            cls._open[key] = cls(spark, sf_dir)
+        cls._open[key].spark = spark
+        return cls._open[key]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -32,27 +55,34 @@ class Shop:
         raise AttributeError(name)
 
     lineitem_rows = cached_property(lambda s: s.table("lineitem").select("l_orderkey", "l_linenumber"))
-    silver_lines = cached_property(lambda s: s.shared("silver_lines"))
-    gold_lines = cached_property(lambda s: gold.order_lines(s.silver_lines))
-    gold_orders = cached_property(lambda s: gold.orders(s.silver_lines))
-    customer_versions = cached_property(lambda s: cleaning.customer_versions(s.bronze_customers)[0])
-    product_versions = cached_property(lambda s: cleaning.product_versions(s.bronze_products)[0])
-    gold_customers = cached_property(lambda s: gold.customers(s.customer_versions))
-    gold_products = cached_property(lambda s: gold.products(s.product_versions))
-    dim_dates = cached_property(lambda s: star.dates(s.gold_orders, s.holidays, s.sales_windows))
-    dim_channels = cached_property(lambda s: star.channels(s.gold_orders))
-    dim_customers = cached_property(lambda s: star.customers(s.gold_customers))
-    dim_products = cached_property(lambda s: star.products(s.gold_products))
-    fct_sales = cached_property(lambda s: star.sales(s.gold_lines, s.gold_orders, s.dim_customers, s.dim_products))
-    fct_orders = cached_property(lambda s: star.order_facts(s.gold_orders, s.dim_customers))
-    mart_daily = cached_property(lambda s: marts.daily_sales(s.fct_sales, s.dim_products, s.dim_dates))
-    mart_customers = cached_property(lambda s: marts.customer_history(s.fct_orders, s.dim_customers))
-    mart_rejects = cached_property(lambda s: marts.reject_history(s.reject_runs))
-    bronze_events = cached_property(lambda s: stored(testdata.bronze_events(s.spark, s.dir), "bronze-events"))
-    bronze_export = cached_property(lambda s: stored(testdata.bronze_export(s.spark, s.dir), "bronze-export"))
-    clean_events = cached_property(lambda s: cleaning.clean_events(s.bronze_events))
-    web_lines = cached_property(lambda s: cleaning.web_order_lines(s.clean_events[0], s.catalogue))
-    market_lines = cached_property(lambda s: cleaning.marketplace_lines(s.bronze_export, s.catalogue))
+    silver_lines = _kept("silver_lines", lambda s: s.shared("silver_lines"))
+    gold_lines = _kept("gold_lines", lambda s: gold.order_lines(s.silver_lines))
+    gold_orders = _kept("gold_orders", lambda s: gold.orders(s.silver_lines))
+    customer_parts = _parts("customers", lambda s: cleaning.customer_versions(s.bronze_customers))
+    product_parts = _parts("products", lambda s: cleaning.product_versions(s.bronze_products))
+    customer_versions = cached_property(lambda s: s.customer_parts[0])
+    product_versions = cached_property(lambda s: s.product_parts[0])
+    gold_customers = _kept("gold_customers", lambda s: gold.customers(s.customer_versions))
+    gold_products = _kept("gold_products", lambda s: gold.products(s.product_versions))
+    dim_dates = _kept("dim_dates", lambda s: star.dates(s.gold_orders, s.holidays, s.sales_windows))
+    dim_channels = _kept("dim_channels", lambda s: star.channels(s.gold_orders))
+    dim_customers = _kept("dim_customers", lambda s: star.customers(s.gold_customers))
+    dim_products = _kept("dim_products", lambda s: star.products(s.gold_products))
+    fct_sales = _kept("fct_sales", lambda s: star.sales(s.gold_lines, s.gold_orders, s.dim_customers, s.dim_products))
+    fct_orders = _kept("fct_orders", lambda s: star.order_facts(s.gold_orders, s.dim_customers))
+    mart_daily = _kept("mart_daily", lambda s: marts.daily_sales(s.fct_sales, s.dim_products, s.dim_dates))
+    mart_customers = _kept("mart_customers", lambda s: marts.customer_history(s.fct_orders, s.dim_customers))
+    mart_features = _kept("mart_features", lambda s: marts.demand_features(s.dim_products, s.fct_sales, s.dim_dates))
+    mart_rejects = _kept("mart_rejects", lambda s: marts.reject_history(s.reject_runs))
+    bronze_events = _kept("bronze_events", lambda s: testdata.bronze_events(s.spark, s.dir))
+    bronze_export = _kept("bronze_export", lambda s: testdata.bronze_export(s.spark, s.dir))
+    clean_events = _parts("events", lambda s: cleaning.clean_events(s.bronze_events))
+    web_lines = _parts("web-lines", lambda s: cleaning.web_order_lines(s.clean_events[0], s.catalogue))
+    market_lines = _parts("marketplace-lines", lambda s: cleaning.marketplace_lines(s.bronze_export, s.catalogue))
+    # from messages and exports to gold as one chain
+    chain_lines = _kept("chain_lines", lambda s: s.web_lines[0].unionByName(s.market_lines[0]))
+    chain_gold_lines = cached_property(lambda s: gold.order_lines(s.chain_lines))
+    chain_orders = cached_property(lambda s: gold.orders(s.chain_lines))
 
 
 #: The engine's tables in DuckDB SQL, over the shared views.
@@ -150,7 +180,7 @@ VIEWS: dict[str, str] = {
     "export_typed": """
       SELECT DISTINCT order_id, CASE WHEN NOT undated THEN timezone('UTC', timezone('Europe/Paris', ordered_local)) END AS order_ts, timezone('UTC', timezone('Europe/Paris', updated_local)) AS updated_ts,
         CASE lower(trim(label)) WHEN 'retournée' THEN 'returned' WHEN 'livrée' THEN 'delivered' WHEN 'expédiée' THEN 'shipped' WHEN 'payée' THEN 'paid' END AS status, nullif(customer, '') AS customer_id, line_number,
-        'P' || l_partkey AS product_id, CASE WHEN NOT wordy THEN quantity END AS quantity, price AS unit_price, percent AS discount_pct, fee AS shipping_fee, 'card' AS payment_method, 'Nice' AS shipping_city, '06000' AS shipping_postal_code, file_date, torn FROM export_facts""",
+        product_ref AS product_id, CASE WHEN NOT wordy THEN quantity END AS quantity, price AS unit_price, percent AS discount_pct, fee AS shipping_fee, 'card' AS payment_method, 'Nice' AS shipping_city, '06000' AS shipping_postal_code, file_date, torn FROM export_facts""",
     "export_judged": """
       SELECT t.*, CASE WHEN torn THEN 'malformed_row' WHEN order_ts IS NULL THEN 'invalid_format' WHEN status IS NULL THEN 'unknown_status' WHEN quantity IS NULL OR quantity <= 0 THEN 'invalid_quantity' WHEN k.product_id IS NULL THEN 'unknown_product'
         WHEN unit_price < 0 OR discount_pct NOT BETWEEN 0 AND 100 THEN 'invalid_amount' END AS reason, NOT torn AND order_ts IS NOT NULL AND status IS NOT NULL AS tells_order FROM export_typed t LEFT JOIN catalogue k ON k.product_id = t.product_id""",
@@ -167,6 +197,11 @@ VIEWS: dict[str, str] = {
       UNION ALL SELECT 'customers', CASE WHEN customer_id IS NULL THEN 'missing_key' ELSE 'invalid_timestamp' END, 1 FROM customer_typed WHERE customer_id IS NULL OR updated_at IS NULL
       UNION ALL SELECT 'products', 'invalid_timestamp', 1 FROM product_typed WHERE updated_at IS NULL""",
 }
+VIEWS["chain_lines"] = """
+      SELECT order_id, line_number, source, channel, customer_id, order_ts, status, status_ts, paid_at, shipped_at, delivered_at, cancelled_at, returned_at, payment_method, shipping_city, shipping_postal_code, shipping_fee, source_total_amount, product_id, quantity, unit_price, discount_pct FROM web_judged WHERE reason IS NULL
+      UNION ALL SELECT l.order_id, l.line_number, 'marketplace', 'marketplace', o.customer_id, o.z.o, o.z.s, o.z.u, paid_at, shipped_at, delivered_at, cancelled_at, returned_at, o.z.p, o.z.c, o.z.z, o.z.e, NULL::DECIMAL(12,2), l.z.p, l.z.q, l.z.a, l.z.d FROM export_lines l JOIN export_orders o ON o.order_id = l.order_id"""
+VIEWS["chain_gold_lines"] = VIEWS["gold_lines"].replace("silver_lines", "chain_lines")
+VIEWS["chain_orders"] = VIEWS["gold_orders"].replace("silver_lines", "chain_lines").replace("gold_lines", "chain_gold_lines")
 
 
 def duck(sql: str) -> str:
@@ -179,7 +214,7 @@ def query(name: str, oracle: str | None = None):
     """Registers a function of a Shop under a name, with the text of its oracle."""
 
     def register(f: Callable[[Shop], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Shop(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Shop.of(spark, sf_dir))
         if oracle is not None:
             ORACLES[name] = duck(oracle)
         return f
@@ -194,7 +229,7 @@ def both(name: str, sql: str, *frames: str) -> None:
         plain = plain.replace("{" + f + "}", f)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shop = Shop(spark, sf_dir)
+        shop = Shop.of(spark, sf_dir)
         return spark.sql(sql, **{f: getattr(shop, f) for f in frames})
 
     QUERIES[name] = run

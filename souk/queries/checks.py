@@ -1,18 +1,22 @@
-"""Quality rules and warehouse tests as queries."""
+"""Quality checks, warehouse tests and freshness as queries."""
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.operators.joins import with_scalar
-from souk.plans import cleaning, marts, quality
-from souk.queries.base import both, query
+from souk.operators.joins import flagged
+from souk.plans import marts, measures, quality, warehouse
+from souk.queries.base import VIEWS, Shop, _kept, both, query
+from souk.queries.figures import share
 
 #: The driver's tables lie in the past: checks run as of a fixed instant.
 NOW = dt.datetime(2001, 8, 2, 12)
+#: Order numbers and channels of the driver's tables.
+ORDER_NUMBER = r"^[0-9]+-[0-9-]+$"
 
 
 def _now():
@@ -29,7 +33,7 @@ def _received(s) -> DataFrame:
 
 
 def _rejects(s) -> DataFrame:
-    streams = [s.clean_events[1], s.web_lines[1], s.market_lines[1], cleaning.customer_versions(s.bronze_customers)[1], cleaning.product_versions(s.bronze_products)[1]]
+    streams = [s.clean_events[1], s.web_lines[1], s.market_lines[1], s.customer_parts[1], s.product_parts[1]]
     out = streams[0].select("source", "reason")
     for x in streams[1:]:
         out = out.unionAll(x.select("source", "reason"))
@@ -37,82 +41,205 @@ def _rejects(s) -> DataFrame:
 
 
 def _frames(s) -> dict:
-    stamped = lambda df: df.withColumn("_ingested_at", _now())
+    """What the checks look at. Messages and versions count as loaded when they were written."""
     return {
-        "freshness": lambda: quality.ages(_now(), stamped(s.bronze_events), stamped(s.bronze_customers.drop("_ingested_at")), s.bronze_export),
-        "silver_customers": lambda: quality.with_current_key(s.customer_versions, "customer_id"),
-        "silver_products": lambda: quality.with_current_key(s.product_versions, "product_id"),
-        "silver_events": lambda: s.clean_events[0],
-        "web_lines": lambda: s.web_lines[0],
-        "marketplace_lines": lambda: s.market_lines[0],
-        "reject_rates": lambda: quality.reject_rates(_received(s), _rejects(s)),
-        "gold_orders": lambda: quality.order_assertions(s.gold_orders, _now().cast("date")),
-        "orders_freshness": lambda: s.gold_orders.agg(F.datediff(_now().cast("date"), F.max("order_date")).alias("days_since_last_order")),
-        "gold_lines": lambda: quality.line_assertions(s.gold_lines, s.gold_orders, s.gold_products),
-        "gold_customers": lambda: s.gold_customers,
-        "gold_products": lambda: s.gold_products,
+        "bronze.order_events": lambda: s.bronze_events.withColumn("_ingested_at", F.col("kafka_timestamp")),
+        "bronze.customers": lambda: s.bronze_customers.withColumn("_ingested_at", F.col("updated_at").try_cast("timestamp").cast("timestamp_ntz")),
+        "bronze.marketplace_orders": lambda: s.bronze_export,
+        "silver.customers": lambda: s.customer_versions,
+        "silver.products": lambda: s.product_versions,
+        "silver.order_events": lambda: s.clean_events[0],
+        "silver.web_order_lines": lambda: s.web_lines[0],
+        "silver.marketplace_order_lines": lambda: s.market_lines[0],
+        "silver.reject_rates": lambda: quality.reject_rates(_received(s), _rejects(s)),
+        "gold.orders": lambda: s.gold_orders,
+        "gold.order_lines": lambda: s.gold_lines,
+        "gold.customers": lambda: s.gold_customers,
+        "gold.products": lambda: s.gold_products,
     }
 
 
+#: The same tables in DuckDB SQL.
+VIEWS |= {
+    "q_events": "SELECT event_ts AS _ingested_at FROM event_facts",
+    "q_customers": "SELECT TRY_CAST(updated_at AS TIMESTAMP) AS _ingested_at FROM bronze_customers",
+    "q_exports": "SELECT file_date AS _file_date FROM export_facts",
+    "q_silver_events": "SELECT event_id, order_id, event_ts, kind AS event_type, status FROM event_good",
+    "q_web": "SELECT * FROM web_judged WHERE reason IS NULL",
+    "q_market": "SELECT * FROM chain_lines WHERE source = 'marketplace'",
+    "q_rates": """SELECT r.source, r.received, coalesce(j.n, 0)::BIGINT AS rejected, round(100.0 * coalesce(j.n, 0)::DOUBLE / r.received, 4) AS reject_rate_pct FROM (SELECT 'order_events' AS source, sum(CASE WHEN twice THEN 2 ELSE 1 END)::BIGINT AS received FROM event_facts
+      UNION ALL SELECT 'marketplace_orders', count(*) FROM export_facts UNION ALL SELECT 'customers', count(*) FROM bronze_customers UNION ALL SELECT 'products', count(*) FROM bronze_products) r LEFT JOIN (SELECT source, sum(n) AS n FROM all_rejects GROUP BY source) j ON j.source = r.source""",
+}
+_DUCK = {
+    "bronze.order_events": "q_events", "bronze.customers": "q_customers", "bronze.marketplace_orders": "q_exports", "silver.customers": "customer_versions", "silver.products": "product_versions", "silver.order_events": "q_silver_events",
+    "silver.web_order_lines": "q_web", "silver.marketplace_order_lines": "q_market", "silver.reject_rates": "q_rates", "gold.orders": "gold_orders", "gold.order_lines": "gold_lines", "gold.customers": "gold_customers", "gold.products": "gold_products",
+    "core.dim_date": "dim_dates", "core.dim_channels": "dim_channels", "core.dim_customers": "dim_customers", "core.dim_products": "dim_products", "core.fct_sales": "fct_sales", "core.fct_orders": "fct_orders", "marts.mart_daily_sales": "mart_daily",
+    "marts.mart_customers": "mart_customers", "marts.mart_product_demand_features": "q_features", "marts.mart_data_quality": "q_quality", "marts.mart_reject_history": "mart_rejects", "lake.orders": "gold_orders", "lake.order_lines": "gold_lines",
+    "lake.customers": "gold_customers", "lake.products": "gold_products", "seeds.sales_events": "q_sales", "seeds.public_holidays": "holidays",
+}
+
+
+def _condition(text: str) -> str:
+    """A condition of the catalogue in DuckDB's SQL."""
+    text = re.sub(r"(\w+) RLIKE ('[^']*')", r"regexp_matches(\1, \2)", text)
+    inner = r"\(((?:[^()]|\([^()]*\))+)\)"
+    text = re.sub(rf"age_minutes{inner}", rf"round(date_diff('second', \1, TIMESTAMP '{NOW}') / 60.0, 1)", text)
+    return re.sub(rf"age_days{inner}", rf"date_diff('day', \1, DATE '{NOW:%Y-%m-%d}')", text)
+
+
+def check_sql(x: quality.Check) -> str:
+    """One check as a DuckDB query of its own over its table."""
+    frame, head = _DUCK[x.frame], f"'{x.layer}' AS layer, '{x.table}' AS table_name, '{x.name}' AS check_name, '{x.dimension}' AS dimension, '{x.severity}' AS severity, '{x.says.replace(chr(39), chr(39) * 2)}' AS description"
+    bad = "failed" if x.severity == "error" else "warning"
+    if x.kind == "table":
+        measure, sign, limit = re.fullmatch(r"(.+) (<=|>=) ([\d.]+)", _condition(x.text)).groups()
+        return f"SELECT {head}, CASE WHEN v {sign} {limit} THEN 'passed' ELSE '{bad}' END AS status, NULL::BIGINT AS element_count, NULL::BIGINT AS unexpected_count, NULL::DOUBLE AS unexpected_percent, round(v, 4) AS observed FROM (SELECT ({measure})::DOUBLE AS v FROM {frame})"
+    if x.kind == "key":
+        names, _, where = x.text.partition(" WHERE ")
+        keys = names.split(", ")
+        some = f"({' OR '.join(f'{k} IS NOT NULL' for k in keys)}){' AND ' + where if where else ''}"
+        counts = f"SELECT (SELECT count(*) FROM {frame}) AS n, coalesce(sum(k), 0)::BIGINT AS of, coalesce(sum(k) FILTER (WHERE k > 1), 0)::BIGINT AS bad FROM (SELECT count(*) AS k FROM {frame} WHERE {some} GROUP BY {names})"
+    else:
+        good = _condition(x.text)
+        if x.kind == "found":
+            column, parent, key = quality.reference(x.text)
+            good = f"coalesce({column} IN (SELECT {key} FROM {_DUCK[parent]}), false)"
+        counts = f"SELECT count(*) AS n, count({good}) AS of, count(*) FILTER (WHERE NOT ({good})) AS bad FROM {frame}"
+    return f"SELECT {head}, CASE WHEN bad * 100 <= {100 - x.percent} * of THEN 'passed' ELSE '{bad}' END AS status, n AS element_count, bad AS unexpected_count, round(CASE WHEN of > 0 THEN 100.0 * bad / of ELSE 0 END, 6)::DOUBLE AS unexpected_percent, NULL::DOUBLE AS observed FROM ({counts})"
+
+
+def _compared(results: DataFrame) -> DataFrame:
+    """Results as the oracle has them: without the sample, percent and observation as numbers."""
+    kept = ("layer", "table_name", "check_name", "dimension", "severity", "description", "status", "element_count", "unexpected_count")
+    return results.select(*kept, F.round("unexpected_percent", 6).alias("unexpected_percent"), F.round(F.col("observed_value").try_cast("double"), 4).alias("observed"))
+
+
+VIEWS["all_checks"] = " UNION ALL ".join(map(check_sql, quality.checks(order_number=ORDER_NUMBER)))
+
+
 def check_results(s, layers=("bronze", "silver", "gold")) -> DataFrame:
-    suites = [x for x in quality.suites(_frames(s), order_number=r"^[0-9]+-[0-9-]+$") if x.layer in layers]
-    return quality.run(s.spark, suites, "run-1", NOW)
+    todo = [x for x in quality.checks(order_number=ORDER_NUMBER) if x.layer in layers]
+    return quality.run(s.spark, todo, _frames(s), "run-1", NOW)
 
 
-_BAD = {
-    "order_id_not_null": "order_id IS NULL", "order_date_not_null": "order_date IS NULL", "customer_id_not_null": "customer_id IS NULL", "units_in_range": "units < 1", "lines_count_in_range": "lines_count < 1", "total_amount_in_range": "total_amount < 0",
-    "total_is_net_plus_shipping": "total_amount <> net_amount + shipping_fee", "total_matches_declared_total": "abs(total_amount - source_total_amount) > lines_count * 0.01", "shipped_at_not_before_order_ts": "shipped_at < order_ts",
-    "delivered_at_not_before_shipped_at": "delivered_at < shipped_at", "returned_at_not_before_delivered_at": "returned_at < delivered_at",
-}
+Shop.check_results = _kept("check_results", check_results)
+Shop.check_results.__set_name__(Shop, "check_results")
+Shop.all_checks = property(lambda s: _compared(s.check_results))
 
+for _name in ("quality_checks", "quality_checks_all"):
+    query(_name, "SELECT * FROM all_checks")(lambda s: s.all_checks)
 
-@query("quality_checks", " UNION ALL ".join(f"SELECT '{n}' AS check_name, count(*) AS element_count, count(*) FILTER (WHERE {x}) AS unexpected_count FROM gold_orders" for n, x in _BAD.items()))
-def _(s):
-    suite = [x for x in quality.suites(_frames(s)) if x.table == "orders"]
-    found = quality.run(s.spark, suite, "run-1", NOW)
-    return found.where(F.col("check_name").isin(*_BAD)).select("check_name", "element_count", "unexpected_count")
+_MART = "SELECT 'run-1' AS run_id, TIMESTAMP '2001-08-02 12:00:00' AS checked_at, DATE '2001-08-02' AS checked_date, true AS is_latest_run, layer || '.' || table_name AS checked_table, status <> 'passed' AS is_problem, layer, table_name, check_name, dimension, severity, description, status, element_count, unexpected_count FROM all_checks"
+VIEWS["q_quality"] = _MART
+Shop.q_quality = property(lambda s: marts.data_quality(s.check_results))
 
 
-@query("quality_checks_all")
+@query("mart_data_quality", "SELECT * FROM q_quality")
 def _(s):
-    """Every check of all three layers; quality_checks has those that its SQL can follow."""
-    return check_results(s).drop("run_id", "checked_at")
+    return marts.data_quality(s.check_results).drop("column_name", "unexpected_percent", "observed_value", "sample")
 
 
-@query("fig_quality_cards")
+@query("fig_quality_cards", "SELECT max(checked_at) AS last_run, count(*) AS checks, count_if(status = 'passed')::BIGINT AS passed, count_if(status = 'warning')::BIGINT AS in_warning, count_if(status = 'failed')::BIGINT AS failed, round(100.0 * count_if(status = 'passed') / count(*), 1)::DOUBLE AS pass_rate FROM q_quality")
 def _(s):
-    r = marts.data_quality(check_results(s)).where("is_latest_run")
+    r = marts.data_quality(s.check_results).where("is_latest_run")
     one = lambda x: F.count_if(F.col("status") == x)
     return r.agg(F.max("checked_at").alias("last_run"), F.count(F.lit(1)).alias("checks"), one("passed").alias("passed"), one("warning").alias("in_warning"), one("failed").alias("failed"), F.round(100 * one("passed") / F.count(F.lit(1)), 1).alias("pass_rate"))
 
 
-@query("fig_quality_matrix")
+@query("fig_quality_matrix", "SELECT layer, dimension, count(*) AS checks, count_if(is_problem)::BIGINT AS not_passed FROM q_quality GROUP BY layer, dimension")
 def _(s):
-    return marts.data_quality(check_results(s)).where("is_latest_run").groupBy("layer", "dimension").agg(F.count(F.lit(1)).alias("checks"), F.count_if("is_problem").alias("not_passed"))
+    return marts.data_quality(s.check_results).where("is_latest_run").groupBy("layer", "dimension").agg(F.count(F.lit(1)).alias("checks"), F.count_if("is_problem").alias("not_passed"))
+
 
+_DIMENSIONS = ("completeness", "consistency", "freshness", "uniqueness", "validity", "volume")
 
-@query("quality_heatmap")
+
+@query("quality_heatmap", f"SELECT layer, {', '.join(f'count_if(dimension = {d!r})::BIGINT AS {d}' for d in _DIMENSIONS)} FROM q_quality GROUP BY layer")
 def _(s):
     """Layers by dimensions: how many checks there are."""
-    dims = ["completeness", "consistency", "freshness", "uniqueness", "validity", "volume"]
-    return check_results(s).groupBy("layer").agg(*[F.count_if(F.col("dimension") == d).alias(d) for d in dims])
+    return s.check_results.groupBy("layer").agg(*[F.count_if(F.col("dimension") == d).alias(d) for d in _DIMENSIONS])
+
 
+@query("freshness", "SELECT check_name, status, observed FROM all_checks WHERE layer = 'bronze'")
+def _(s):
+    """How old the newest message, customer load and export file are."""
+    return s.all_checks.where("layer = 'bronze'").select("check_name", "status", "observed")
+
+
+_QUALITY_MEASURES = [n for n, m in measures.MEASURES.items() if m.table not in ("sales", "orders", "customers")]
+_PASSED = "count_if(status = 'passed')"
 
-@query("freshness")
+
+@query(
+    "measures_quality",
+    f"""SELECT * FROM (SELECT count(*) AS checks, {_PASSED}::BIGINT AS checks_passed, count_if(status = 'warning')::BIGINT AS checks_in_warning, count_if(status = 'failed')::BIGINT AS checks_failed, {share(_PASSED, 'count(*)')} AS pass_rate, {share(_PASSED, 'count(*)')} AS run_pass_rate FROM all_checks),
+      (SELECT sum(rejected)::BIGINT AS rejected_records FROM mart_rejects WHERE is_latest_run), (SELECT sum(rejected)::BIGINT AS rejected_records_per_run FROM mart_rejects)""",
+)
 def _(s):
-    return _frames(s)["freshness"]()
+    """The measures on checks and rejects: of the latest run, and of all."""
+    checked, rejected = marts.data_quality(s.check_results), s.mart_rejects
+    found = measures.evaluate(_QUALITY_MEASURES, {"latest_checks": checked.where("is_latest_run"), "checks": checked, "latest_rejects": rejected.where("is_latest_run"), "rejects": rejected})
+    return found.select(*[F.round(n, 6).alias(n) if k == "double" else F.col(n) for n, k in found.dtypes])
 
 
-@query("reject_rates", """SELECT r.source, r.received, coalesce(j.n, 0)::BIGINT AS rejected, round(100.0 * coalesce(j.n, 0)::DOUBLE / r.received, 4) AS reject_rate_pct FROM (SELECT 'order_events' AS source, sum(CASE WHEN twice THEN 2 ELSE 1 END)::BIGINT AS received FROM event_facts
-  UNION ALL SELECT 'marketplace_orders', count(*) FROM export_facts UNION ALL SELECT 'customers', count(*) FROM bronze_customers UNION ALL SELECT 'products', count(*) FROM bronze_products) r LEFT JOIN (SELECT source, sum(n) AS n FROM all_rejects GROUP BY source) j ON j.source = r.source""")
+@query("rejects_per_run", "SELECT run_id, sum(rejected)::BIGINT AS rejected_records_per_run FROM mart_rejects GROUP BY run_id")
+def _(s):
+    return measures.evaluate(["rejected_records_per_run"], {"rejects": s.mart_rejects}, by=["run_id"])
+
+
+@query("reject_rates", "SELECT * FROM q_rates")
 def _(s):
     return quality.reject_rates(_received(s), _rejects(s))
 
 
 @query("ref_integrity", "SELECT count(*) AS n, count_if(o.order_id IS NULL)::BIGINT AS without_order, count_if(p.product_id IS NULL)::BIGINT AS without_product FROM gold_lines l LEFT JOIN gold_orders o ON o.order_id = l.order_id LEFT JOIN gold_products p ON p.product_id = l.product_id")
 def _(s):
-    checked = quality.line_assertions(s.gold_lines, s.gold_orders, s.gold_products)
-    return checked.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_order_exists")).alias("without_order"), F.count_if(~F.col("_product_exists")).alias("without_product"))
+    checked = flagged(flagged(s.gold_lines, s.gold_orders, ["order_id"], "has_order"), s.gold_products, ["product_id"], "has_product")
+    return checked.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("has_order")).alias("without_order"), F.count_if(~F.col("has_product")).alias("without_product"))
+
+
+# the warehouse's own tests
+
+#: The star of the driver's tables has other channels than the shop.
+_CHANNELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+VIEWS["q_features"] = "SELECT g.product_key, g.date_day, coalesce(d.units_sold, 0) AS units_sold FROM demand_grid g LEFT JOIN demand_sold d ON d.product_key = g.product_key AND d.order_date = g.date_day"
+VIEWS["q_sales"] = "SELECT * FROM sales_windows"
+VIEWS["all_tests"] = " UNION ALL ".join(map(check_sql, warehouse.tests(_CHANNELS)))
+
+
+def _warehouse(s) -> dict:
+    names = {
+        "core.dim_date": "dim_dates", "core.dim_channels": "dim_channels", "core.dim_customers": "dim_customers", "core.dim_products": "dim_products", "core.fct_sales": "fct_sales", "core.fct_orders": "fct_orders", "marts.mart_daily_sales": "mart_daily",
+        "marts.mart_customers": "mart_customers", "marts.mart_product_demand_features": "mart_features", "marts.mart_reject_history": "mart_rejects", "lake.orders": "gold_orders", "lake.order_lines": "gold_lines", "lake.customers": "gold_customers",
+        "lake.products": "gold_products", "seeds.sales_events": "sales_windows", "seeds.public_holidays": "holidays",
+    }
+    return {k: (lambda n=v: getattr(s, n)) for k, v in names.items()} | {"marts.mart_data_quality": lambda: marts.data_quality(s.check_results)}
+
+
+@query("warehouse_tests", "SELECT * FROM all_tests")
+def _(s):
+    """All generic tests of the warehouse's models, sources and seeds."""
+    return _compared(quality.run(s.spark, warehouse.tests(_CHANNELS), _warehouse(s), "run-1", NOW))
+
+
+@query("test_failures", "SELECT 'order_steps' AS test_name, order_id AS failing_key FROM fct_orders WHERE shipped_at < order_ts OR delivered_at < shipped_at OR returned_at < delivered_at UNION ALL SELECT 'declared_totals', order_id FROM fct_orders WHERE abs(total_amount - source_total_amount) > lines_count * 0.01 UNION ALL SELECT 'no_future_order', order_id FROM fct_orders WHERE order_date > DATE '2001-08-03'")
+def _(s):
+    """The rows that fail the tests whose failures are kept."""
+    failing = warehouse.failing_rows({"fct_orders": s.fct_orders, "fct_sales": s.fct_sales, "order_lines": s.gold_lines, "mart_daily_sales": s.mart_daily, "mart_product_demand_features": s.mart_features}, NOW.date())
+    out = None
+    for name in ("order_steps", "declared_totals", "no_future_order"):
+        one = failing[name].select(F.lit(name).alias("test_name"), F.col("order_id").alias("failing_key"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("source_freshness", """SELECT name, age_hours, CASE WHEN age_hours > 50 THEN 'error' WHEN age_hours > 26 THEN 'warn' ELSE 'pass' END AS status FROM (
+  SELECT name, round(date_diff('minute', loaded, TIMESTAMP '2001-08-02 12:00:00') / 60.0, 1)::DOUBLE AS age_hours FROM (SELECT 'orders' AS name, max(order_ts) AS loaded FROM gold_orders UNION ALL SELECT 'order_lines', TIMESTAMP '2001-08-01 09:00:00'
+    UNION ALL SELECT 'customers', max(updated_at) FROM gold_customers UNION ALL SELECT 'products', max(updated_at) FROM gold_products))""")
+def _(s):
+    """How old the last load of each table of the lake is; here a row counts as loaded when it was changed, and lines on the day before."""
+    loaded = {"orders": s.gold_orders.select(F.col("order_ts").alias("_loaded_at")), "order_lines": s.gold_lines.select(F.lit("2001-08-01 09:00:00").cast("timestamp_ntz").alias("_loaded_at")), **{t: getattr(s, f"gold_{t}").select(F.col("updated_at").alias("_loaded_at")) for t in ("customers", "products")}}
+    return warehouse.freshness(loaded, _now())
 
 
 both("accepted_values", "SELECT order_status, count(*) AS n FROM {fct_orders} WHERE order_status NOT IN ('created', 'paid', 'shipped', 'delivered') GROUP BY order_status", "fct_orders")
@@ -136,16 +263,9 @@ def _(s):
 
 @query("reconcile_feature_grain", "SELECT count(*) AS rows, count(DISTINCT (product_key, date_day)) AS product_days FROM demand_grid")
 def _(s):
-    return marts.demand_features(s.dim_products, s.fct_sales, s.dim_dates).groupBy("product_key", "date_day").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("product_days"))
+    return s.mart_features.groupBy("product_key", "date_day").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("product_days"))
 
 
 @query("reconcile_demand_units", "SELECT sum(d.units_sold)::BIGINT AS units FROM demand_grid g JOIN demand_sold d ON d.product_key = g.product_key AND d.order_date = g.date_day")
 def _(s):
-    return marts.demand_features(s.dim_products, s.fct_sales, s.dim_dates).agg(F.sum("units_sold").alias("units"))
-
-
-@query("source_freshness")
-def _(s):
-    ages = with_scalar(s.gold_orders.agg(F.max("order_ts").alias("loaded")), s.spark.range(1).select(_now().alias("now")))
-    hours = F.round(F.timestamp_diff("MINUTE", F.col("loaded"), F.col("now")) / 60, 1)
-    return ages.select(hours.alias("age_hours"), (hours > 26).alias("warn"), (hours > 50).alias("error"))
+    return s.mart_features.agg(F.sum("units_sold").alias("units"))

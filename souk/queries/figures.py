@@ -11,7 +11,6 @@ from souk.plans import measures
 from souk.queries.base import both, query
 
 
-
 def money(x: str) -> str:
     return f"CAST({x} AS DECIMAL(18,2))"
 
@@ -196,14 +195,3 @@ both("distinct", "SELECT DISTINCT channel, payment_method FROM {shop_orders}", "
 @query("anti_join", "SELECT order_id FROM shop_orders WHERE order_no NOT IN (SELECT l_orderkey FROM lineitem)")
 def _(s):
     return s.shop_orders.join(s.table("lineitem").select(F.col("l_orderkey").alias("order_no")), "order_no", "left_anti").select("order_id")
-
-
-@query("dashboard_json")
-def _(s):
-    """One JSON document: its cubes are bounded by days, channels and categories, not by orders."""
-    by = s.fct_sales.groupBy("order_date", "channel").agg(F.sum("net_sales_amount").cast("decimal(18,2)").alias("net"))
-    listed = by.agg(F.array_sort(F.collect_list(F.struct("order_date", "channel", "net"))).alias("sales"))
-    channels = s.dim_channels.agg(F.array_sort(F.collect_list(F.struct("channel", "channel_name"))).alias("channels"))
-    return listed.crossJoin(channels).select(F.to_json(F.struct("channels", "sales")).alias("document"))
-
-

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.operators import history, series
+from souk.plans import status
 from souk.queries.base import query
 from souk.sources import csv_export, records
 from souk.sources.files import Files, scratch
@@ -52,20 +53,32 @@ def _(s):
 def _(s):
     lake, df = Lake(s.spark, scratch(s.spark, "lake")), _orders(s).select("o_orderkey", "o_orderstatus", "day")
     day = F.col("day") == F.lit("1996-01-02").cast("date")
-    lake.replace_where(df, "orders", F.lit(True))
+    lake.append(df.where(~day), "orders")
+    lake.replace_slices(df.where(day), "orders", "day")
     for _ in range(2):  # a repeated load changes nothing
-        lake.replace_where(df.where(day).withColumn("o_orderstatus", F.lit("new")), "orders", day)
+        lake.replace_slices(df.where(day).withColumn("o_orderstatus", F.lit("new")), "orders", "day")
     return lake.read("orders")
 
 
-@query("lake_status", "SELECT 'orders' AS name, count(*) AS rows, count(DISTINCT o_custkey) AS keys, max(day) AS newest, count_if(o_orderstatus = 'P')::BIGINT AS flagged FROM (SELECT o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day FROM orders)")
+@query("replace_condition", f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'new' ELSE o_orderstatus END AS o_orderstatus, day FROM ({_ORDERS})")
 def _(s):
-    lake = Lake(s.spark, scratch(s.spark, "lake"))
-    lake.append(_orders(s), "orders")
-    return lake.read("orders").agg(F.lit("orders").alias("name"), F.count(F.lit(1)).alias("rows"), F.count_distinct("o_custkey").alias("keys"), F.max("day").alias("newest"), F.count_if(F.col("o_orderstatus") == "P").alias("flagged"))
+    lake, df = Lake(s.spark, scratch(s.spark, "lake")), _orders(s).select("o_orderkey", "o_orderstatus", "day")
+    lake.append(df, "orders")
+    lake.replace_where(df.where("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("new")), "orders", F.col("o_orderstatus").isin("P", "new"))
+    return lake.read("orders")
+
+
+@query("lake_status", """SELECT 'gold/orders' AS name, count(*) AS rows, 'first order date' AS fact, min(order_date)::VARCHAR AS value FROM gold_orders UNION ALL SELECT 'gold/orders', count(*), 'last order date', max(order_date)::VARCHAR FROM gold_orders
+  UNION ALL SELECT 'gold/orders', count(*), 'total amount', sum(total_amount)::DECIMAL(22,2)::VARCHAR FROM gold_orders UNION ALL SELECT 'gold/order_lines', count(*), 'units sold', sum(quantity)::BIGINT::VARCHAR FROM gold_lines
+  UNION ALL SELECT 'silver/customers', count(*), 'current customers', count_if(is_current)::BIGINT::VARCHAR FROM customer_versions UNION ALL SELECT 'silver/products', count(*), 'current products', count_if(is_current)::BIGINT::VARCHAR FROM product_versions""")
+def _(s):
+    """What the status job tells of some tables."""
+    tables = {"gold/orders": s.gold_orders, "gold/order_lines": s.gold_lines, "silver/customers": s.customer_versions, "silver/products": s.product_versions}
+    rows = [(name, told["rows"], fact, value) for name, df in tables.items() for told in [status.facts(df, name)] for fact, value in told.items() if fact != "rows"]
+    return s.spark.createDataFrame(rows, "name STRING, rows BIGINT, fact STRING, value STRING")
 
 
-@query("publish_gold")
+@query("publish_gold", "SELECT source, count(*) AS orders FROM gold_orders GROUP BY source")
 def _(s):
     lake = Lake(s.spark, scratch(s.spark, "lake"))
     lake.publish({"orders": s.gold_orders, "order_lines": s.gold_lines})
@@ -106,13 +119,13 @@ def _(s):
     return _loaded(s)
 
 
-@query("csv_lineage", f"SELECT 'marketplace_' || file_date || '.csv' AS _source_file, file_date AS _file_date, 'run-1' AS _run_id, count(*) AS n FROM export_facts WHERE {_MONTH} GROUP BY ALL")
+@query("csv_lineage", f"SELECT 'marketplace_orders_' || file_date || '.csv' AS _source_file, file_date AS _file_date, 'run-1' AS _run_id, count(*) AS n FROM export_facts WHERE {_MONTH} GROUP BY ALL")
 def _(s):
     files = csv_export.available(s.spark, _export_folder(s))
     return _lineage(s, csv_export.select_days(files, dt.date(1997, 3, 1), dt.date(1997, 3, 31))[0].values())
 
 
-@query("csv_lineage_all", "SELECT 'marketplace_' || file_date || '.csv' AS _source_file, file_date AS _file_date, 'run-1' AS _run_id, count(*) AS n FROM export_facts GROUP BY ALL")
+@query("csv_lineage_all", "SELECT 'marketplace_orders_' || file_date || '.csv' AS _source_file, file_date AS _file_date, 'run-1' AS _run_id, count(*) AS n FROM export_facts GROUP BY ALL")
 def _(s):
     return _lineage(s, csv_export.available(s.spark, _export_folder(s)).values())
 
@@ -165,7 +178,7 @@ def serve(entities: dict[str, tuple[list[str], Callable[[str], list[dict]]]]):
             url = urlparse(self.path)
             number = int(parse_qs(url.query)["page"][0])
             files, read = entities[url.path.strip("/")]
-            body = json.dumps({"items": read(files[number - 1]) if number <= len(files) else [], "has_next": number < len(files)}).encode()
+            body = json.dumps({"data": read(files[number - 1]) if number <= len(files) else [], "pagination": {"page": number, "total_pages": max(1, len(files)), "has_next": number < len(files)}}).encode()
             self.send_response(200)
             self.end_headers()
             self.wfile.write(body)
@@ -178,7 +191,7 @@ def serve(entities: dict[str, tuple[list[str], Callable[[str], list[dict]]]]):
     return server
 
 
-@query("api_pages")
+@query("api_pages", "SELECT product_id, updated_at, unit_price FROM bronze_products")
 def _(s):
     """All products of the catalogue through the paginated source, 100 records at most a page."""
     server = serve({"products": pages(s.bronze_products.select(*records.FIELDS["products"]).orderBy("product_id", "updated_at"), 100)})

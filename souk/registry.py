@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from souk.queries import base, checks, figures, models, storage  # noqa: F401
+from souk.queries import base, checks, document, figures, models, storage  # noqa: F401
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

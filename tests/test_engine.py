@@ -84,10 +84,51 @@ def test_lake(spark, tmp_path):
         lake._commit(number, tables)
 
 
+def test_a_commit_appears_whole(spark, tmp_path, monkeypatch):
+    """A writer that dies before its manifest has its name leaves the lake as it was."""
+    lake, df = Lake(spark, str(tmp_path)), spark.range(3)
+    lake.append(df, "t")
+    (tmp_path / "_manifests" / "000000000002.json.dead.tmp").write_text("")
+    assert lake.read("t").count() == 3
+
+    def dies(*_):
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(lake.files, "create", dies)
+        with pytest.raises(OSError):
+            lake.append(df, "t")
+    assert Lake(spark, str(tmp_path)).read("t").count() == 3
+    lake.append(df, "t")
+    assert lake.read("t").count() == 6 and not [n for n in lake.files.names(f"{tmp_path}/_manifests") if n.endswith(".json") and n.startswith("000000000003")]
+    with pytest.raises(FileExistsError):
+        lake.files.create(f"{tmp_path}/_manifests/000000000002.json", "{}")
+    assert lake.read("t").count() == 6
+
+
+def test_slices_are_replaced_part_by_part(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    day = lambda d, n: spark.createDataFrame([(dt.date(2026, 1, d), n)], "day date, n int")
+    lake.append(day(1, 0).union(day(9, 0)), "t")
+    lake.replace_slices(day(2, 1).union(day(3, 1)), "t", "day")
+    before = set(lake.manifest()[1]["t"])
+    for _ in range(2):
+        lake.replace_slices(day(3, 2), "t", "day")
+    after = lake.manifest()[1]["t"]
+    assert len(before & set(after)) == 2 and len(after) == 3
+    lake.replace_slices(day(1, 5), "t", "day")
+    assert sorted((r["day"].day, r["n"]) for r in lake.read("t").collect()) == [(1, 5), (2, 1), (3, 2), (9, 0)] and lake.read("t").columns == ["day", "n"]
+    with pytest.raises(OutsideSlice):
+        lake.replace_slices(day(4, 1).withColumn("day", F.lit(None).cast("date")), "t", "day")
+    kept = [p for p in lake.manifest()[1]["t"] if "day=2026-01-02" in p or "_slice=2026-01-02" in p]
+    lake.replace_where(day(3, 7), "t", F.col("day") == F.lit("2026-01-03").cast("date"))
+    assert set(kept) <= set(lake.manifest()[1]["t"]) and lake.read("t").where("n = 7").count() == 1 and lake.read("t").count() == 4
+
+
 def test_export_header_and_days(spark, tmp_path):
     from souk.plans.cleaning import EXPORT_COLUMNS
 
-    (tmp_path / "marketplace_2026-01-02.csv").write_text(";".join(EXPORT_COLUMNS) + "\n" + ";".join(["x"] * 14) + "\nshort;row\n")
+    (tmp_path / "marketplace_orders_2026-01-02.csv").write_text(";".join(EXPORT_COLUMNS) + "\n" + ";".join(["x"] * 14) + "\nshort;row\n")
     (tmp_path / "notes.txt").write_text("no")
     lake = Lake(spark, str(tmp_path / "lake"))
     with pytest.raises(csv_export.MissingFiles):
@@ -102,28 +143,56 @@ def test_export_header_and_days(spark, tmp_path):
         csv_export.read(spark, [str(bad)]).collect()
 
 
+def page(items, more):
+    import json
+
+    return 200, {}, json.dumps({"data": items, "pagination": {"page": 1, "page_size": 500, "total": 9, "total_pages": 2, "has_next": more}})
+
+
 def test_api_client_retries():
-    answers = [(503, {}, ""), (429, {"Retry-After": "7"}, ""), (200, {}, '{"items": [{"a": 1}], "has_next": true}'), (200, {}, '{"items": [{"a": 2}], "has_next": false}')]
+    answers = [(503, {}, ""), (429, {"Retry-After": "7"}, ""), (503, {"Retry-After": "Wed, 21 Oct"}, ""), page([{"a": 1}], True), page([{"a": 2}], False)]
     waits = []
     client = records.ApiClient("http://x", get=lambda url: answers.pop(0), sleep=waits.append)
-    assert [r["a"] for r in client.records("customers")] == [1, 2] and waits[1] == 7.0 and 0.75 <= waits[0] <= 1.25
+    assert [r["a"] for r in client.records("customers")] == [1, 2] and waits[1] == 7.0 and 0.375 <= waits[0] <= 0.625 and 1.5 <= waits[2] <= 2.5
     with pytest.raises(records.ApiError):
         list(records.ApiClient("http://x", get=lambda url: (404, {}, "")).records("customers"))
+    tries = []
+    with pytest.raises(records.ApiError):
+        list(records.ApiClient("http://x", get=lambda url: tries.append(url) or (503, {}, ""), sleep=lambda _: None).records("products", "2026-01-01"))
+    assert len(tries) == 6 and "updated_since=2026-01-01" in tries[0] and "page=1" in tries[0]
 
 
 def test_quality_rules(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", None)], "k string, v int")
-    rules = [quality.not_null("k"), quality.not_null("v", 0.75), quality.unique("k"), quality.between("v", 1, 2), quality.in_set("k", ["a"]), quality.not_null("absent"), quality.has_rows()]
+    todo = quality.parse("""
+x.t
+  k_not_null        completeness  error    row: k IS NOT NULL
+  v_not_null        completeness  error    75% row: v IS NOT NULL
+  k_unique          uniqueness    error    key: k
+  v_in_range        validity      warning  row: v BETWEEN 1 AND 2
+  k_known_value     validity      error    row: k IN ('a')
+  absent_not_null   completeness  error    row: absent IS NOT NULL
+  has_rows          volume        error    table: count(*) >= 1
+  k_related         consistency   error    found: k IN x.p BY name
+  one_each          uniqueness    error    key: k WHERE v > 1
+x.u
+  has_rows          volume        error    table: count(*) >= 1
+  v_not_null        completeness  error    row: v IS NOT NULL
+""")
 
     def broken():
         raise ValueError("no table")
 
-    found = {r["check_name"]: r for r in quality.run(spark, [quality.Suite("x", "t", lambda: df, rules), quality.Suite("x", "u", broken, [quality.has_rows()])], "r", dt.datetime(2026, 1, 1)).collect()}
+    parents = spark.createDataFrame([("a",)], "name string")
+    rows = quality.run(spark, todo, {"x.t": lambda: df, "x.u": broken, "x.p": lambda: parents}, "r", dt.datetime(2026, 1, 1)).collect()
+    found = {r["check_name"]: r for r in rows}
     assert {n: (r["status"], r["unexpected_count"]) for n, r in found.items()} == {
-        "k_not_null": ("failed", 1), "v_not_null": ("passed", 1), "k_unique": ("failed", 2), "v_in_range": ("failed", 1), "k_known_value": ("failed", 1), "absent_not_null": ("failed", None), "has_rows": ("passed", None), "suite_ran": ("failed", None)
+        "k_not_null": ("failed", 1), "v_not_null": ("passed", 1), "k_unique": ("failed", 2), "v_in_range": ("warning", 1), "k_known_value": ("failed", 1), "absent_not_null": ("failed", None), "has_rows": ("passed", None), "k_related": ("failed", 2), "one_each": ("passed", 0), "suite_ran": ("failed", None)
     }
-    with pytest.raises(ValueError):
-        quality.Suite("x", "t", lambda: df, [quality.has_rows(), quality.has_rows()])
+    assert len(rows) == 10 and found["v_in_range"]["sample"] == '["3"]' and found["v_in_range"]["column_name"] == "v" and found["v_not_null"]["unexpected_percent"] == 25.0 and found["has_rows"]["observed_value"] == "4"
+    for bad in ("x.t\n  a  b  error  row: k\n  a  b  error  row: v", "x.t\n  a  b  error  what: k"):
+        with pytest.raises(ValueError):
+            quality.parse(bad)
 
 
 def test_rejects_and_lines_add_up(shop):
@@ -137,9 +206,51 @@ def test_mart_totals_are_the_facts(shop):
     assert (a["n"], a["u"]) == (b["n"], b["u"])
 
 
-def test_suites_hold_88_checks(spark):
-    names = "freshness silver_customers silver_products silver_events web_lines marketplace_lines reject_rates gold_orders orders_freshness gold_lines gold_customers gold_products".split()
-    assert sum(len(s.rules) for s in quality.suites(dict.fromkeys(names))) == 88
+def test_catalogues_hold_88_checks_and_73_tests():
+    from souk.plans import warehouse
+
+    assert len(quality.checks()) == 88 and len(warehouse.tests()) == 73
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS v").repartition(7)
+    assert {r["v"]: r["i"] for r in rows.numbered(df, ["v"], "i").collect()} == {v: v for v in range(1000)}
+
+
+def test_the_document_is_json(spark):
+    import json
+
+    from souk.plans import dashboard
+    from souk.registry import QUERIES
+
+    found = QUERIES["dashboard_json"](spark, SF)
+    document = json.loads("".join(dashboard.lines(found, "2026-01-01T00:00:00Z")))
+    assert set(document) >= {"generated_at", "channels", "categories", "products", "statuses", "payments", "columns", "sales", "sales_orders", "product_sales", "orders", "events", "customers", "quality"}
+    assert set(document["customers"]) == {"segments", "departments", "recency", "top"} and set(document["quality"]) == {"run_id", "checked_at", "checks", "rejects"}
+    assert all(len(r) == len(document["columns"][n]) for n in dashboard.COLUMNS for r in document[n]) and len(document["quality"]["checks"]) == 88
+    assert document["sales"] == sorted(document["sales"], key=lambda r: r[:3]) and max(r[2] for r in document["product_sales"]) < len(document["products"])
+    lists = sum(len(x) for n in ("channels", "categories", "products", "statuses", "payments", *dashboard.COLUMNS, "events") for x in [document[n]])
+    assert lists + sum(map(len, document["customers"].values())) + 88 + len(document["quality"]["rejects"]) + len(dashboard.SINGLE) == found.count()
+
+
+def test_tables_reach_a_database_in_one_transaction(spark, tmp_path):
+    from souk.sources.relational import Database, Unmapped, column_type
+
+    base = Database(spark, f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, "CLOB")
+    orders = spark.createDataFrame([("o1", Decimal("9.50"), dt.datetime(2026, 1, 1, 8), True), (None, None, None, None)], "order_id string, total decimal(12,2), placed_at timestamp, late boolean")
+    read = lambda t: spark.read.jdbc(base.url, t, properties=base.properties)
+    assert base.publish({"lake.orders": orders, "lake.days": spark.sql("SELECT DATE '2026-01-01' AS d")}) == {"lake.orders": "created", "lake.days": "created"}
+    assert base.publish({"lake.orders": orders.limit(1)})["lake.orders"] == "refilled" and read("lake.orders").count() == 1
+    assert base.publish({"lake.orders": orders.withColumn("more", F.lit(1))})["lake.orders"] == "recreated"
+    got = {r["ORDER_ID"]: r for r in read("lake.orders").collect()}
+    assert got["o1"]["TOTAL"] == Decimal("9.50") and got[None]["PLACED_AT"] is None and got["o1"]["MORE"] == 1
+    with pytest.raises(Exception):
+        with base.transaction() as s:
+            s.executeUpdate("DELETE FROM lake.orders")
+            raise OSError("lost")
+    assert read("lake.orders").count() == 2
+    with pytest.raises(Unmapped):
+        column_type(spark.sql("SELECT array(1) AS a").schema["a"].dataType)
 
 
 def test_entry_names():

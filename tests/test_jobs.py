@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from souk.__main__ import checked
-from souk.plans import flow
+from souk.plans import alerts, flow, status
 from souk.plans.cleaning import EXPORT_COLUMNS
 from souk.plans.jobs import Jobs, MissingTables, Settings, new_run_id, yesterday
 from souk.sources import records
@@ -20,7 +20,7 @@ def api():
         "customers": [{"customer_id": "C1", "first_name": "Ada", "email": "ada@example.org", "postal_code": "06000", "created_at": "2026-01-01T00:00:00Z", "updated_at": "2026-01-02T00:00:00Z"}],
         "products": [{"product_id": p, "name": p, "unit_price": "49.90", "is_active": "true", "created_at": "2026-01-01T00:00:00Z", "updated_at": "2026-01-02T00:00:00Z"} for p in ("P1", "P2")],
     }
-    get = lambda url: (200, {}, json.dumps({"items": items[url.split("?")[0].rsplit("/", 1)[1]], "has_next": False}))
+    get = lambda url: (200, {}, json.dumps({"data": items[url.split("?")[0].rsplit("/", 1)[1]], "pagination": {"has_next": False}}))
     return records.ApiClient("http://shop", get)
 
 
@@ -31,7 +31,7 @@ def jobs(spark, tmp_path_factory):
     lines = [row, row, row | {"ligne": "2", "ref_produit": "P9"}]
     (base / "landing/marketplace").mkdir(parents=True)
     text = "\n".join([";".join(EXPORT_COLUMNS), *[";".join(x[c] for c in EXPORT_COLUMNS) for x in lines]]) + "\n"
-    (base / f"landing/marketplace/marketplace_{DAY}.csv").write_text(text, encoding="utf-8")
+    (base / f"landing/marketplace/marketplace_orders_{DAY}.csv").write_text(text, encoding="utf-8")
     item = lambda n, price, off: {"line_number": n, "product_id": f"P{n}", "quantity": 1, "unit_price": price, "discount_pct": off}
     created = {"event_id": "e1", "event_type": "order_created", "event_ts": "2026-06-10T08:00:00.000Z", "schema_version": 1, "order_id": "WEB-20260610-00001", "customer_id": "C1", "channel": "web", "payment_method": "card", "currency": "EUR", "shipping": {"city": "Nice", "postal_code": "06000", "fee": 4.9}, "items": [item(1, 49.9, 0), item(2, 39.8, 0)], "total_amount": 94.6}
     paid = {"event_id": "e2", "event_type": "order_status_changed", "event_ts": "2026-06-10T08:05:00.000Z", "schema_version": 1, "order_id": "WEB-20260610-00001", "status": "paid"}
@@ -66,16 +66,39 @@ def test_a_day(jobs):
     assert "silver.reject_rates.reject_rate_acceptable" in q["failures"]
     assert jobs.warehouse_load()["rows"]["raw/orders"] == 2
     told = {r["table"]: r for r in jobs.status()}
-    assert told["gold/orders"]["rows"] == 2 and told["gold/orders"]["last order_date"] == "2026-06-10" and told["quality/check_results"]["rows"] == 88
+    assert told["gold/orders"] == {"table": "gold/orders", "exists": True, "rows": 2, "first order date": "2026-06-10", "last order date": "2026-06-10", "total amount": "184.42"}
+    assert told["quality/check_results"]["rows"] == 88 and told["quality/check_results"]["runs"] == "1" and told["silver/web_order_lines"]["orders"] == "1"
+    assert "gold/order_lines  3 rows\n  units sold = 4" in status.render(list(told.values()))
+    built = jobs.warehouse_build(DAY)
+    assert built["models"]["core/fct_sales"] == 3 and built["tests"] == 83 == built["passed"] + built["warning"] + built["failed"]
+    assert built["failures"] == [] and jobs.warehouse().read("marts/mart_daily_sales").count() > 0
+    assert jobs.warehouse().read("test_failures/order_steps").count() == 0
+    fresh = jobs.freshness()
+    assert fresh["failed"] == 0 and fresh["sources"]["orders"]["status"] == "pass"
+    late = jobs.freshness(dt.datetime.now(dt.UTC).replace(tzinfo=None) + dt.timedelta(hours=30))
+    assert late["sources"]["orders"]["status"] == "warn" and jobs.freshness(dt.datetime(2099, 1, 1))["failed"] == 4
 
 
 def test_the_gate_holds_the_warehouse_back(jobs):
     ended = flow.run(jobs.daily(DAY, api()), pause=0)
     states = {n: x.state for n, x in ended.items()}
-    assert states == {"export_ready": "done", "bronze_marketplace": "done", "bronze_api": "done", "silver": "done", "gold": "done", "quality": "failed", "warehouse_load": "skipped"}
+    assert states == {"export_ready": "done", "bronze_marketplace": "done", "bronze_api": "done", "bronze_events": "done", "silver": "done", "gold": "done", "quality": "failed", "warehouse_load": "skipped", "warehouse_build": "skipped", "freshness": "skipped"}
     assert ended["quality"].tries == 1
 
 
+def test_a_failed_step_is_told(tmp_path):
+    ended = [flow.Outcome("gold", flow.FAILED, None, "OSError: disk", 3), flow.Outcome("quality", flow.SKIPPED), flow.Outcome("silver", flow.DONE, {})]
+    sent = []
+    out = alerts.raise_alerts("daily", "r1", ended, str(tmp_path / "a/alerts.jsonl"), "http://hook", lambda url, body: sent.append((url, json.loads(body))))
+    (line,) = (tmp_path / "a/alerts.jsonl").read_text().splitlines()
+    assert json.loads(line)["step"] == "gold" and json.loads(line)["tries"] == 3 and sent[0][0] == "http://hook" and "OSError: disk" in sent[0][1]["text"] and out[0]["undelivered"] == []
+
+    def down(*_):
+        raise OSError("no network")
+
+    assert [x.split(":")[0] for x in alerts.raise_alerts("daily", "r1", ended, "/proc/nothing/x", "http://hook", down)[0]["undelivered"]] == ["file", "webhook"]
+
+
 def test_flow():
     seen, pauses = [], []
 
@@ -97,7 +120,9 @@ def test_flow():
 
 def test_command_line():
     args = checked(["bronze-marketplace", "--until", "2026-06-10"])
-    assert args.first == args.last == DAY
+    assert args.days.first == args.days.last == DAY
+    assert checked(["bronze-marketplace"]).days.first is None and checked(["bronze-marketplace", "--all"]).days.every
+    assert checked(["bronze-api", "--entity", "products", "--lookback-minutes", "5"]).lookback_minutes == 5
     for bad in (["--all", "--date", "2026-06-10"], ["--date", "2026-06-10", "--from", "2026-06-09"], ["--from", "2026-06-11", "--until", "2026-06-10"]):
         with pytest.raises(SystemExit):
             checked(["bronze-marketplace", *bad])

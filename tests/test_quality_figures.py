@@ -2,19 +2,16 @@
 
 from collections import Counter
 
-from souk.queries import checks
 from souk.queries.base import QUERIES
 from souk.registry import QUERIES as ALL
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_figures_have_every_check(spark, monkeypatch):
+def test_figures_have_every_check(spark):
     assert "quality_checks_all" in ALL
     rows = QUERIES["quality_checks_all"](spark, SF).collect()
     assert len(rows) == 88 and {r["layer"] for r in rows} == {"bronze", "silver", "gold"} and "suite_ran" not in {r["check_name"] for r in rows}
-    done = spark.createDataFrame([("run-1", checks.NOW, *r) for r in rows], checks.quality.RESULT)
-    monkeypatch.setattr(checks, "check_results", lambda s, layers=("bronze", "silver", "gold"): done.where(checks.F.col("layer").isin(*layers)))
     status = Counter(r["status"] for r in rows)
     cards = QUERIES["fig_quality_cards"](spark, SF).first()
     assert (cards["checks"], cards["passed"], cards["in_warning"], cards["failed"]) == (88, status["passed"], status["warning"], status["failed"])
