@@ -81,6 +81,17 @@ def _(s):
     return s.clean_events[1].drop("rejected_at").unionByName(s.web_lines[1].drop("rejected_at"))
 
 
+@query(
+    "reject_refs",
+    """SELECT 'order_events' AS source, reason, 'shop.orders:' || (event_id % 3) || ':' || (event_id * 2 + again) AS source_ref, true AS has_record FROM event_judged, (VALUES (0), (1)) AS delivery(again) WHERE reason IS NOT NULL AND (again = 0 OR twice)
+      UNION ALL SELECT 'order_events', 'orphan_status_event', (substr(event_id, 2)::BIGINT % 3) || ':' || (substr(event_id, 2)::BIGINT * 2), true FROM event_good WHERE kind = 'order_status_changed' AND order_id NOT IN (SELECT order_id FROM event_created)
+      UNION ALL SELECT 'order_events', reason, order_id, true FROM web_judged WHERE reason IS NOT NULL""",
+)
+def _(s):
+    """Where each rejected record of the messages came from; reject_records has the records themselves."""
+    return s.clean_events[1].unionByName(s.web_lines[1]).select("source", "reason", "source_ref", F.col("record").isNotNull().alias("has_record"))
+
+
 @query("orphans", "SELECT event_id, order_id, status FROM event_good WHERE kind = 'order_status_changed' AND order_id NOT IN (SELECT order_id FROM event_created)")
 def _(s):
     return cleaning.orphan_changes(s.clean_events[0]).select("event_id", "order_id", "status")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from souk.operators import history, series
 from souk.plans import status
+from souk.plans.testdata import export_rows
 from souk.queries.base import query
 from souk.sources import csv_export, records
 from souk.sources.files import Files, scratch
@@ -89,11 +90,12 @@ _MONTH = "file_date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'"
 
 
 def _export_folder(s) -> str:
-    from souk.plans.testdata import export_rows
-
-    folder = scratch(s.spark, "landing")
-    csv_export.write(export_rows(s.spark, s.dir), folder)
-    return folder
+    """The folder with all of the export's daily files, written once a session."""
+    if "export_folder" not in s.__dict__:
+        folder = scratch(s.spark, "landing")
+        csv_export.write(export_rows(s.spark, s.dir), folder)
+        s.__dict__["export_folder"] = folder
+    return s.__dict__["export_folder"]
 
 
 def _loaded(s, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:

@@ -96,11 +96,12 @@ class Lake:
         """Replaces, for each value of the column in df, all rows with that value. Each value is a part of its own: where the stored
         parts are such slices too, nothing else is read or written. Nulls are refused."""
         number, tables = self.manifest()
-        if not df.where(F.col(column).isNull()).isEmpty():
-            raise OutsideSlice(f"{table}: null {column}")
         path = f"{table}/v-{uuid.uuid4().hex}"
         df.withColumn("_slice", F.col(column).cast("string")).hint("rebalance", "_slice").write.partitionBy("_slice").parquet(f"{self.root}/{path}")
         added = [f"{path}/{n}" for n in self.files.names(f"{self.root}/{path}") if n.startswith("_slice=")]
+        if any(p.endswith("=__HIVE_DEFAULT_PARTITION__") for p in added):
+            self.files.delete(f"{self.root}/{path}")
+            raise OutsideSlice(f"{table}: null {column}")
         names = {p.rsplit("/", 1)[1] for p in added}
         kept = []
         for part in tables.get(table, []):
