@@ -86,9 +86,6 @@ def _(s):
     return lake.read("orders").groupBy("source").agg(F.count(F.lit(1)).alias("orders"))
 
 
-_MONTH = "file_date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'"
-
-
 def _export_folder(s) -> str:
     """The folder with all of the export's daily files, written once a session."""
     if "export_folder" not in s.__dict__:
@@ -110,34 +107,17 @@ def _lineage(s, files) -> DataFrame:
     return csv_export.with_lineage(csv_export.read(s.spark, files), "run-1").groupBy("_source_file", "_file_date", "_run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("csv_ingest", f"SELECT CASE WHEN NOT torn THEN order_id ELSE order_id END AS numero_commande, file_date AS _file_date, torn AS is_torn, CASE WHEN torn THEN NULL ELSE line_number::VARCHAR END AS ligne FROM export_facts WHERE {_MONTH}")
-def _(s):
-    """A month of the export, by the loader's range of days; csv_ingest_all loads the whole."""
-    return _loaded(s, dt.date(1997, 3, 1), dt.date(1997, 3, 31))
-
-
-@query("csv_ingest_all", "SELECT order_id AS numero_commande, file_date AS _file_date, torn AS is_torn, CASE WHEN torn THEN NULL ELSE line_number::VARCHAR END AS ligne FROM export_facts")
+@query("csv_ingest", "SELECT order_id AS numero_commande, file_date AS _file_date, torn AS is_torn, CASE WHEN torn THEN NULL ELSE line_number::VARCHAR END AS ligne FROM export_facts")
 def _(s):
     return _loaded(s)
 
 
-@query("csv_lineage", f"SELECT 'marketplace_orders_' || file_date || '.csv' AS _source_file, file_date AS _file_date, 'run-1' AS _run_id, count(*) AS n FROM export_facts WHERE {_MONTH} GROUP BY ALL")
-def _(s):
-    files = csv_export.available(s.spark, _export_folder(s))
-    return _lineage(s, csv_export.select_days(files, dt.date(1997, 3, 1), dt.date(1997, 3, 31))[0].values())
-
-
-@query("csv_lineage_all", "SELECT 'marketplace_orders_' || file_date || '.csv' AS _source_file, file_date AS _file_date, 'run-1' AS _run_id, count(*) AS n FROM export_facts GROUP BY ALL")
+@query("csv_lineage", "SELECT 'marketplace_orders_' || file_date || '.csv' AS _source_file, file_date AS _file_date, 'run-1' AS _run_id, count(*) AS n FROM export_facts GROUP BY ALL")
 def _(s):
     return _lineage(s, csv_export.available(s.spark, _export_folder(s)).values())
 
 
-@query("missing_days", "SELECT d::DATE AS missing_day FROM (SELECT unnest(generate_series(DATE '1994-12-01', DATE '1995-12-31', INTERVAL 1 DAY)) AS d) WHERE d::DATE NOT IN (SELECT file_date FROM export_facts)")
-def _(s):
-    return series.missing_days("1994-12-01", "1995-12-31", s.export_facts, "file_date")
-
-
-@query("missing_days_all", "SELECT d::DATE AS missing_day FROM (SELECT unnest(generate_series(min(file_date), max(file_date), INTERVAL 1 DAY)) AS d FROM export_facts) WHERE d::DATE NOT IN (SELECT file_date FROM export_facts)")
+@query("missing_days", "SELECT d::DATE AS missing_day FROM (SELECT unnest(generate_series(min(file_date), max(file_date), INTERVAL 1 DAY)) AS d FROM export_facts) WHERE d::DATE NOT IN (SELECT file_date FROM export_facts)")
 def _(s):
     """Over the export's own first to last day."""
     r = s.export_facts.agg(F.min("file_date").alias("first"), F.max("file_date").alias("last")).first()
