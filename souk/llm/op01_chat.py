@@ -9,8 +9,8 @@ Conversations are worked on in blocks of turns: ranks, hashes and text are built
 so the turns of one very long conversation are spread over tasks. What is compared is 128 bits of hashes and the length.
 
 Defined results: turns are ordered by turn (null first), then role, then text; rows that repeat whole are one turn; a null role or text
-is an empty one, different from a null in no way; a null conv_id is a conversation of its own; an empty table gives no
-rows.
+is an empty one, different from a null in no way; markers of the template inside a role or text are escaped; a null conv_id
+is a conversation of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,13 @@ BLOCK = 128
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def escape(value: Column) -> Column:
+    """One backslash more wherever only backslashes, or nothing, stand between < and |im_: no text holds a marker, and taking one away gives it back."""
+    return F.regexp_replace(value, r"<(\\*)\|im_", r"<$1\\|im_")
+
+
 def render_turn(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END), F.lit("\n"))
+    return F.concat(F.lit(START), escape(role), F.lit("\n"), escape(text), F.lit(END), F.lit("\n"))
 
 
 def _numbered(conversations: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
@@ -72,17 +77,17 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
 
 
 #: The same in DuckDB SQL, comparing lists of turns.
-SQL = """
+SQL = r"""
 WITH chats AS (
   SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role, text) AS turns
   FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {conversations}) GROUP BY conv_id),
 single AS (SELECT min(conv_id) AS conv_id, turns FROM chats GROUP BY turns),
 prefixed AS (
   SELECT DISTINCT a.conv_id FROM single a JOIN single b ON a.turns[1] = b.turns[1] AND len(a.turns) < len(b.turns) AND b.turns[1:len(a.turns)] = a.turns),
-kept AS (SELECT * FROM single WHERE conv_id NOT IN (SELECT conv_id FROM prefixed WHERE conv_id IS NOT NULL)),
+kept AS (SELECT * FROM single s WHERE NOT EXISTS (SELECT 1 FROM prefixed p WHERE p.conv_id IS NOT DISTINCT FROM s.conv_id)),
 rendered AS (
   SELECT conv_id, len(turns)::BIGINT AS n_turns,
-    list_aggregate(list_transform(turns, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), 'string_agg', '') AS chat FROM kept)
+    list_aggregate(list_transform(turns, lambda x: '<|im_start|>' || regexp_replace(x.r, '<(\\*)\|im_', '<\1\\|im_', 'g') || chr(10) || regexp_replace(x.t, '<(\\*)\|im_', '<\1\\|im_', 'g') || '<|im_end|>' || chr(10)), 'string_agg', '') AS chat FROM kept)
 SELECT conv_id, n_turns, length(chat)::BIGINT AS n_chars, chat FROM rendered
 """
 
