@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from souk.llm import op01_chat, op02_quality, op03_suffix_dedup, op04_simhash, op05_mixing, op06_decontaminate, op07_lines, op08_tokens, op09_rules
 from souk.llm import op10_substrings as op10_substrings_operator
+from souk.llm import op11_audit as op11_audit_operator
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_audit_operator.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
@@ -77,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_rules": op9_rules,
     "op10_substrings": op10_substrings,
+    "op11_audit": op11_audit,
 }
-ORACLES: dict[str, str] = {"op1_chat": op01_chat.oracle(), "op5_mixing": op05_mixing.oracle(), "op7_lines": op07_lines.oracle()}
+ORACLES: dict[str, str] = {"op1_chat": op01_chat.oracle(), "op5_mixing": op05_mixing.oracle(), "op7_lines": op07_lines.oracle(), "op11_audit": op11_audit_operator.oracle()}
