@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from souk.llm import op01_chat, op02_quality, op03_suffix_dedup, op04_simhash, op05_mixing, op06_decontaminate, op07_lines, op08_tokens, op09_rules
 from souk.llm import op10_substrings as op10_substrings_operator
 from souk.llm import op11_audit as op11_audit_operator
+from souk.llm import op12_vector_codes as op12_vector_codes_operator
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,10 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_audit_operator.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_vector_codes_operator.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
@@ -83,5 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rules": op9_rules,
     "op10_substrings": op10_substrings,
     "op11_audit": op11_audit,
+    "op12_vector_codes": op12_vector_codes,
+}
+ORACLES: dict[str, str] = {
+    "op1_chat": op01_chat.oracle(),
+    "op5_mixing": op05_mixing.oracle(),
+    "op7_lines": op07_lines.oracle(),
+    "op11_audit": op11_audit_operator.oracle(),
+    "op12_vector_codes": op12_vector_codes_operator.oracle(),
 }
-ORACLES: dict[str, str] = {"op1_chat": op01_chat.oracle(), "op5_mixing": op05_mixing.oracle(), "op7_lines": op07_lines.oracle(), "op11_audit": op11_audit_operator.oracle()}
