@@ -19,19 +19,28 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from souk.llm.common import parts, text_bytes
+
 #: The filters by letter; bit i of a set of failures is letter i.
 FILTERS = "ABCDE"
 #: Fixed by the contract: fewest words, least percentage of distinct words, greatest percentage of capital letters, symbols.
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, SYMBOLS = 50, 65, 5, "[#$%&*|]"
 SEPARATORS = r"[\x20\x09-\x0D]+"
+#: Bytes of text whose words a task aggregates.
+TEXT_PER_TASK = 32_000_000
 #: What is counted in each set of failures: documents, those labelled good, those labelled toxic.
 COUNTED = ("n", "good", "toxic")
 SETS = range(1 << len(FILTERS))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(_id, _hash, n_words, n_distinct) of each id and text (columns _id, _text, _hash) that has words; rows that repeat count once."""
-    words = docs.select("_id", "_hash", F.posexplode(F.split(F.regexp_replace("_text", "^" + SEPARATORS, ""), SEPARATORS)).alias("at", "word")).where("word <> ''")
+    """(_id, _hash, n_words, n_distinct) of each id and text (columns _id, _text, _hash) that has words; rows that repeat count once.
+
+    Texts are dealt out by document before they are exploded, so neither aggregate sends its words to another task.
+    """
+    n_tasks = parts(docs.sparkSession, text_bytes(docs), TEXT_PER_TASK)
+    dealt = docs.select("_id", "_hash", "_text").repartition(n_tasks, "_id", "_hash")
+    words = dealt.select("_id", "_hash", F.posexplode(F.split(F.ltrim("_text", F.lit(" \t\n\v\f\r")), SEPARATORS)).alias("at", "word")).where("word <> ''")
     by_word = words.groupBy("_id", "_hash", "word").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("at") == 0).cast("long")).alias("firsts"))
     totals = by_word.groupBy("_id", "_hash").agg(F.sum("n").alias("n"), F.sum("firsts").alias("rows"), F.count(F.lit(1)).alias("n_distinct"))
     return totals.select("_id", "_hash", F.expr("n div rows").alias("n_words"), "n_distinct")
