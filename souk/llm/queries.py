@@ -10,6 +10,7 @@ from souk.llm import op01_chat, op02_quality, op03_suffix_dedup, op04_simhash, o
 from souk.llm import op10_substrings as op10_substrings_operator
 from souk.llm import op11_audit as op11_audit_operator
 from souk.llm import op12_vector_codes as op12_vector_codes_operator
+from souk.llm import op13_byte_bpe as op13_byte_bpe_operator
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_vector_codes_operator.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = op13_byte_bpe_operator.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    return op13_byte_bpe_operator.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
     "op11_audit": op11_audit,
     "op12_vector_codes": op12_vector_codes,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES: dict[str, str] = {
     "op1_chat": op01_chat.oracle(),
