@@ -2,7 +2,7 @@
 
 Documents are cut into pre-tokens ("words") in slices of some megabytes of text. A slice sends each of its distinct words, numbered, once
 to the task that owns the word; there equal words lie side by side, each is merged by the ranks once and its ids go back to every slice that
-asked. A slice's row keeps which word stands at which position of which document, packed; its ids are put together in that order.
+asked. A slice's rows keep which word stands at which position of which document, packed; the ids are put together in that order.
 So a word that a third of all positions hold is one row a slice.
 
 Decoding joins ids with the token-byte table. That table is as large as the vocabulary, so every task has it and no row is shuffled.
@@ -21,12 +21,14 @@ import base64
 import heapq
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.llm.common import pack_gaps, parts, text_bytes, unpack_gaps, with_text
@@ -35,10 +37,14 @@ from souk.llm.common import pack_gaps, parts, text_bytes, unpack_gaps, with_text
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of white space never belongs to the words around it, but for one space before them: a text is cut here first, and equal pieces only once.
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Bytes of text of a slice, and of text whose words or ids a task holds.
-SLICE_BYTES, TEXT_PER_TASK = 24_000_000, 48_000_000
-#: Documents of a slice at most, if they are short.
-SLICE_ROWS = 200_000
+#: White space at an end: what stands between two spaces cannot be cut without knowing what is around it.
+OPEN_END = f"^[{SPACE}]|[{SPACE}]$"
+#: Bytes of text of a slice, whose distinct words are numbered, and of each of its parts, whose positions are packed in a row.
+SLICE_BYTES, PART_BYTES = 48_000_000, 6_000_000
+#: Documents of a part and of a slice at most, if they are short.
+PART_ROWS, SLICE_ROWS = 100_000, 1_000_000
+#: Bytes of text whose words or ids a task holds.
+TEXT_PER_TASK = 48_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,41 +90,71 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Numbers(dict):
-    """Keys by the order in which they were first asked for."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
+@dataclass
 class Slice:
-    """Documents and the pieces they are cut into, until there are some megabytes of text."""
-
-    def __init__(self):
-        self.pieces, self.sequence, self.ends, self.ids, self.size, self.total = Numbers(), [], [], [], 0, 0
-
-    def add(self, text: str) -> None:
-        numbers = self.pieces
-        own = np.array([numbers[p] for p in PIECE.findall(text)], np.int32)
-        self.sequence.append(own)
-        self.total += own.size
-        self.ends.append(self.total)
-        self.size += len(text)
-
-    def words(self, pattern: regex.Pattern) -> tuple[Numbers, np.ndarray, np.ndarray]:
-        """The distinct words, and by piece its words' numbers, with where each piece starts among them."""
-        words, flat, starts = Numbers(), [], [0]
-        for piece in self.pieces:
-            flat += [words[w] for w in pattern.findall(piece)]
-            starts.append(len(flat))
-        return words, np.array(flat, np.int32), np.array(starts, np.int64)
-
-    def positions(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The word at every position of the slice, and where each document ends."""
-        sequence = np.concatenate(self.sequence) if self.sequence else np.zeros(0, np.int32)
-        codes, n_words = spread(flat, starts, sequence)
-        return codes, np.concatenate([[0], n_words])[np.array(self.ends, np.int64)]
+    """Some megabytes of documents as words: piece i of a text is words flat[starts[i]:starts[i + 1]], sequence has the pieces of all documents
+    one after another, and ends where each document's stop."""
+
+    words: pa.Array
+    flat: np.ndarray
+    starts: np.ndarray
+    sequence: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array, pattern: regex.Pattern) -> Slice:
+        """Texts are cut at single spaces, all at once; where white space stands beside a space, or at an end of the text, by the pattern
+        of pieces. Equal pieces are cut into words once; a run of letters is one word, with its space."""
+        texts = texts.fill_null("")
+        lists = pc.split_pattern(texts, " ")
+        ends = lists.offsets.to_numpy()[1:].astype(np.int64)
+        begins = np.concatenate([[0], ends[:-1]])
+        between = pc.dictionary_encode(lists.flatten())
+        del lists
+        kinds = between.dictionary
+        open_ended = pc.or_(pc.equal(kinds, ""), pc.match_substring_regex(kinds, OPEN_END)).to_numpy(zero_copy_only=False)
+        sequence = between.indices.to_numpy()
+        odd = np.flatnonzero(open_ended[sequence])
+        # twice what stands between spaces, one more for the first of a text, which has no space before
+        sequence = sequence * np.int32(2)
+        del between
+        sequence[begins[begins < ends]] += 1
+        at_odds = np.unique(np.searchsorted(ends, odd, "right"))
+        pieces: dict[str, int] = {}
+        if at_odds.size:
+            runs, stop, lengths = [], 0, ends - begins
+            for i in at_odds.tolist():
+                own = [pieces.setdefault(x, len(pieces)) for x in PIECE.findall(texts[i].as_py())]
+                runs += [sequence[stop : begins[i]], 2 * len(kinds) + np.array(own, np.int32)]
+                stop, lengths[i] = ends[i], len(own)
+            sequence, ends = np.concatenate([*runs, sequence[stop:]]), np.cumsum(lengths)
+        used = np.flatnonzero(np.bincount(sequence, minlength=2 * len(kinds) + len(pieces)))
+        plain, own = used[used < 2 * len(kinds)], used[used >= 2 * len(kinds)]
+        text = kinds.take(pa.array(plain // 2))
+        text = pc.if_else(pa.array(plain % 2 == 1), text, pc.binary_join_element_wise(" ", text, ""))
+        letters = pc.utf8_is_alpha(kinds).to_numpy(zero_copy_only=False)[plain // 2]
+        one, names = text.filter(pa.array(letters)), list(pieces)
+        several = [pattern.findall(x) for x in text.filter(pa.array(~letters)).to_pylist() + [names[i - 2 * len(kinds)] for i in own.tolist()]]
+        order = np.concatenate([plain[letters], plain[~letters], own])
+        place = np.empty(2 * len(kinds) + len(pieces), np.int32)
+        place[order] = np.arange(order.size)
+        coded = pc.dictionary_encode(pa.concat_arrays([one, pa.array([w for words in several for w in words], pa.string())]))
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([np.ones(len(one), np.int64), np.array([len(x) for x in several], np.int64)]))])
+        return cls(coded.dictionary, coded.indices.to_numpy(), starts, place[sequence], ends)
+
+    def ranks(self) -> np.ndarray:
+        """The words' numbers by falling frequency: those pack better."""
+        often = np.bincount(self.sequence, minlength=self.starts.size - 1)
+        counts = np.bincount(self.flat, np.repeat(often, np.diff(self.starts)), len(self.words))
+        ranks = np.empty(len(self.words), np.int64)
+        ranks[np.argsort(-counts, kind="stable")] = np.arange(len(self.words))
+        return ranks
+
+    def positions(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of documents first to last (exclusive): the word at every position, and where each document ends."""
+        begin = self.ends[first - 1] if first else 0
+        codes, counts = spread(self.flat, self.starts, self.sequence[begin : self.ends[last - 1]])
+        return codes, np.concatenate([[0], counts])[self.ends[first:last] - begin]
 
 
 def spread(values: np.ndarray, starts: np.ndarray, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +166,7 @@ def spread(values: np.ndarray, starts: np.ndarray, sequence: np.ndarray) -> tupl
 
 
 def pack_codes(codes: np.ndarray) -> list[bytes]:
-    """Byte by byte of the numbers, compressed: frequent words come early, so the high bytes are mostly zero."""
+    """Byte by byte of the numbers, compressed: frequent words have small ones, so the high bytes are mostly zero."""
     planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
     return [pa.compress(np.ascontiguousarray(planes[:, i]), "zstd", asbytes=True) for i in range(4)] if codes.size else []
 
@@ -142,22 +178,37 @@ def unpack_codes(planes: list[bytes], n: int) -> np.ndarray:
     return whole.reshape(-1).view("<u4").astype(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Slice]]:
-    """Numbered slices of a task's documents (_id, _text, _part), whatever its batches are."""
-    part, now, seq = 0, Slice(), 0
+def cuts(sizes: np.ndarray, most: int, rows: int) -> list[tuple[int, int]]:
+    """Ranges of rows of at most `rows` and about `most` bytes; a range ends with the row that reaches it."""
+    ends, out, first, total = np.cumsum(sizes), [], 0, 0
+    while first < sizes.size:
+        last = min(int(np.searchsorted(ends, total + most)) + 1, first + rows, sizes.size)
+        out.append((first, last))
+        first, total = last, ends[last - 1]
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array]]:
+    """Numbered slices of a task's documents (_id, _text, _part), whatever its batches are: (number, ids, texts)."""
+    part, seq, held, size, n = 0, 0, [], 0, 0
+
+    def whole() -> tuple[int, pa.Array, pa.Array]:
+        return part << 32 | seq, pa.concat_arrays([x for x, _ in held]), pa.concat_arrays([x for _, x in held])
+
     for batch in batches:
         part = batch.column(2)[0].as_py() if batch.num_rows else part
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         first = 0
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            now.add(text or "")
-            if now.size >= SLICE_BYTES or len(now.ends) >= SLICE_ROWS:
-                now.ids.append(batch.column(0).slice(first, i + 1 - first))
-                yield part << 32 | seq, now
-                now, first, seq = Slice(), i + 1, seq + 1
-        if first < batch.num_rows:
-            now.ids.append(batch.column(0).slice(first))
-    if now.ends:
-        yield part << 32 | seq, now
+        while first < batch.num_rows:
+            last = cuts(sizes[first:], SLICE_BYTES - size, SLICE_ROWS - n)[0][1] + first
+            held.append((batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first)))
+            size, n = size + int(sizes[first:last].sum()), n + last - first
+            first = last
+            if size >= SLICE_BYTES or n >= SLICE_ROWS:
+                yield whole()
+                held, size, n, seq = [], 0, 0, seq + 1
+    if held:
+        yield whole()
 
 
 def _rows(names: str, *columns: pa.Array) -> pa.RecordBatch:
@@ -168,34 +219,61 @@ def slice_words(source: DataFrame, pattern: str) -> DataFrame:
     """(word, slice, code): the distinct words of each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = word_pattern(pattern)
-        for number, now in _slices(batches):
-            words = now.words(cut)[0]
-            yield _rows("word slice code", pa.array([w.encode() for w in words], pa.binary()), pa.array(np.full(len(words), number)), pa.array(np.arange(len(words), dtype=np.int32)))
+        for number, _, texts in _slices(batches):
+            now = Slice.of(texts, word_pattern(pattern))
+            words, ranks = now.words.cast(pa.binary()), pa.array(now.ranks(), pa.int32())
+            del now, texts
+            pa.default_memory_pool().release_unused()
+            for at in range(0, len(words), 50_000):
+                own = words.slice(at, 50_000)
+                yield _rows("word slice code", own, pa.array(np.full(len(own), number)), ranks.slice(at, 50_000))
 
     return source.mapInArrow(run, "word binary, slice long, code int")
 
 
 def slice_positions(source: DataFrame, pattern: str) -> DataFrame:
-    """(slice, code, ids, head), code and ids null: which words each slice has where."""
+    """(slice, code, ids, head), code and ids null: which words each part of a slice has where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = word_pattern(pattern)
-        for number, now in _slices(batches):
-            words, flat, starts = now.words(cut)
-            codes, ends = now.positions(flat, starts)
-            table = pa.table({"id": pa.chunked_array(now.ids)})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table)
-            head = pickle.dumps((len(words), codes.size, pack_codes(codes), pack_gaps(ends), sink.getvalue().to_pybytes()), protocol=5)
-            yield _rows("slice code ids head", pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([head], pa.binary()))
+        for number, ids, texts in _slices(batches):
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            now = Slice.of(texts, word_pattern(pattern))
+            ranks = now.ranks()
+            del texts
+            pa.default_memory_pool().release_unused()
+            for first, last in cuts(sizes, PART_BYTES, PART_ROWS):
+                codes, ends = now.positions(first, last)
+                table = pa.table({"id": ids.slice(first, last - first)})
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(table)
+                head = pickle.dumps((len(ranks), codes.size, pack_codes(ranks[codes]), pack_gaps(ends), sink.getvalue().to_pybytes()), protocol=5)
+                yield _rows("slice code ids head", pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([head], pa.binary()))
 
     return source.mapInArrow(run, "slice long, code int, ids binary, head binary")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row. pattern: the pre-tokens, whose runs of white space end before a word or its one space."""
+class Answers:
+    """The ids of a slice's words, in the order of their numbers."""
+
+    def __init__(self, width: np.dtype):
+        self.width, self.lists, self.n = width, [], 0
+
+    def add(self, lists: pa.Array) -> None:
+        self.lists.append(lists)
+        self.n += len(lists)
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each word start."""
+        whole = pa.concat_arrays([pa.array([], pa.binary()), *self.lists])
+        offsets = np.frombuffer(whole.buffers()[1] or b"\0" * 4, np.int32, self.n + 1, 4 * whole.offset).astype(np.int64)
+        n = int(offsets[-1] - offsets[0]) // self.width.itemsize
+        values = np.frombuffer(whole.buffers()[2], self.width, n, offsets[0]) if n else np.zeros(0, self.width)
+        return values, (offsets - offsets[0]) // self.width.itemsize
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str) -> tuple[DataFrame, Callable, str]:
+    """Answers and positions by slice, what makes (doc_id, ids) of them, and its schema."""
     spark = docs.sparkSession
     # a task's own number would depend on what else its stage reads
     source = with_text(docs, id_col, text_col).withColumn("_part", F.spark_partition_id())
@@ -213,36 +291,59 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 found.append(ids)
             yield _rows("slice code ids head", batch.column(1), batch.column(2), pa.array(found, pa.binary()), pa.nulls(batch.num_rows, pa.binary()))
 
-    def gather(group: pa.Table) -> pa.Table:
-        asked = group.column("code").is_valid()
-        n_words, n_codes, planes, ends, stream = pickle.loads(group.column("head").drop_null()[0].as_py())
-        answers = group.filter(asked).select(["code", "ids"]).sort_by("code").combine_chunks()
-        if answers.num_rows != n_words:
-            raise RuntimeError(f"{answers.num_rows} answers to {n_words} words: the documents came in another order when a task was repeated")
-        lists = answers.column("ids").combine_chunks() if n_words else pa.array([], pa.binary())
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        offsets = np.frombuffer(lists.buffers()[1], np.int32, n_words + 1, 4 * lists.offset).astype(np.int64) if n_words else np.zeros(1, np.int64)
-        values = np.frombuffer(lists.buffers()[2], width, (offsets[-1] - offsets[0]) // width.itemsize, offsets[0]) if n_words else np.zeros(0, width)
-        starts = (offsets - offsets[0]) // width.itemsize
-        codes, ends = unpack_codes(planes, n_codes), unpack_gaps(ends)
-        tokens, counts = spread(values, starts, codes)
-        bounds = np.concatenate([[0], np.concatenate([[0], counts])[ends]])
-        ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens.astype(np.int32)))
-        with pa.ipc.open_stream(stream) as reader:
-            names = reader.read_all().column("id")
-        return pa.table({"doc_id": names, "ids": ids})
-
-    answers = slice_words(source, pattern).repartition(n_tasks, "word").sortWithinPartitions("word").mapInArrow(answer, "slice long, code int, ids binary, head binary")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, known, table = None, Answers(width), None
+        for batch in batches:
+            numbers, codes = batch.column(0).to_numpy(), batch.column(1)
+            for a, b in zip(*runs_of(numbers, codes.is_null().to_numpy(zero_copy_only=False)), strict=True):
+                if numbers[a] != number:
+                    number, known, table = numbers[a], Answers(width), None
+                if codes[a].is_valid:
+                    known.add(batch.column(2).slice(a, b - a))
+                    continue
+                for head in batch.column(3).slice(a, b - a):
+                    n_words, n_codes, planes, ends, stream = pickle.loads(head.as_py())
+                    if known.n != n_words:
+                        raise RuntimeError(f"{known.n} answers to {n_words} words: the documents came in another order when a task was repeated")
+                    table = table or known.table()
+                    tokens, counts = spread(*table, unpack_codes(planes, n_codes))
+                    bounds = np.concatenate([[0], np.concatenate([[0], counts])[unpack_gaps(ends)]])
+                    with pa.ipc.open_stream(stream) as reader:
+                        names = reader.read_all().column("id").combine_chunks()
+                    names = pa.concat_arrays(names.chunks) if isinstance(names, pa.ChunkedArray) else names
+                    yield _rows("doc_id ids", names, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens.astype(np.int32))))
+
+    reply = "slice long, code int, ids binary, head binary"
+    answers = slice_words(source, pattern).repartition(n_tasks, "word").sortWithinPartitions("word").mapInArrow(answer, reply)
     every = answers.unionAll(slice_positions(source, pattern)).repartition(n_tasks, "slice")
-    return every.groupBy("slice").applyInArrow(lambda g: gather(g), f"doc_id {source.schema['_id'].dataType.simpleString()}, ids array<int>")
+    # of a slice, the answers in order, then its parts
+    ordered = every.sortWithinPartitions("slice", F.col("code").asc_nulls_last())
+    return ordered, gather, f"doc_id {source.schema['_id'].dataType.simpleString()}, ids array<int>"
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """The rows of encoded with the bytes of their ids: a join with the token-byte table that every task has."""
-    table = pa.array([None] * (max(ranks.values(), default=-1) + 1), pa.binary()).to_pylist()
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) of every row. pattern: the pre-tokens; a run of letters with or without a space before is one, and white space
+    ends before a word or its one space."""
+    ordered, gather, schema = _encoded(docs, ranks, pattern, id_col, text_col)
+    return ordered.mapInArrow(gather, schema)
+
+
+def runs_of(*keys: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs of rows that agree in all keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    starts = np.flatnonzero(new).tolist()
+    return starts, [*starts[1:], len(new)]
+
+
+def _decoder(spark: SparkSession, ranks: dict[bytes, int], ids_col: str, bytes_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the bytes of ids to batches."""
+    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = None
@@ -261,12 +362,19 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", by
             out = [None if bad[e] > bad[e - n] or not ok else bytes(whole[places[e - n] : places[e]]) for e, n, ok in zip(ends.tolist(), lengths.tolist(), lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, bytes_col])
 
+    return run
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """The rows of encoded with the bytes of their ids: a join with the token-byte table that every task has."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, `{bytes_col}` binary")
+    return encoded.mapInArrow(_decoder(encoded.sparkSession, ranks, ids_col, bytes_col), f"{schema}, `{bytes_col}` binary")
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: its ids, and the bytes that they decode to."""
-    decoded = decode(encode(docs, ranks, pattern, id_col, text_col), ranks)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encode, then decode, in one worker's hands."""
+    ordered, gather, schema = _encoded(docs, ranks, pattern, id_col, text_col)
+    decoder = _decoder(docs.sparkSession, ranks, "ids", "decoded")
+    decoded = ordered.mapInArrow(lambda batches: decoder(gather(batches)), f"{schema}, decoded binary")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -51,11 +51,11 @@ def expected(library, text):
     return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
 
-@pytest.mark.parametrize("size,rows", [(24_000_000, 200_000), (700, 5)])
-def test_round_trip_of_odd_rows(spark, odd_docs, ranks, library, monkeypatch, size, rows):
-    """Nulls, empty and long texts, white space of all kinds, repeated rows, clashing columns; one slice or very many."""
-    monkeypatch.setattr(bpe, "SLICE_BYTES", size)
-    monkeypatch.setattr(bpe, "SLICE_ROWS", rows)
+@pytest.mark.parametrize("size,part,rows", [(48_000_000, 8_000_000, 100_000), (3000, 700, 5), (1, 1, 1)])
+def test_round_trip_of_odd_rows(spark, odd_docs, ranks, library, monkeypatch, size, part, rows):
+    """Nulls, empty and long texts, white space of all kinds, repeated rows, clashing columns; one slice, many of some parts, or very many."""
+    for name, value in (("SLICE_BYTES", size), ("PART_BYTES", part), ("PART_ROWS", rows), ("SLICE_ROWS", 10 * rows)):
+        monkeypatch.setattr(bpe, name, value)
     r = random.Random(5)
     texts = ODD + ["".join(r.choice(["a", "B", "é", "1", " ", " ", "\n", "\t", "'s", ".", "　", "\x1c", "日"]) for _ in range(r.randrange(80))) for _ in range(300)]
     base = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()] + [(100 + i, t) for i, t in enumerate(texts)] + [(100, texts[0]), (None, texts[1])]
