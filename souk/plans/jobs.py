@@ -77,11 +77,11 @@ class Jobs:
 
     def exists(self, name: str) -> bool:
         if name == "bronze/order_events":
-            return "_spark_metadata" in Files(self.spark).names(self.events_path)
+            return any(n.startswith(f"{ingest.BATCH}=") for n in Files(self.spark).names(self.events_path))
         return self.lake.exists(name)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.events_path) if name == "bronze/order_events" else self.lake.read(name)
+        return self.spark.read.parquet(self.events_path).drop(ingest.BATCH) if name == "bronze/order_events" else self.lake.read(name)
 
     def layer(self, layer: str) -> dict[str, DataFrame]:
         missing = [t for t in TABLES[layer] if not self.exists(f"{layer}/{t}")]
@@ -94,10 +94,12 @@ class Jobs:
 
     # bronze
 
-    def bronze_api(self, entities: Sequence[str] = tuple(records.FIELDS), full: bool = False, margin_minutes: int = 10, client: records.ApiClient | None = None) -> dict:
+    def bronze_api(self, entities: Sequence[str] = tuple(records.FIELDS), full: bool = False, margin_minutes: int = 10, **options: object) -> dict:
+        """options: of the paginated source."""
         began, run_id = time.time(), new_run_id()
-        client = client or records.ApiClient(self.settings.api)
-        out = {e: records.load_versions(self.spark, self.lake, client, e, f"{self.settings.landing}/api/{e}", run_id, full, margin_minutes) for e in entities}
+        if not self.settings.api:
+            raise ValueError("no address of the API is set")
+        out = {e: records.load_versions(self.spark, self.lake, self.settings.api, e, f"{self.settings.landing}/api/{e}", run_id, full, margin_minutes, **options) for e in entities}
         return {"job": "bronze-api", "run_id": run_id, **out, "seconds": round(time.time() - began, 1)}
 
     def export_folder(self) -> str:
@@ -119,8 +121,8 @@ class Jobs:
         began, s = time.time(), self.settings
         stream = ingest.read_messages(self.spark, s.messages) if s.messages else ingest.read_topic(self.spark, s.servers, s.topic, most_offsets)
         every = f"{interval_seconds} seconds" if continuous else None
-        n = ingest.append(ingest.to_bronze(stream), self.events_path, f"{self.lake.root}/_checkpoints/order_events", every)
-        return {"job": "bronze-events", "messages": n, "seconds": round(time.time() - began, 1)}
+        told = ingest.append(ingest.to_bronze(stream), self.events_path, f"{self.lake.root}/_checkpoints/order_events", every, "order_events")
+        return {"job": "bronze-events", "messages": told.rows, "batches": told.batches, "seconds": round(time.time() - began, 1)}
 
     # silver, gold
 
@@ -249,7 +251,7 @@ class Jobs:
 
     # the day
 
-    def daily(self, day: dt.date | None = None, client: records.ApiClient | None = None, export_timeout: float = 7200.0) -> list[flow.Step]:
+    def daily(self, day: dt.date | None = None, export_timeout: float = 7200.0) -> list[flow.Step]:
         """The steps of a business day: both bronze loads, messages if they have a place, silver, gold, the quality gate, and only then the
         warehouse, its models and how fresh it is."""
         day = day or yesterday()
@@ -259,7 +261,7 @@ class Jobs:
         return [
             flow.Step("export_ready", lambda: flow.wait_for(ready, timeout=export_timeout) or {"day": str(day)}, retries=0),
             flow.Step("bronze_marketplace", lambda: self.bronze_marketplace(day, day), ("export_ready",)),
-            flow.Step("bronze_api", lambda: self.bronze_api(client=client)),
+            flow.Step("bronze_api", self.bronze_api),
             *([flow.Step("bronze_events", self.bronze_events)] if events else []),
             flow.Step("silver", self.silver, loads),
             flow.Step("gold", self.gold, ("silver",)),

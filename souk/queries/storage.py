@@ -4,11 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import re
-import threading
-from collections.abc import Callable
-from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +13,9 @@ from souk.plans import status
 from souk.plans.testdata import export_rows
 from souk.queries.base import query
 from souk.sources import csv_export, records
-from souk.sources.files import Files, scratch
+from souk.sources.files import scratch
 from souk.sources.lake import Lake
-from souk.streaming import ingest
+from souk.streaming import ingest, stateful
 
 _ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day FROM orders"
 
@@ -54,7 +49,7 @@ def _(s):
 def _(s):
     lake, df = Lake(s.spark, scratch(s.spark, "lake")), _orders(s).select("o_orderkey", "o_orderstatus", "day")
     day = F.col("day") == F.lit("1996-01-02").cast("date")
-    lake.append(df.where(~day), "orders")
+    lake.append(df.where(~day).hint("rebalance", "day"), "orders", "day")
     lake.replace_slices(df.where(day), "orders", "day")
     for _ in range(2):  # a repeated load changes nothing
         lake.replace_slices(df.where(day).withColumn("o_orderstatus", F.lit("new")), "orders", "day")
@@ -64,8 +59,9 @@ def _(s):
 @query("replace_condition", f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'new' ELSE o_orderstatus END AS o_orderstatus, day FROM ({_ORDERS})")
 def _(s):
     lake, df = Lake(s.spark, scratch(s.spark, "lake")), _orders(s).select("o_orderkey", "o_orderstatus", "day")
-    lake.append(df, "orders")
-    lake.replace_where(df.where("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("new")), "orders", F.col("o_orderstatus").isin("P", "new"))
+    lake.append(df, "orders", "o_orderstatus")
+    for _ in range(2):
+        lake.replace_where(df.where("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("new")), "orders", "o_orderstatus", F.col("o_orderstatus").isin("P", "new"))
     return lake.read("orders")
 
 
@@ -142,49 +138,6 @@ def _(s):
     return history.only_new(b.where("updated_at >= '1998-01-01'"), b.where("_ingested_at % 2 = 0"), ["customer_id", "updated_at"]).select("customer_id", "updated_at")
 
 
-def pages(df: DataFrame, size: int) -> tuple[list[str], Callable[[str], list[dict]]]:
-    """The rows of df in its order as written files of at most size records, and how to read one: the driver holds one page at a time."""
-    path = scratch(df.sparkSession, "pages")
-    df.write.option("maxRecordsPerFile", size).option("ignoreNullFields", "false").json(path)
-    files = Files(df.sparkSession)
-    numbered = sorted((int(m[1]), int(m[2]), n) for n in files.names(path) if (m := re.fullmatch(r"part-(\d+)-.*-c(\d+)\.json", n)))
-    # records hold other line breaks as they are
-    return [f"{path}/{n}" for _, _, n in numbered], lambda file: [json.loads(x) for x in files.read(file).split("\n") if x]
-
-
-def serve(entities: dict[str, tuple[list[str], Callable[[str], list[dict]]]]):
-    """A small API over the pages of records, for the time of a query."""
-
-    class Handler(BaseHTTPRequestHandler):
-        def do_GET(self):
-            url = urlparse(self.path)
-            number = int(parse_qs(url.query)["page"][0])
-            files, read = entities[url.path.strip("/")]
-            body = json.dumps({"data": read(files[number - 1]) if number <= len(files) else [], "pagination": {"page": number, "total_pages": max(1, len(files)), "has_next": number < len(files)}}).encode()
-            self.send_response(200)
-            self.end_headers()
-            self.wfile.write(body)
-
-        def log_message(self, *args):
-            pass
-
-    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    return server
-
-
-@query("api_pages", "SELECT product_id, updated_at, unit_price FROM bronze_products")
-def _(s):
-    """All products of the catalogue through the paginated source, 100 records at most a page."""
-    server = serve({"products": pages(s.bronze_products.select(*records.FIELDS["products"]).orderBy("product_id", "updated_at"), 100)})
-    lake, landing = Lake(s.spark, scratch(s.spark, "lake")), scratch(s.spark, "landing")
-    try:
-        records.load_versions(s.spark, lake, records.ApiClient(f"http://127.0.0.1:{server.server_port}"), "products", landing, "run-1")
-    finally:
-        server.shutdown()
-    return lake.read("bronze/products").select("product_id", "updated_at", "unit_price")
-
-
 def _arrivals(s) -> str:
     path = scratch(s.spark, "messages")
     s.bronze_events.withColumn("event_type", F.get_json_object("value", "$.event_type")).repartition(4).write.parquet(path)
@@ -202,6 +155,21 @@ def _(s):
     return s.spark.read.parquet(out).agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("offset") % 2 == 1).alias("again"), F.count_distinct("partition").alias("partitions"))
 
 
+@query("stream_replay", "SELECT count(*) + count_if(event_id % 100 = 7) AS messages, count(*) AS distinct_events FROM events")
+def _(s):
+    """Every batch of the stream reaches the sink twice, as when the stream dies before it commits; one copy stays."""
+    path, out = _arrivals(s), scratch(s.spark, "bronze")
+    sink = ingest.batch_sink(out, "replayed")
+
+    def twice(df: DataFrame, number: int) -> None:
+        sink(df, number)
+        sink(df, number)
+
+    stream = ingest.to_bronze(ingest.read_messages(s.spark, path, 1, _STREAM))
+    ingest.run(s.spark, stream.writeStream.foreachBatch(twice).option("checkpointLocation", scratch(s.spark, "checkpoint")))
+    return s.spark.read.parquet(out).agg(F.count(F.lit(1)).alias("messages"), F.count_distinct(F.floor(F.col("offset") / 2)).alias("distinct_events"))
+
+
 @query("stream_dedup", "SELECT count(*) AS messages FROM events")
 def _(s):
     path, out = _arrivals(s), scratch(s.spark, "bronze")
@@ -217,10 +185,65 @@ def _(s):
     s.table("events").select("ts", "event_type").repartition(2).write.parquet(path)
     stream = s.spark.readStream.schema("ts TIMESTAMP_NTZ, event_type STRING").parquet(path)
     counted = ingest.tumbling_counts(stream, "ts", "1 day", ["event_type"], "60 days")
-    query_ = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(s.spark, "checkpoint")).trigger(availableNow=True).start()
-    if not query_.awaitTermination(300):
-        query_.stop()
-        raise TimeoutError(name)
+    ingest.run(s.spark, counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(s.spark, "checkpoint")))
     return s.spark.table(name)
 
 
+#: Events arrive up to six hours out of order, so a day's delay loses none.
+_DELAY, _DISORDER = "1 day", 7
+
+
+def _in_turn(df: DataFrame, at: str, key: str, path: str, turns: int = 4) -> None:
+    """Writes rows as files that come one after another, nearly by time: row by row up to six hours late. Rows without a time come first."""
+    arrival = F.unix_micros(F.col(at).cast("timestamp")) + F.col(key) % _DISORDER * 3_600_000_000
+    dated = df.withColumn("_arrival", F.coalesce(arrival, F.lit(-(2**62))))
+    bounds = dated.agg(F.percentile_approx("_arrival", [i / turns for i in range(1, turns)])).first()[0] or []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        rows = dated if low is None else dated.where(F.col("_arrival") >= low)
+        rows = rows if high is None else rows.where(F.col("_arrival") < high)
+        rows.drop("_arrival").write.mode("append").parquet(path)
+
+
+def _closing_messages(s) -> DataFrame:
+    """A creation and a change of an order of its own, long after all others: they show the watermark that nothing comes any more."""
+    last = s.bronze_events.agg(F.max("kafka_timestamp")).first()[0] + dt.timedelta(days=61)
+    event = {"event_ts": last.isoformat() + "Z", "order_id": "~"}
+    values = [{"event_id": "~1", "event_type": "order_created", "items": [{"line_number": 1}], **event}, {"event_id": "~2", "event_type": "order_status_changed", "status": "paid", **event}]
+    return s.spark.createDataFrame([(json.dumps(v), "shop.orders", 0, -1 - i, last) for i, v in enumerate(values)], ingest.MESSAGE)
+
+
+@query("stream_order_states", "SELECT order_id, status, status_ts, paid_at, shipped_at, delivered_at, cancelled_at, returned_at FROM event_states")
+def _(s):
+    """The state of every order by keyed state, over a restart in mid-stream; messages come late and again."""
+    path, out, checkpoint = scratch(s.spark, "messages"), scratch(s.spark, "states"), scratch(s.spark, "checkpoint")
+    odd = F.col("offset") % 3 == 0
+    for part in (s.bronze_events.where(~odd), s.bronze_events.where(odd)):
+        _in_turn(part, "kafka_timestamp", "offset", path, 2)
+        states = stateful.order_states(ingest.read_messages(s.spark, path, 2), "90 days")
+        with stateful.keyed_state(s.spark):
+            ingest.append(states, out, checkpoint, mode="update")
+    return stateful.latest_states(s.spark.read.parquet(out))
+
+
+@query("stream_sessions", """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM (
+  SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM (
+    SELECT user_id, ts, event_id, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events)) GROUP BY user_id, nth""")
+def _(s):
+    """Sessions of users, thirty minutes apart, each told once the watermark has passed it."""
+    path, out = scratch(s.spark, "messages"), scratch(s.spark, "sessions")
+    events = s.table("events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    _in_turn(events, "ts", "event_id", path)
+    events.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("INTERVAL 61 DAYS")).alias("ts")).write.mode("append").parquet(path)
+    stream = s.spark.readStream.schema("event_id BIGINT, user_id BIGINT, ts TIMESTAMP_NTZ").option("maxFilesPerTrigger", 2).parquet(path)
+    ingest.append(stateful.sessions(stream, "user_id", "ts", "30 minutes", _DELAY), out, scratch(s.spark, "checkpoint"))
+    return s.spark.read.parquet(out).drop(ingest.BATCH)
+
+
+@query("stream_orphans", "SELECT event_id, order_id, status FROM event_good WHERE kind = 'order_status_changed' AND order_id NOT IN (SELECT order_id FROM event_created)")
+def _(s):
+    """Changes whose order was never created, by a join of two streams; an order's events lie within a day."""
+    path, out = scratch(s.spark, "messages"), scratch(s.spark, "orphans")
+    _in_turn(s.bronze_events, "kafka_timestamp", "offset", path)
+    _closing_messages(s).write.mode("append").parquet(path)
+    ingest.append(stateful.orphan_changes(ingest.read_messages(s.spark, path, 2), _DELAY, "1 DAY"), out, scratch(s.spark, "checkpoint"))
+    return s.spark.read.parquet(out).drop(ingest.BATCH)

@@ -55,7 +55,7 @@ def load(spark: SparkSession, lake: Lake, folder: str, first: dt.date, last: dt.
     if missing and not skip_missing:
         raise MissingFiles(", ".join(map(str, missing)))
     if files:
-        lake.replace_slices(with_lineage(read(spark, files.values()), run_id), "bronze/marketplace_orders", "_file_date")
+        lake.replace_slices(with_lineage(read(spark, files.values()), run_id), "bronze/marketplace_orders", "_file_date", map(str, files))
     return len(files)
 
 

@@ -94,6 +94,10 @@ class Files:
             if not fs.rename(path(old), path(new)):
                 raise OSError(f"cannot rename {old} to {new}")
 
+    def make_folder(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.mkdirs(p)
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

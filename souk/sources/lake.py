@@ -1,16 +1,13 @@
-"""Lake tables: immutable Parquet parts and a chain of numbered manifests. A commit is one file that appears whole if its number is
-free, and may cover several tables, so readers see all of a publication or none. A part may hold one slice of a table, such
-as a day, by its name; replacing slices drops and adds whole parts."""
+"""Lake tables as Spark writes them: a folder of Parquet files each. Tables are appended to, overwritten, or, where they are sliced by
+a column such as a day, replaced slice by slice by Spark's dynamic partition overwrite, which leaves all other slices unread. A load that is
+repeated gives the same rows. One writer at a time is taken for granted; the daily jobs hold a lease (plans/flow.py)."""
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,101 +15,85 @@ from souk.sources.files import Files
 
 #: Types that a published table may have; any other is refused.
 PUBLISHABLE = (T.StringType, T.IntegerType, T.LongType, T.DecimalType, T.DoubleType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-
-
-class Conflict(RuntimeError):
-    """Another writer committed first."""
+SLICE = "_slice"
+_OUTSIDE = "row outside the slices that are replaced: "
 
 
 class OutsideSlice(ValueError):
-    """Rows outside the slice that is replaced."""
+    """Rows outside the slices that are replaced, or with none."""
 
 
 class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
-    def manifest(self) -> tuple[int, dict[str, list[str]]]:
-        names = [n for n in self.files.names(f"{self.root}/_manifests") if re.fullmatch(r"\d{12}\.json", n)]
-        return (int(names[-1][:-5]), json.loads(self.files.read(f"{self.root}/_manifests/{names[-1]}"))) if names else (0, {})
+    def path(self, table: str) -> str:
+        return f"{self.root}/{table}"
 
     def exists(self, table: str) -> bool:
-        return table in self.manifest()[1]
+        return any(n.endswith(".parquet") or n.startswith(f"{SLICE}=") for n in self.files.names(self.path(table)))
 
     def read(self, table: str) -> DataFrame:
-        """The table's rows. Slices that were written together are read as one folder while all of them are current."""
-        roots: dict[str, list[str]] = {}
-        for part in self.manifest()[1][table]:
-            root, _, slice_ = part.partition("/_slice=")
-            roots.setdefault(root, []).append(slice_)
-        whole = {r for r, own in roots.items() if len(own) > 1 and len(own) == sum(n.startswith("_slice=") for n in self.files.names(f"{self.root}/{r}"))}
-        single = [f"{self.root}/{r}/_slice={x}" if x else f"{self.root}/{r}" for r, own in roots.items() if r not in whole for x in own]
-        frames = [self.spark.read.parquet(f"{self.root}/{r}").drop("_slice") for r in roots if r in whole]
-        if single:
-            frames.append(self.spark.read.parquet(*single))
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-    def _write(self, df: DataFrame, table: str) -> str:
-        part = f"{table}/v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{part}")
-        return part
-
-    def _commit(self, number: int, tables: Mapping[str, list[str]]) -> None:
-        try:
-            self.files.create(f"{self.root}/_manifests/{number + 1:012d}.json", json.dumps(tables))
-        except FileExistsError as e:
-            raise Conflict(f"manifest {number + 1}") from e
+        return self.spark.read.parquet(self.path(table)).drop(SLICE)
 
-    def append(self, df: DataFrame, table: str) -> None:
-        part = self._write(df, table)
-        number, tables = self.manifest()
-        self._commit(number, tables | {table: [*tables.get(table, []), part]})
+    def slices(self, table: str) -> list[str]:
+        """The slices that a table has."""
+        return [n.removeprefix(f"{SLICE}=") for n in self.files.names(self.path(table)) if n.startswith(f"{SLICE}=")]
+
+    def append(self, df: DataFrame, table: str, sliced_by: str | None = None) -> None:
+        """Adds rows. A table that is sliced stays so: its column is named each time."""
+        if sliced_by is None:
+            df.write.mode("append").parquet(self.path(table))
+        else:
+            self._sliced(df, sliced_by).write.partitionBy(SLICE).mode("append").parquet(self.path(table))
 
     def overwrite(self, df: DataFrame, table: str) -> None:
-        self.publish({table: df})
+        self.publish({table: df}, plain=False)
 
     def publish(self, frames: Mapping[str, DataFrame], plain: bool = True) -> None:
-        """Replaces all the tables in one commit; nothing changes if writing any of them fails. plain: refuses nested columns."""
+        """Replaces the tables. All are written aside first, so a table may be made from itself, and none changes if writing any of them
+        fails; then each is moved to its place. plain: refuses nested columns."""
         for name, df in frames.items() if plain else ():
             check_publishable(df.schema, name)
-        parts = {name: [self._write(df, name)] for name, df in frames.items()}
-        number, tables = self.manifest()
-        self._commit(number, tables | parts)
-
-    def replace_where(self, df: DataFrame, table: str, slice_: Column) -> None:
-        """Replaces the rows of the slice; the first load creates the table. Rows outside the slice are refused. Parts without a row
-        of the slice stay as they are."""
-        number, tables = self.manifest()
-        inside = F.coalesce(slice_, F.lit(False))
-        if not df.where(~inside).isEmpty():
-            raise OutsideSlice(table)
-        kept = []
-        for part in tables.get(table, []):
-            own = self.spark.read.parquet(f"{self.root}/{part}")
-            kept.append(part if own.where(inside).isEmpty() else self._write(own.where(~inside), table))
-        self._commit(number, tables | {table: [*kept, self._write(df, table)]})
-
-    def replace_slices(self, df: DataFrame, table: str, column: str) -> None:
-        """Replaces, for each value of the column in df, all rows with that value. Each value is a part of its own: where the stored
-        parts are such slices too, nothing else is read or written. Nulls are refused."""
-        number, tables = self.manifest()
-        path = f"{table}/v-{uuid.uuid4().hex}"
-        df.withColumn("_slice", F.col(column).cast("string")).hint("rebalance", "_slice").write.partitionBy("_slice").parquet(f"{self.root}/{path}")
-        added = [f"{path}/{n}" for n in self.files.names(f"{self.root}/{path}") if n.startswith("_slice=")]
-        if any(p.endswith("=__HIVE_DEFAULT_PARTITION__") for p in added):
-            self.files.delete(f"{self.root}/{path}")
-            raise OutsideSlice(f"{table}: null {column}")
-        names = {p.rsplit("/", 1)[1] for p in added}
-        kept = []
-        for part in tables.get(table, []):
-            if "/_slice=" in part:
-                kept += [] if part.rsplit("/", 1)[1] in names else [part]
-                continue
-            own = self.spark.read.parquet(f"{self.root}/{part}")
-            values = df.select(F.col(column).alias("_value")).distinct()
-            touched = not own.join(values, F.col(column) == F.col("_value"), "left_semi").isEmpty()
-            kept.append(self._write(own.join(values, F.col(column) == F.col("_value"), "left_anti"), table) if touched else part)
-        self._commit(number, tables | {table: [*kept, *added]})
+        aside = f"{self.root}/_aside-{uuid.uuid4().hex}"
+        try:
+            for name, df in frames.items():
+                df.write.parquet(f"{aside}/{name}")
+            for name in frames:
+                self.files.delete(self.path(name))
+                self.files.make_folder(self.path(name).rsplit("/", 1)[0])
+                self.files.rename(f"{aside}/{name}", self.path(name))
+        finally:
+            self.files.delete(aside)
+
+    @staticmethod
+    def _sliced(df: DataFrame, column: str, inside: Column | None = None) -> DataFrame:
+        """df with the slice of each row. A row without one, or for which inside does not hold, fails the write."""
+        held = F.col(column).isNotNull() if inside is None else F.col(column).isNotNull() & F.coalesce(inside, F.lit(False))
+        slice_ = F.col(column).cast("string")
+        checked = F.when(held, slice_).otherwise(F.raise_error(F.concat(F.lit(_OUTSIDE), F.coalesce(slice_, F.lit("null")))).cast("string"))
+        return df.withColumn(SLICE, checked)
+
+    def replace_slices(self, df: DataFrame, table: str, column: str, slices: Iterable[str] | None = None, inside: Column | None = None) -> None:
+        """Replaces, for each value of the column in df, all rows with that value. Of the slices that are named, those without a row in df
+        are emptied. Rows for which inside does not hold, and nulls, are refused."""
+        told = Observation()
+        found = self._sliced(df, column, inside).hint("rebalance", SLICE).observe(told, F.collect_set(SLICE).alias("own"))
+        try:
+            found.write.partitionBy(SLICE).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.path(table))
+        except Exception as e:
+            if _OUTSIDE in str(e):
+                raise OutsideSlice(table) from e
+            raise
+        own = set(told.get["own"])
+        for name in set(slices or ()) & set(self.slices(table)) - own:
+            self.files.delete(f"{self.path(table)}/{SLICE}={name}")
+
+    def replace_where(self, df: DataFrame, table: str, column: str, condition: Column) -> None:
+        """Replaces the slices for which a condition on the column holds, by rows for which it holds; the first load creates the table."""
+        names = self.spark.createDataFrame([(n,) for n in self.slices(table)], f"{column} STRING").withColumn(column, F.col(column).cast(df.schema[column].dataType))
+        replaced = [r[0] for r in names.where(condition).select(F.col(column).cast("string")).collect()]
+        self.replace_slices(df, table, column, replaced, condition)
 
 
 def check_publishable(schema: T.StructType, table: str) -> None:

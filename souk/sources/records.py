@@ -1,100 +1,29 @@
-"""Records of the shop's API: pages with retries, JSON lines in a landing folder, incremental loads of record versions."""
+"""Records of the shop's API: landed as JSON lines, read as text fields, incremental loads of record versions."""
 
 from __future__ import annotations
 
-import json
-import random
-import re
-import time
-import urllib.error
-import urllib.parse
-import urllib.request
-from collections.abc import Callable, Iterator
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from souk.operators import history
+from souk.sources import shop_api
 from souk.sources.files import Files
 from souk.sources.lake import Lake
-
-#: The fields of each entity; all are read as text.
-FIELDS = {
-    "customers": "customer_id first_name last_name email phone city postal_code country created_at updated_at".split(),
-    "products": "product_id name category brand unit_price currency is_active created_at updated_at".split(),
-}
-KEYS = {"customers": "customer_id", "products": "product_id"}
-PAGE_SIZE = 500
-FIRST_PAUSE = 0.5
-RETRIED = {429, 500, 502, 503, 504}
-
-
-class ApiError(RuntimeError):
-    pass
-
-
-def http_get(url: str, timeout: float = 30.0) -> tuple[int, dict[str, str], str]:
-    try:
-        with urllib.request.urlopen(url, timeout=timeout) as r:
-            return r.status, dict(r.headers), r.read().decode()
-    except urllib.error.HTTPError as e:
-        return e.code, dict(e.headers), ""
-    except OSError:
-        return 503, {}, ""
-
-
-class ApiClient:
-    def __init__(self, base: str, get: Callable = http_get, sleep: Callable[[float], None] = time.sleep, tries: int = 6, most: float = 30.0):
-        self.base, self.get, self.sleep, self.tries, self.most = base.rstrip("/"), get, sleep, tries, most
-
-    def page(self, entity: str, number: int, updated_since: str | None) -> dict:
-        query = {"page": number, "page_size": PAGE_SIZE} | ({"updated_since": updated_since} if updated_since else {})
-        url = f"{self.base}/{entity}?{urllib.parse.urlencode(query)}"
-        for attempt in range(self.tries):
-            status, headers, body = self.get(url)
-            if status == 200:
-                return json.loads(body)
-            if status not in RETRIED:
-                raise ApiError(f"{url}: {status}")
-            if attempt < self.tries - 1:
-                self.sleep(min(self.most, self.pause(attempt, headers.get("Retry-After"))))
-        raise ApiError(f"{url}: {status} after {self.tries} tries")
-
-    @staticmethod
-    def pause(attempt: int, asked: str | None) -> float:
-        """Seconds to wait: what the server asks for if that is a number, else twice as long after each attempt, a little shaken."""
-        if asked and re.fullmatch(r"\d+(\.\d*)?", asked.strip()):
-            return float(asked)
-        return FIRST_PAUSE * 2.0**attempt * random.uniform(0.75, 1.25)
-
-    def records(self, entity: str, updated_since: str | None = None) -> Iterator[dict]:
-        number, more = 1, True
-        while more:
-            page = self.page(entity, number, updated_since)
-            yield from page["data"]
-            number, more = number + 1, page["pagination"]["has_next"]
+from souk.sources.shop_api import FIELDS, KEYS
 
 
-def land(spark: SparkSession, records: Iterator[dict], folder: str, run_id: str) -> int:
-    """Writes records as JSON lines, a chunk of them at a time in memory; the file appears under its name only when whole, and not at all if empty."""
-    files, n, part = Files(spark), 0, 0
+def land(records: DataFrame, folder: str, run_id: str) -> int:
+    """Writes records (column _raw) as JSON lines by the executors. The run's folder appears under its name only when whole, and not at
+    all if there is no record; returns how many there are."""
+    files, told = Files(records.sparkSession), Observation()
     staged = f"{folder}/_staged-{run_id}"
     try:
-        chunk: list[str] = []
-        for record in records:
-            chunk.append(json.dumps(record, ensure_ascii=False))
-            n += 1
-            if len(chunk) == 10_000:
-                files.create(f"{staged}/{part:06d}.jsonl", "\n".join(chunk) + "\n")
-                part, chunk = part + 1, []
-        if chunk:
-            files.create(f"{staged}/{part:06d}.jsonl", "\n".join(chunk) + "\n")
-        if n:
+        records.select(F.col("_raw").alias("value")).observe(told, F.count(F.lit(1)).alias("n")).write.text(staged)
+        if told.get["n"]:
             files.rename(staged, f"{folder}/{run_id}")
-    except BaseException:
+    finally:
         files.delete(staged)
-        raise
-    return n
+    return told.get["n"]
 
 
 def read_lines(spark: SparkSession, path: str, entity: str, run_id: str) -> DataFrame:
@@ -104,14 +33,14 @@ def read_lines(spark: SparkSession, path: str, entity: str, run_id: str) -> Data
     return lines.withColumn("r", F.from_json("value", schema)).select("r.*", F.col("value").alias("_raw"), "_source_file", F.current_timestamp().alias("_ingested_at"), F.lit(run_id).alias("_run_id"))
 
 
-def load_versions(spark: SparkSession, lake: Lake, client: ApiClient, entity: str, landing: str, run_id: str, full: bool = False, margin_minutes: int = 10) -> dict[str, int]:
-    """Fetches what changed since the stored watermark and appends the versions that are not stored."""
+def load_versions(spark: SparkSession, lake: Lake, url: str, entity: str, landing: str, run_id: str, full: bool = False, margin_minutes: int = 10, **options: object) -> dict[str, int]:
+    """Fetches what changed since the stored watermark and appends the versions that are not stored. options: of the data source."""
     table, keys = f"bronze/{entity}", [KEYS[entity], "updated_at"]
     since = None if full or not lake.exists(table) else history.watermark(lake.read(table), "updated_at", margin_minutes).first()["updated_since"]
-    fetched = land(spark, client.records(entity, since), landing, run_id)
+    fetched = land(shop_api.read(spark, url, entity, since, **options), landing, run_id)
     if not fetched:
         return {"fetched": 0, "stored": 0}
-    rows = read_lines(spark, f"{landing}/{run_id}", entity, run_id)
-    before = lake.read(table).count() if lake.exists(table) else 0
-    lake.append(history.only_new(rows, lake.read(table), keys).select(*rows.columns) if lake.exists(table) else rows, table)
-    return {"fetched": fetched, "stored": lake.read(table).count() - before}
+    rows, told = read_lines(spark, f"{landing}/{run_id}", entity, run_id), Observation()
+    new = history.only_new(rows, lake.read(table), keys).select(*rows.columns) if lake.exists(table) else rows
+    lake.append(new.observe(told, F.count(F.lit(1)).alias("n")), table)
+    return {"fetched": fetched, "stored": told.get["n"]}

@@ -1,11 +1,19 @@
-"""Streams of order messages: append to bronze, re-deliveries dropped within a watermark, windowed counts."""
+"""Streams of order messages: sources, a sink that a batch may reach twice, totals over all batches, and how long a stream runs."""
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 MESSAGE = "value STRING, topic STRING, partition INT, offset BIGINT, kafka_timestamp TIMESTAMP_NTZ"
+#: The slice of a table that one batch of one writer fills.
+BATCH = "_batch"
 
 
 def read_messages(spark: SparkSession, path: str, files_per_batch: int = 100, schema: str = MESSAGE) -> DataFrame:
@@ -24,14 +32,84 @@ def to_bronze(messages: DataFrame) -> DataFrame:
     return messages.withColumn("_ingested_at", F.current_timestamp())
 
 
-def append(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, timeout: float = 600.0) -> int:
-    """Appends a stream to Parquet, each input once over restarts. Without `every` it takes what is there and ends; returns the rows read."""
-    writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-    query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start(path)
-    if not query.awaitTermination(timeout) and not every:
-        query.stop()
-        raise TimeoutError(path)
-    return sum(p["numInputRows"] for p in query.recentProgress)
+@dataclass
+class Totals:
+    """What a stream did from start to end: rows read, rows dropped as too late, batches."""
+
+    rows: int = 0
+    late: int = 0
+    batches: int = 0
+
+
+class Progress(StreamingQueryListener):
+    """Adds up every batch of a query, however many there are; a query's own record keeps its last hundred only."""
+
+    def __init__(self) -> None:
+        self.totals: dict[str, Totals] = {}
+        self.ended: dict[str, threading.Event] = {}
+        self.lock = threading.Lock()
+
+    def _of(self, run_id: object) -> tuple[Totals, threading.Event]:
+        with self.lock:
+            return self.totals.setdefault(str(run_id), Totals()), self.ended.setdefault(str(run_id), threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._of(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        told = self._of(event.progress.runId)[0]
+        told.rows += max(event.progress.numInputRows, 0)
+        told.late += sum(x.numRowsDroppedByWatermark for x in event.progress.stateOperators)
+        told.batches += 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._of(event.runId)[1].set()
+
+    def of(self, run_id: object, wait: float = 60.0) -> Totals:
+        """The totals of a query that has ended: its events come in order, the last one being its end."""
+        told, ended = self._of(run_id)
+        if not ended.wait(wait):
+            raise TimeoutError(f"no end of {run_id} was told")
+        return told
+
+
+def run(spark: SparkSession, writer: DataStreamWriter, every: str | None = None, timeout: float | None = None) -> Totals:
+    """Runs a stream to its end and tells what it did: until all there is has been taken, or with `every` (a pause between batches)
+    until it is stopped. timeout: seconds after which it is given up; the jobs set none."""
+    progress = Progress()
+    spark.streams.addListener(progress)
+    try:
+        query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+        try:
+            if timeout is None:
+                query.awaitTermination()
+            elif not query.awaitTermination(timeout):
+                raise TimeoutError(f"the stream has not ended within {timeout} seconds")
+        finally:
+            if query.isActive:
+                query.stop()
+        return progress.of(query.runId)
+    finally:
+        spark.streams.removeListener(progress)
+
+
+def batch_sink(path: str, writer: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch as the slice of its number. A batch that comes again, because the stream died between write and commit,
+    replaces what it wrote. Streams with checkpoints of their own need names of their own."""
+
+    def write(df: DataFrame, number: int) -> None:
+        df.withColumn(BATCH, F.lit(f"{writer}-{number}")).write.partitionBy(BATCH).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+    return write
+
+
+def append(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, writer: str = "stream", timeout: float | None = None, mode: str = "append") -> Totals:
+    """Appends a stream to Parquet, each input once over restarts, whatever the restart was for."""
+    sink = stream.writeStream.foreachBatch(batch_sink(path, writer)).option("checkpointLocation", checkpoint).outputMode(mode)
+    return run(stream.sparkSession, sink, every, timeout)
 
 
 def drop_redeliveries(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:

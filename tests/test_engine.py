@@ -10,8 +10,8 @@ from souk.functions import columns as c
 from souk.operators import history, lifecycle, rows, series
 from souk.plans import quality
 from souk.queries.base import Shop
-from souk.sources import csv_export, records
-from souk.sources.lake import Conflict, Lake, OutsideSlice
+from souk.sources import csv_export, shop_api
+from souk.sources.lake import Lake, OutsideSlice
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,59 +70,59 @@ def test_days(spark):
 def test_lake(spark, tmp_path):
     lake, df = Lake(spark, str(tmp_path)), spark.range(5).withColumn("p", F.col("id") % 2)
     assert not lake.exists("t")
-    lake.append(df, "t")
+    lake.append(df, "t", "p")
+    lake.append(df.where("id = 4"), "t", "p")
+    assert lake.exists("t") and lake.slices("t") == ["0", "1"] and lake.read("t").columns == ["id", "p"]
     with pytest.raises(OutsideSlice):
-        lake.replace_where(df, "t", F.col("p") == 1)
-    lake.replace_where(df.where("id = 1"), "t", F.col("p") == 1)
-    assert sorted(r["id"] for r in lake.read("t").collect()) == [0, 1, 2, 4]
+        lake.replace_where(df, "t", "p", F.col("p") == 1)
+    assert lake.read("t").count() == 6
+    for _ in range(2):
+        lake.replace_where(df.where("id = 1"), "t", "p", F.col("p") == 1)
+    assert sorted(r["id"] for r in lake.read("t").collect()) == [0, 1, 2, 4, 4]
+    lake.replace_where(df.where("false"), "t", "p", F.col("p") < 1)
+    assert [r["id"] for r in lake.read("t").collect()] == [1] and lake.slices("t") == ["1"]
     with pytest.raises(TypeError):
         lake.publish({"u": df, "v": df.withColumn("a", F.array("id"))})
     assert not lake.exists("u")
-    number, tables = lake.manifest()
-    lake._commit(number, tables)
-    with pytest.raises(Conflict):
-        lake._commit(number, tables)
 
 
-def test_a_commit_appears_whole(spark, tmp_path, monkeypatch):
-    """A writer that dies before its manifest has its name leaves the lake as it was."""
+def test_publication_is_written_aside_first(spark, tmp_path):
+    """A table may be made from itself; one that cannot be written leaves all as they were."""
     lake, df = Lake(spark, str(tmp_path)), spark.range(3)
-    lake.append(df, "t")
-    (tmp_path / "_manifests" / "000000000002.json.dead.tmp").write_text("")
-    assert lake.read("t").count() == 3
-
-    def dies(*_):
-        raise OSError("killed")
-
-    with monkeypatch.context() as m:
-        m.setattr(lake.files, "create", dies)
-        with pytest.raises(OSError):
-            lake.append(df, "t")
-    assert Lake(spark, str(tmp_path)).read("t").count() == 3
-    lake.append(df, "t")
-    assert lake.read("t").count() == 6 and not [n for n in lake.files.names(f"{tmp_path}/_manifests") if n.endswith(".json") and n.startswith("000000000003")]
-    with pytest.raises(FileExistsError):
-        lake.files.create(f"{tmp_path}/_manifests/000000000002.json", "{}")
-    assert lake.read("t").count() == 6
+    lake.publish({"a/t": df, "b": df})
+    lake.overwrite(lake.read("a/t").where("id > 0"), "a/t")
+    assert lake.read("a/t").count() == 2
+    with pytest.raises(Exception):
+        lake.publish({"a/t": df, "b": df.select(F.raise_error(F.lit("broken")).cast("string").alias("x"))})
+    assert lake.read("a/t").count() == 2 and lake.read("b").count() == 3 and [n for n in lake.files.names(str(tmp_path)) if n.startswith("_")] == []
+    lake.publish({"b": df.where("false")})
+    assert lake.exists("b") and lake.read("b").count() == 0
 
 
-def test_slices_are_replaced_part_by_part(spark, tmp_path):
+def test_slices_are_replaced_one_by_one(spark, tmp_path):
     lake = Lake(spark, str(tmp_path))
     day = lambda d, n: spark.createDataFrame([(dt.date(2026, 1, d), n)], "day date, n int")
-    lake.append(day(1, 0).union(day(9, 0)), "t")
+    files = lambda d: sorted(p.name for p in (tmp_path / f"t/_slice=2026-01-{d:02d}").glob("*.parquet"))
+    lake.append(day(1, 0).union(day(9, 0)), "t", "day")
     lake.replace_slices(day(2, 1).union(day(3, 1)), "t", "day")
-    before = set(lake.manifest()[1]["t"])
+    untouched = files(2), files(9)
     for _ in range(2):
         lake.replace_slices(day(3, 2), "t", "day")
-    after = lake.manifest()[1]["t"]
-    assert len(before & set(after)) == 2 and len(after) == 3
     lake.replace_slices(day(1, 5), "t", "day")
     assert sorted((r["day"].day, r["n"]) for r in lake.read("t").collect()) == [(1, 5), (2, 1), (3, 2), (9, 0)] and lake.read("t").columns == ["day", "n"]
     with pytest.raises(OutsideSlice):
-        lake.replace_slices(day(4, 1).withColumn("day", F.lit(None).cast("date")), "t", "day")
-    kept = [p for p in lake.manifest()[1]["t"] if "day=2026-01-02" in p or "_slice=2026-01-02" in p]
-    lake.replace_where(day(3, 7), "t", F.col("day") == F.lit("2026-01-03").cast("date"))
-    assert set(kept) <= set(lake.manifest()[1]["t"]) and lake.read("t").where("n = 7").count() == 1 and lake.read("t").count() == 4
+        lake.replace_slices(day(4, 1).union(day(4, 1).withColumn("day", F.lit(None).cast("date"))), "t", "day")
+    assert (files(2), files(9)) == untouched and lake.slices("t") == ["2026-01-01", "2026-01-02", "2026-01-03", "2026-01-09"]
+    lake.replace_slices(day(1, 7), "t", "day", ["2026-01-01", "2026-01-02"])
+    assert sorted((r["day"].day, r["n"]) for r in lake.read("t").collect()) == [(1, 7), (3, 2), (9, 0)]
+
+
+def test_a_file_appears_whole_and_once(spark, tmp_path):
+    files = Lake(spark, str(tmp_path)).files
+    files.create(f"{tmp_path}/x", "first")
+    with pytest.raises(FileExistsError):
+        files.create(f"{tmp_path}/x", "second")
+    assert files.read(f"{tmp_path}/x") == "first" and files.names(str(tmp_path)) == ["x"]
 
 
 def test_export_header_and_days(spark, tmp_path):
@@ -150,16 +150,17 @@ def page(items, more):
 
 
 def test_api_client_retries():
-    answers = [(503, {}, ""), (429, {"Retry-After": "7"}, ""), (503, {"Retry-After": "Wed, 21 Oct"}, ""), page([{"a": 1}], True), page([{"a": 2}], False)]
+    answers = [(503, {}, ""), (429, {"Retry-After": "7"}, ""), (503, {"Retry-After": "Wed, 21 Oct"}, ""), page([{"a": 1}], True)]
     waits = []
-    client = records.ApiClient("http://x", get=lambda url: answers.pop(0), sleep=waits.append)
-    assert [r["a"] for r in client.records("customers")] == [1, 2] and waits[1] == 7.0 and 0.375 <= waits[0] <= 0.625 and 1.5 <= waits[2] <= 2.5
-    with pytest.raises(records.ApiError):
-        list(records.ApiClient("http://x", get=lambda url: (404, {}, "")).records("customers"))
+    client = shop_api.ApiClient("http://x/", get=lambda url: answers.pop(0), sleep=waits.append)
+    assert client.page("customers", 1, None)["data"] == [{"a": 1}] and waits[1] == 7.0 and 0.375 <= waits[0] <= 0.625 and 1.5 <= waits[2] <= 2.5
+    with pytest.raises(shop_api.ApiError):
+        shop_api.ApiClient("http://x", get=lambda url: (404, {}, "")).page("customers", 1, None)
     tries = []
-    with pytest.raises(records.ApiError):
-        list(records.ApiClient("http://x", get=lambda url: tries.append(url) or (503, {}, ""), sleep=lambda _: None).records("products", "2026-01-01"))
-    assert len(tries) == 6 and "updated_since=2026-01-01" in tries[0] and "page=1" in tries[0]
+    with pytest.raises(shop_api.ApiError):
+        shop_api.ApiClient("http://x", get=lambda url: tries.append(url) or (503, {}, ""), sleep=lambda _: None).page("products", 4, "2026-01-01")
+    assert len(tries) == 6 and tries[0] == "http://x/products?page=4&page_size=500&updated_since=2026-01-01"
+    assert shop_api.http_get("http://127.0.0.1:9/nothing", 1)[0] == 503
 
 
 def test_quality_rules(spark):

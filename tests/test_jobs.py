@@ -10,18 +10,15 @@ from souk.__main__ import checked
 from souk.plans import alerts, flow, status
 from souk.plans.cleaning import EXPORT_COLUMNS
 from souk.plans.jobs import Jobs, MissingTables, Settings, new_run_id, yesterday
-from souk.sources import records
+from tests.shop_server import Shop, serving
 
 DAY = dt.date(2026, 6, 10)
 
 
-def api():
-    items = {
-        "customers": [{"customer_id": "C1", "first_name": "Ada", "email": "ada@example.org", "postal_code": "06000", "created_at": "2026-01-01T00:00:00Z", "updated_at": "2026-01-02T00:00:00Z"}],
-        "products": [{"product_id": p, "name": p, "unit_price": "49.90", "is_active": "true", "created_at": "2026-01-01T00:00:00Z", "updated_at": "2026-01-02T00:00:00Z"} for p in ("P1", "P2")],
-    }
-    get = lambda url: (200, {}, json.dumps({"data": items[url.split("?")[0].rsplit("/", 1)[1]], "pagination": {"has_next": False}}))
-    return records.ApiClient("http://shop", get)
+SHOP = Shop({
+    "customers": [{"customer_id": "C1", "first_name": "Ada", "email": "ada@example.org", "postal_code": "06000", "created_at": "2026-01-01T00:00:00Z", "updated_at": "2026-01-02T00:00:00Z"}],
+    "products": [{"product_id": p, "name": p, "unit_price": "49.90", "is_active": "true", "created_at": "2026-01-01T00:00:00Z", "updated_at": "2026-01-02T00:00:00Z"} for p in ("P1", "P2")],
+})
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +35,8 @@ def jobs(spark, tmp_path_factory):
     values = [json.dumps(created), json.dumps(paid), json.dumps(paid), json.dumps(created)[:40]]
     rows = [(v, "orders", 0, n, dt.datetime(2026, 6, 10, 8, n)) for n, v in enumerate(values)]
     spark.createDataFrame(rows, "value string, topic string, partition int, offset long, kafka_timestamp timestamp_ntz").write.parquet(str(base / "messages"))
-    return Jobs(spark, Settings(root=str(base / "lake"), landing=str(base / "landing"), messages=str(base / "messages"), api="http://shop"))
+    with serving(SHOP) as url:
+        yield Jobs(spark, Settings(root=str(base / "lake"), landing=str(base / "landing"), messages=str(base / "messages"), api=url))
 
 
 def test_a_layer_needs_the_one_before(jobs):
@@ -50,8 +48,8 @@ def test_a_layer_needs_the_one_before(jobs):
 
 def test_a_day(jobs):
     assert jobs.bronze_events()["messages"] == 4 and jobs.bronze_events()["messages"] == 0
-    assert jobs.bronze_api(client=api())["products"] == {"fetched": 2, "stored": 2}
-    assert jobs.bronze_api(client=api())["products"] == {"fetched": 2, "stored": 0}
+    assert jobs.bronze_api()["products"] == {"fetched": 2, "stored": 2}
+    assert jobs.bronze_api()["products"] == {"fetched": 2, "stored": 0}
     assert jobs.bronze_marketplace(DAY)["files"] == 1 and jobs.bronze_marketplace(every=True)["files"] == 1
     s = jobs.silver()
     assert s["rows"] == {"customers": 1, "products": 2, "order_events": 2, "web_order_lines": 2, "marketplace_order_lines": 1, "rejects": 2} and s["duplicates_removed"] == 1
@@ -80,7 +78,7 @@ def test_a_day(jobs):
 
 
 def test_the_gate_holds_the_warehouse_back(jobs):
-    ended = flow.run(jobs.daily(DAY, api()), pause=0)
+    ended = flow.run(jobs.daily(DAY), pause=0)
     states = {n: x.state for n, x in ended.items()}
     assert states == {"export_ready": "done", "bronze_marketplace": "done", "bronze_api": "done", "bronze_events": "done", "silver": "done", "gold": "done", "quality": "failed", "warehouse_load": "skipped", "warehouse_build": "skipped", "freshness": "skipped"}
     assert ended["quality"].tries == 1

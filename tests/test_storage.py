@@ -9,18 +9,6 @@ from souk.queries import storage
 from souk.queries.base import ORACLES, QUERIES, Shop
 
 
-def test_pages_hold_every_record_in_order(spark):
-    files, read = storage.pages(spark.range(0, 3300, 1, 3).selectExpr("id", "if(id = 7, null, 'a\u2028b') AS t"), 1)
-    assert [r for f in files for r in read(f)] == [{"id": i, "t": None if i == 7 else "a\u2028b"} for i in range(3300)]
-
-
-def test_api_pages_has_every_product_version(spark):
-    sf = "/root/testdata/sf0.01"
-    key = lambda r: (r["product_id"], r["updated_at"], r["unit_price"])
-    got, wanted = (Counter(map(key, x.collect())) for x in (QUERIES["api_pages"](spark, sf), Shop(spark, sf).bronze_products))
-    assert got == wanted and sum(got.values()) > 1000
-
-
 def oracle(name, sf):
     con = duckdb.connect()
     for t in ("lineitem", "orders"):
