@@ -131,8 +131,7 @@ class Jobs:
         customers, customer_rejects = cleaning.customer_versions(b["customers"])
         products, product_rejects = cleaning.product_versions(b["products"])
         products = stored(products, "silver-products")
-        clean, event_rejects, again = cleaning.clean_events(b["order_events"])
-        events = stored(clean, "silver-events")
+        events, event_rejects, again = cleaning.clean_events(b["order_events"])
         web, web_rejects = cleaning.web_order_lines(events, products)
         market, market_rejects = cleaning.marketplace_lines(b["marketplace_orders"], products)
         rejected = reduce(DataFrame.unionByName, [customer_rejects, product_rejects, event_rejects, web_rejects, market_rejects])
@@ -210,15 +209,18 @@ class Jobs:
         return {n: self.spark.read.csv(f"{folder}/{n}.csv", schema=x, header=True) if folder else self.spark.createDataFrame([], x) for n, x in schemas.items()}
 
     def warehouse_build(self, today: dt.date | None = None) -> dict:
-        """Builds the models, each stored before the next needs it, and runs their tests. Rows that fail a reconciliation are kept under
-        test_failures. Models are published in one commit, before they are tested, as their readers see them."""
+        """Builds the models, each stored before the next needs it, and runs their tests. Rows that fail a test are kept under
+        test_failures, those of the generic tests in slices by test. Models are published in one commit, before they are tested, as their readers see them."""
         began, raw, seeds, target = time.time(), self.raw(), self.seeds(), self.warehouse()
         made: dict[str, DataFrame] = {}
         for name, build in warehouse.build(raw, seeds["public_holidays"], seeds["sales_events"]).items():
             made[name] = stored(build(made), name.replace("/", "-"))
         target.publish(made)
         frames = {n.replace("/", "."): (lambda d=df: d) for n, df in made.items()} | {f"lake.{n}": (lambda d=df: d) for n, df in raw.items()} | {f"seeds.{n}": (lambda d=df: d) for n, df in seeds.items()}
-        results = quality.run(self.spark, warehouse.tests(), frames, new_run_id(), dt.datetime.now(dt.UTC).replace(tzinfo=None, microsecond=0)).collect()
+        now, tests = dt.datetime.now(dt.UTC).replace(tzinfo=None, microsecond=0), warehouse.tests()
+        results = quality.run(self.spark, tests, frames, new_run_id(), now).collect()
+        names = [f"{x.layer}.{x.table}.{x.name}" for x in tests]
+        target.replace_slices(warehouse.quarantine(tests, frames, now), "test_failures/generic", "failed_test", names)
         failing = warehouse.failing_rows({n.split("/")[1]: df for n, df in made.items()} | {"order_lines": raw["order_lines"]}, today or dt.datetime.now(BUSINESS_ZONE).date())
         target.publish({f"test_failures/{n}": df for n, df in failing.items()})
         bad = {n: k for n in failing if (k := target.read(f"test_failures/{n}").count())}

@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,10 @@ RESULT = (
     "success BOOLEAN, status STRING, element_count BIGINT, unexpected_count BIGINT, unexpected_percent DOUBLE, observed_value STRING, sample STRING"
 )
 MOST_CHARACTERS = 300
+#: Values that a check shows of those against it: one of each class by hash, so the aggregate is bounded and its result does not depend on order.
+SAMPLES = 5
+#: The layout of rows that fail checks of rows or keys.
+FAILING = "layer STRING, table_name STRING, check_name STRING, shown STRING, record STRING"
 
 #: The shop's 88 checks, with their names, dimensions, severities and limits. A heading names the tables that the lines
 #: below it are about; a line is name, dimension, severity and condition. `98% row` must hold for that share of the rows concerned;
@@ -228,13 +233,30 @@ class Found:
     columns: str | None = None
 
 
-def look(df: DataFrame, own: Sequence[Check], frames: Mapping[str, Callable[[], DataFrame]], now: dt.datetime) -> dict[Check, Found]:
-    """The checks of one table: rows and measures in one aggregate, keys in one more each."""
+def sample_of(shown: Column) -> dict[int, Column]:
+    """For each class, the value with the least hash among those shown."""
+    hashed = F.md5(shown)
+    return {i: F.min(F.when(F.ascii(hashed) % SAMPLES == i, F.struct(hashed.alias("h"), shown.alias("v")))).getField("v") for i in range(SAMPLES)}
+
+
+def shown_name(text: str) -> str:
+    """The column that a condition on rows is first about."""
+    return next(n for n in re.findall(r"[a-z_]+\b(?!\()", text))
+
+
+def _with_parents(df: DataFrame, own: Sequence[Check], frames: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """df with whether each `found` check finds its row's key."""
     for k, x in enumerate(own):
         if x.kind == "found":
             column, parent, key = reference(x.text)
             if column in df.columns:
                 df = flagged(df, frames[parent]().withColumnRenamed(key, column), [column], f"_found{k}")
+    return df
+
+
+def look(df: DataFrame, own: Sequence[Check], frames: Mapping[str, Callable[[], DataFrame]], now: dt.datetime) -> dict[Check, Found]:
+    """The checks of one table: rows and measures in one aggregate, keys in one more each."""
+    df = _with_parents(df, own, frames)
     aggregates, told = {"n": F.count(F.lit(1))}, []
     named = {x: list(dict.fromkeys(n for n in re.findall(r"\b[a-z_]+\b", x.text) if n in df.columns)) for x in own}
     for k, x in enumerate(own):
@@ -245,8 +267,8 @@ def look(df: DataFrame, own: Sequence[Check], frames: Mapping[str, Callable[[],
         elif x.kind in ("row", "found"):
             good = on_spark(x.text, now) if x.kind == "row" else F.col(f"_found{k}")
             if _evaluable(df, good):
-                shown = F.when(~good, F.col(named[x][0]).cast("string"))
-                aggregates |= {f"bad{k}": F.count_if(~good), f"of{k}": F.count(good), f"low{k}": F.min(shown), f"high{k}": F.max(shown)}
+                shown = F.when(~good, F.col(shown_name(x.text)).cast("string"))
+                aggregates |= {f"bad{k}": F.count_if(~good), f"of{k}": F.count(good)} | {f"sample{k}_{i}": v for i, v in sample_of(shown).items()}
         elif set(x.text.partition(" WHERE ")[0].split(", ")) <= set(df.columns):
             told.append((k, x))
     row = df.agg(*[v.alias(n) for n, v in aggregates.items()]).first().asDict()
@@ -255,8 +277,8 @@ def look(df: DataFrame, own: Sequence[Check], frames: Mapping[str, Callable[[],
         if row.get(f"value{k}") is not None:
             out[x] = Found(observed=row[f"value{k}"])
         elif f"bad{k}" in row:
-            values = list(dict.fromkeys(v for v in (row[f"low{k}"], row[f"high{k}"]) if v is not None))
-            out[x] = Found(row["n"], row[f"of{k}"], row[f"bad{k}"], sample=json.dumps(values, ensure_ascii=False)[:MOST_CHARACTERS] if values else None)
+            values = [v for i in range(SAMPLES) if (v := row[f"sample{k}_{i}"]) is not None]
+            out[x] = Found(row["n"], row[f"of{k}"], row[f"bad{k}"], sample=json.dumps(values, ensure_ascii=False, separators=(",", ":"))[:MOST_CHARACTERS] if values else None)
     for _, x in told:
         concerned, bad = _key_counts(df, x.text)
         out[x] = Found(row["n"], concerned, bad)
@@ -265,6 +287,39 @@ def look(df: DataFrame, own: Sequence[Check], frames: Mapping[str, Callable[[],
     return out
 
 
+def failing_rows(df: DataFrame, own: Sequence[Check], frames: Mapping[str, Callable[[], DataFrame]], now: dt.datetime) -> DataFrame:
+    """(layer, table_name, check_name, shown, record): each row of one table with each check of rows, keys or references that it fails.
+
+    One scan of the table, in which a row gets the array of the checks that it fails; keys that rows share are found by an aggregate each and
+    joined. shown has the columns that the check is about, record the whole row as JSON. Checks whose columns are missing find nothing."""
+    columns = df.columns
+    df, failed = _with_parents(df, own, frames), []
+    for k, x in enumerate(own):
+        if x.kind == "table":
+            continue
+        names, _, where = x.text.partition(" WHERE ")
+        about = names.split(", ") if x.kind == "key" else [shown_name(x.text)]
+        if not set(about) <= set(columns):
+            continue
+        if x.kind == "key":
+            of = (df.where(where) if where else df).where(F.coalesce(*[F.col(n).cast("string") for n in about]).isNotNull())
+            shared = of.groupBy(*about).agg(F.count(F.lit(1)).alias(f"_n{k}")).where(f"_n{k} > 1").select(*[F.col(n).alias(f"_k{k}_{i}") for i, n in enumerate(about)], F.lit(True).alias(f"_shared{k}"))
+            same = [F.col(n).eqNullSafe(F.col(f"_k{k}_{i}")) for i, n in enumerate(about)]
+            df = df.join(shared, reduce(Column.__and__, same), "left")
+            bad = F.col(f"_shared{k}") & (F.expr(where) if where else F.lit(True))
+        else:
+            good = on_spark(x.text, now) if x.kind == "row" else F.col(f"_found{k}")
+            if not _evaluable(df, good):
+                continue
+            bad = ~good
+        shown = F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), F.coalesce(F.col(n).cast("string"), F.lit("null"))) for n in about])
+        failed.append(F.when(bad, F.struct(F.lit(x.name).alias("check_name"), shown.alias("shown"))))
+    if not failed:
+        return df.sparkSession.createDataFrame([], FAILING)
+    told = df.select(F.explode(F.array_compact(F.array(*failed))).alias("x"), F.to_json(F.struct(*columns)).alias("record"))
+    return told.select(F.lit(own[0].layer).alias("layer"), F.lit(own[0].table).alias("table_name"), "x.check_name", "x.shown", "record")
+
+
 def judged(x: Check, seen: Found | None) -> tuple[bool, float | None, str | None]:
     """(whether the check holds, percent of rows against it, what was observed)."""
     if seen is None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +120,12 @@ def tests(channels: Sequence[str] = quality.CHANNELS) -> list[quality.Check]:
     return quality.parse(CATALOGUE, statuses=quoted(STATUSES), channels=quoted(channels))
 
 
+def quarantine(todo: Sequence[quality.Check], frames: Mapping[str, Callable[[], DataFrame]], now: dt.datetime) -> DataFrame:
+    """The rows of all tables that fail a generic test, with the test as `failed_test`: one scan a table."""
+    found = [quality.failing_rows(frames[name](), [x for x in todo if x.frame == name], frames, now) for name in dict.fromkeys(x.frame for x in todo)]
+    return reduce(DataFrame.unionAll, found).withColumn("failed_test", F.concat_ws(".", "layer", "table_name", "check_name"))
+
+
 def build(raw: Mapping[str, DataFrame], holidays: DataFrame, sales_events: DataFrame) -> dict[str, Callable[[Mapping[str, DataFrame]], DataFrame]]:
     """The models in the order in which they need each other: name -> maker from the models made before."""
     return {

@@ -21,8 +21,13 @@ def _kept(name: str, build: Callable[[Shop], DataFrame]) -> cached_property:
 
 
 def _parts(name: str, build: Callable[[Shop], tuple[DataFrame, ...]]) -> cached_property:
-    """The same for a step that gives several tables."""
-    return cached_property(lambda shop: tuple(stored(df, f"{name}-{i}") for i, df in enumerate(build(shop))))
+    """The same for a step that gives several tables: the first is stored, the others are views of what the step has stored itself."""
+
+    def made(shop: Shop) -> tuple[DataFrame, ...]:
+        first, *others = build(shop)
+        return stored(first, name), *others
+
+    return cached_property(made)
 
 
 class Shop:
@@ -76,7 +81,7 @@ class Shop:
     mart_rejects = _kept("mart_rejects", lambda s: marts.reject_history(s.reject_runs))
     bronze_events = _kept("bronze_events", lambda s: testdata.bronze_events(s.spark, s.dir))
     bronze_export = _kept("bronze_export", lambda s: testdata.bronze_export(s.spark, s.dir))
-    clean_events = _parts("events", lambda s: cleaning.clean_events(s.bronze_events))
+    clean_events = cached_property(lambda s: cleaning.clean_events(s.bronze_events))
     web_lines = _parts("web-lines", lambda s: cleaning.web_order_lines(s.clean_events[0], s.catalogue))
     market_lines = _parts("marketplace-lines", lambda s: cleaning.marketplace_lines(s.bronze_export, s.catalogue))
     # from messages and exports to gold as one chain

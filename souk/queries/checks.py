@@ -89,15 +89,17 @@ def _condition(text: str) -> str:
 
 def check_sql(x: quality.Check) -> str:
     """One check as a DuckDB query of its own over its table."""
-    frame, head = _DUCK[x.frame], f"'{x.layer}' AS layer, '{x.table}' AS table_name, '{x.name}' AS check_name, '{x.dimension}' AS dimension, '{x.severity}' AS severity, '{x.says.replace(chr(39), chr(39) * 2)}' AS description"
+    text = lambda t: f"'{t.replace(chr(39), chr(39) * 2)}'"
+    frame, head = _DUCK[x.frame], f"'run-1' AS run_id, {text(x.expectation)} AS expectation, '{x.layer}' AS layer, '{x.table}' AS table_name, '{x.name}' AS check_name, '{x.dimension}' AS dimension, '{x.severity}' AS severity, '{x.says.replace(chr(39), chr(39) * 2)}' AS description"
     bad = "failed" if x.severity == "error" else "warning"
     if x.kind == "table":
         measure, sign, limit = re.fullmatch(r"(.+) (<=|>=) ([\d.]+)", _condition(x.text)).groups()
-        return f"SELECT {head}, CASE WHEN v {sign} {limit} THEN 'passed' ELSE '{bad}' END AS status, NULL::BIGINT AS element_count, NULL::BIGINT AS unexpected_count, NULL::DOUBLE AS unexpected_percent, round(v, 4) AS observed FROM (SELECT ({measure})::DOUBLE AS v FROM {frame})"
+        return f"SELECT {head}, CASE WHEN v {sign} {limit} THEN 'passed' ELSE '{bad}' END AS status, NULL::BIGINT AS element_count, NULL::BIGINT AS unexpected_count, NULL::DOUBLE AS unexpected_percent, round(v, 4) AS observed, NULL::VARCHAR AS sample FROM (SELECT ({measure})::DOUBLE AS v FROM {frame})"
     if x.kind == "key":
         names, _, where = x.text.partition(" WHERE ")
         keys = names.split(", ")
         some = f"({' OR '.join(f'{k} IS NOT NULL' for k in keys)}){' AND ' + where if where else ''}"
+        sample = "NULL::VARCHAR"
         counts = f"SELECT (SELECT count(*) FROM {frame}) AS n, coalesce(sum(k), 0)::BIGINT AS of, coalesce(sum(k) FILTER (WHERE k > 1), 0)::BIGINT AS bad FROM (SELECT count(*) AS k FROM {frame} WHERE {some} GROUP BY {names})"
     else:
         good = _condition(x.text)
@@ -105,12 +107,14 @@ def check_sql(x: quality.Check) -> str:
             column, parent, key = quality.reference(x.text)
             good = f"coalesce({column} IN (SELECT {key} FROM {_DUCK[parent]}), false)"
         counts = f"SELECT count(*) AS n, count({good}) AS of, count(*) FILTER (WHERE NOT ({good})) AS bad FROM {frame}"
-    return f"SELECT {head}, CASE WHEN bad * 100 <= {100 - x.percent} * of THEN 'passed' ELSE '{bad}' END AS status, n AS element_count, bad AS unexpected_count, round(CASE WHEN of > 0 THEN 100.0 * bad / of ELSE 0 END, 6)::DOUBLE AS unexpected_percent, NULL::DOUBLE AS observed FROM ({counts})"
+        shown = f"SELECT v, ascii(md5(v)) % {quality.SAMPLES} AS class, row_number() OVER (PARTITION BY ascii(md5(v)) % {quality.SAMPLES} ORDER BY md5(v)) AS nth FROM (SELECT DISTINCT {quality.shown_name(x.text)}::VARCHAR AS v FROM {frame} WHERE NOT ({good})) WHERE v IS NOT NULL"
+        sample = f"(SELECT left(to_json(list(v ORDER BY class))::VARCHAR, {quality.MOST_CHARACTERS}) FROM ({shown}) WHERE nth = 1)"
+    return f"SELECT {head}, CASE WHEN bad * 100 <= {100 - x.percent} * of THEN 'passed' ELSE '{bad}' END AS status, n AS element_count, bad AS unexpected_count, round(CASE WHEN of > 0 THEN 100.0 * bad / of ELSE 0 END, 6)::DOUBLE AS unexpected_percent, NULL::DOUBLE AS observed, {sample} AS sample FROM ({counts})"
 
 
 def _compared(results: DataFrame) -> DataFrame:
-    """Results as the oracle has them: without the sample, percent and observation as numbers."""
-    kept = ("layer", "table_name", "check_name", "dimension", "severity", "description", "status", "element_count", "unexpected_count")
+    """Results as the oracle has them: percent and observation as numbers."""
+    kept = ("run_id", "layer", "table_name", "check_name", "dimension", "severity", "description", "expectation", "status", "element_count", "unexpected_count", "sample")
     return results.select(*kept, F.round("unexpected_percent", 6).alias("unexpected_percent"), F.round(F.col("observed_value").try_cast("double"), 4).alias("observed"))
 
 
@@ -222,6 +226,32 @@ def _(s):
     return _compared(quality.run(s.spark, warehouse.tests(_CHANNELS), _warehouse(s), "run-1", NOW))
 
 
+def _failing_sql(x: quality.Check) -> str:
+    """The rows that fail one generic test, as a DuckDB query of its own."""
+    frame, head = _DUCK[x.frame], f"'{x.layer}' AS layer, '{x.table}' AS table_name, '{x.name}' AS check_name"
+    names, _, where = x.text.partition(" WHERE ")
+    about = names.split(", ") if x.kind == "key" else [quality.shown_name(x.text)]
+    shown = " || ', ' || ".join(f"'{n}=' || coalesce({n}::VARCHAR, 'null')" for n in about)
+    if x.kind == "key":
+        some = f"({' OR '.join(f'{k} IS NOT NULL' for k in about)}){' AND ' + where if where else ''}"
+        return f"SELECT {head}, {shown} AS shown FROM (SELECT *, count(*) OVER (PARTITION BY {names}) AS copies FROM {frame} WHERE {some}) WHERE copies > 1"
+    good = _condition(x.text)
+    if x.kind == "found":
+        column, parent, key = quality.reference(x.text)
+        good = f"coalesce({column} IN (SELECT {key} FROM {_DUCK[parent]}), false)"
+    return f"SELECT {head}, {shown} AS shown FROM {frame} WHERE NOT ({good})"
+
+
+#: Channels that the tests take for unknown, so that rows fail them too.
+_FEWER = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
+
+
+@query("test_failing_rows", " UNION ALL ".join(_failing_sql(x) for x in warehouse.tests(_FEWER) if x.kind != "table"))
+def _(s):
+    """Every row that fails one of the generic tests, orders of one channel among them."""
+    return warehouse.quarantine(warehouse.tests(_FEWER), _warehouse(s), NOW).drop("record", "failed_test")
+
+
 @query("test_failures", "SELECT 'order_steps' AS test_name, order_id AS failing_key FROM fct_orders WHERE shipped_at < order_ts OR delivered_at < shipped_at OR returned_at < delivered_at UNION ALL SELECT 'declared_totals', order_id FROM fct_orders WHERE abs(total_amount - source_total_amount) > lines_count * 0.01 UNION ALL SELECT 'no_future_order', order_id FROM fct_orders WHERE order_date > DATE '2001-08-03'")
 def _(s):
     """The rows that fail the tests whose failures are kept."""
@@ -234,11 +264,11 @@ def _(s):
 
 
 @query("source_freshness", """SELECT name, age_hours, CASE WHEN age_hours > 50 THEN 'error' WHEN age_hours > 26 THEN 'warn' ELSE 'pass' END AS status FROM (
-  SELECT name, round(date_diff('minute', loaded, TIMESTAMP '2001-08-02 12:00:00') / 60.0, 1)::DOUBLE AS age_hours FROM (SELECT 'orders' AS name, max(order_ts) AS loaded FROM gold_orders UNION ALL SELECT 'order_lines', TIMESTAMP '2001-08-01 09:00:00'
+  SELECT name, round(date_diff('minute', loaded, TIMESTAMP '2001-08-02 12:00:00') / 60.0, 1)::DOUBLE AS age_hours FROM (SELECT 'orders' AS name, max(order_ts) AS loaded FROM gold_orders UNION ALL SELECT 'order_lines', max(status_ts) FROM silver_lines
     UNION ALL SELECT 'customers', max(updated_at) FROM gold_customers UNION ALL SELECT 'products', max(updated_at) FROM gold_products))""")
 def _(s):
-    """How old the last load of each table of the lake is; here a row counts as loaded when it was changed, and lines on the day before."""
-    loaded = {"orders": s.gold_orders.select(F.col("order_ts").alias("_loaded_at")), "order_lines": s.gold_lines.select(F.lit("2001-08-01 09:00:00").cast("timestamp_ntz").alias("_loaded_at")), **{t: getattr(s, f"gold_{t}").select(F.col("updated_at").alias("_loaded_at")) for t in ("customers", "products")}}
+    """How old the last load of each table of the lake is; here a row counts as loaded when it was changed."""
+    loaded = {"orders": s.gold_orders.select(F.col("order_ts").alias("_loaded_at")), "order_lines": s.silver_lines.select(F.col("status_ts").alias("_loaded_at")), **{t: getattr(s, f"gold_{t}").select(F.col("updated_at").alias("_loaded_at")) for t in ("customers", "products")}}
     return warehouse.freshness(loaded, _now())
 
 

@@ -49,7 +49,7 @@ def _(s):
 def _(s):
     lake, df = Lake(s.spark, scratch(s.spark, "lake")), _orders(s).select("o_orderkey", "o_orderstatus", "day")
     day = F.col("day") == F.lit("1996-01-02").cast("date")
-    lake.append(df.where(~day).hint("rebalance", "day"), "orders", "day")
+    lake.append(df.where(~day).repartition(int(s.spark.conf.get("spark.sql.shuffle.partitions")), "day"), "orders", "day")
     lake.replace_slices(df.where(day), "orders", "day")
     for _ in range(2):  # a repeated load changes nothing
         lake.replace_slices(df.where(day).withColumn("o_orderstatus", F.lit("new")), "orders", "day")

@@ -77,8 +77,11 @@ class Lake:
     def replace_slices(self, df: DataFrame, table: str, column: str, slices: Iterable[str] | None = None, inside: Column | None = None) -> None:
         """Replaces, for each value of the column in df, all rows with that value. Of the slices that are named, those without a row in df
         are emptied. Rows for which inside does not hold, and nulls, are refused."""
-        told = Observation()
-        found = self._sliced(df, column, inside).hint("rebalance", SLICE).observe(told, F.collect_set(SLICE).alias("own"))
+        told, named = Observation(), set(slices or ())
+        sliced, tasks = self._sliced(df, column, inside), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # few slices may be large and are split by their size; many are dealt out, as a small file each takes its time
+        dealt = sliced.repartition(tasks, SLICE) if len(named) > tasks else sliced.hint("rebalance", SLICE)
+        found = dealt.observe(told, F.collect_set(SLICE).alias("own"))
         try:
             found.write.partitionBy(SLICE).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.path(table))
         except Exception as e:
@@ -86,7 +89,7 @@ class Lake:
                 raise OutsideSlice(table) from e
             raise
         own = set(told.get["own"])
-        for name in set(slices or ()) & set(self.slices(table)) - own:
+        for name in named & set(self.slices(table)) - own:
             self.files.delete(f"{self.path(table)}/{SLICE}={name}")
 
     def replace_where(self, df: DataFrame, table: str, column: str, condition: Column) -> None:
