@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-from souk.plans import alerts, flow, status
+from souk.plans import alerts, flow, status, warehouse
 from souk.plans.jobs import TABLES, Jobs, MissingTables, Settings, new_run_id
 from souk.sources.csv_export import MissingFiles
+from souk.sources.files import Files
 from souk.sources.records import FIELDS
 
 #: The commands with their options. An option is a flag, or takes a day, a number or one of some words.
@@ -25,7 +26,8 @@ OPTIONS = {
     "gold": {},
     "quality": {},
     "warehouse-load": {},
-    "warehouse-build": {},
+    "warehouse-build": {"full": bool},
+    "lineage": {},
     "freshness": {},
     "status": {"layer": ("all", *TABLES), "json": bool},
     "daily": {"date": dt.date},
@@ -101,7 +103,9 @@ def _status(args: argparse.Namespace, jobs: Jobs) -> None:
 
 
 def _daily(args: argparse.Namespace, jobs: Jobs) -> dict:
-    run_id, ended = new_run_id(), flow.run(jobs.daily(args.date))
+    run_id = new_run_id()
+    with flow.lease(Files(jobs.spark), f"{jobs.lake.root}/_leases/daily", run_id):
+        ended = flow.run(jobs.daily(args.date))
     for x in ended.values():
         say({"step": x.name, "state": x.state, "tries": x.tries, "error": x.error, "summary": x.summary})
     raised = alerts.raise_alerts("daily", run_id, ended.values())
@@ -116,7 +120,8 @@ HANDLERS: dict[str, Callable[[argparse.Namespace, Jobs], dict | None]] = {
     "gold": lambda a, j: j.gold(),
     "quality": lambda a, j: j.quality(),
     "warehouse-load": lambda a, j: j.warehouse_load(),
-    "warehouse-build": lambda a, j: j.warehouse_build(),
+    "warehouse-build": lambda a, j: j.warehouse_build(full=a.full),
+    "lineage": lambda a, j: {"job": "lineage", "order": warehouse.models().order, "edges": warehouse.models().edges()},
     "freshness": lambda a, j: j.freshness(),
     "status": _status,
     "daily": _daily,
@@ -132,7 +137,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         if summary is not None:
             say(summary)
         return int(bool((summary or {}).get("failed")))
-    except (MissingTables, MissingFiles) as e:
+    except (MissingTables, MissingFiles, flow.Held) as e:
         print(e, file=sys.stderr)
         return 1
     finally:

@@ -1,12 +1,18 @@
-"""A small runner of dependent steps: independent steps at the same time, retries with growing pauses, gates without retry."""
+"""A small runner of dependent steps: independent steps at the same time, retries with growing pauses, gates without retry; and a lease
+that keeps two runs apart."""
 
 from __future__ import annotations
 
+import contextlib
+import json
+import re
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
+from souk.sources.files import Files
+
 DONE, FAILED, SKIPPED = "done", "failed", "skipped"
 
 
@@ -75,3 +81,33 @@ def wait_for(ready: Callable[[], bool], every: float = 60.0, timeout: float = 72
             return
         sleep(every)
     raise TimeoutError(f"not ready after {timeout:g} s")
+
+
+class Held(RuntimeError):
+    """Another run holds the lease."""
+
+
+@contextlib.contextmanager
+def lease(files: Files, folder: str, holder: str, seconds: float = 86_400.0, clock: Callable[[], float] = time.time) -> Iterator[int]:
+    """Holds a folder for one run; another is refused until this one ends or its time is over, as it is where a run died.
+
+    Leases are numbered, and a number is taken by creating its file, which only one run can do; the number is given, as writers may
+    want to check that it is still the last. Releasing adds a file beside it. Numbers before the last two are cleared away.
+    """
+    numbered = sorted(n for n in files.names(folder) if re.fullmatch(r"\d{9}\.json", n))
+    last = int(numbered[-1][:9]) if numbered else 0
+    if last and f"{last:09d}.released" not in files.names(folder):
+        told = json.loads(files.read(f"{folder}/{last:09d}.json"))
+        if clock() < told["until"]:
+            raise Held(f"{folder} is held by {told['holder']}")
+    try:
+        files.create(f"{folder}/{last + 1:09d}.json", json.dumps({"holder": holder, "until": clock() + seconds}))
+    except FileExistsError as e:
+        raise Held(f"{folder} was taken at the same time") from e
+    for n in numbered[:-1]:
+        files.delete(f"{folder}/{n}")
+        files.delete(f"{folder}/{n[:9]}.released")
+    try:
+        yield last + 1
+    finally:
+        files.create(f"{folder}/{last + 1:09d}.released", holder)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import secrets
 import time
@@ -14,7 +15,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.plans import cleaning, flow, gold, quality, status, warehouse
+from souk.operators import calendar
+from souk.plans import cleaning, flow, gold, graph, quality, status, warehouse
 from souk.sources import csv_export, records, relational
 from souk.sources.files import Files, stored
 from souk.sources.lake import Lake
@@ -202,20 +204,30 @@ class Jobs:
             raise MissingTables(f"warehouse: {', '.join(missing)}")
         return {t: target.read(f"raw/{t}") if target.exists(f"raw/{t}") else self.spark.createDataFrame([], empty[t]) for t in (*TABLES["gold"], *empty)}
 
-    def seeds(self) -> dict[str, DataFrame]:
-        """Public holidays and sales events, as CSV files with a header in the seeds' folder; none where it is not set."""
+    def seeds(self, orders: DataFrame) -> dict[str, DataFrame]:
+        """Public holidays and sales events: CSV files with a header in the seeds' folder, or by rule for the years of the orders."""
         schemas = {"public_holidays": "holiday_date DATE, holiday_name STRING", "sales_events": "event_name STRING, start_date DATE, end_date DATE"}
-        folder = self.settings.seeds
-        return {n: self.spark.read.csv(f"{folder}/{n}.csv", schema=x, header=True) if folder else self.spark.createDataFrame([], x) for n, x in schemas.items()}
-
-    def warehouse_build(self, today: dt.date | None = None) -> dict:
-        """Builds the models, each stored before the next needs it, and runs their tests. Rows that fail a test are kept under
-        test_failures, those of the generic tests in slices by test. Models are published in one commit, before they are tested, as their readers see them."""
-        began, raw, seeds, target = time.time(), self.raw(), self.seeds(), self.warehouse()
-        made: dict[str, DataFrame] = {}
-        for name, build in warehouse.build(raw, seeds["public_holidays"], seeds["sales_events"]).items():
-            made[name] = stored(build(made), name.replace("/", "-"))
-        target.publish(made)
+        if self.settings.seeds:
+            return {n: self.spark.read.csv(f"{self.settings.seeds}/{n}.csv", schema=x, header=True) for n, x in schemas.items()}
+        years = calendar.years_of(orders, "order_date")
+        return {"public_holidays": calendar.holidays(years), "sales_events": calendar.sales_events(years)}
+
+    def warehouse_build(self, today: dt.date | None = None, full: bool = False) -> dict:
+        """Builds the models that are stale, each stored before the next needs it, and runs the tests of all. Rows that fail a test are kept
+        under test_failures, those of the generic tests in slices by test. Models are published before they are tested, as their readers see them."""
+        began, raw, target, models = time.time(), self.raw(), self.warehouse(), warehouse.models()
+        seeds = self.seeds(raw["orders"])
+        marks, files = {n: graph.fingerprint(df) for n, df in (raw | seeds).items()}, Files(self.spark)
+        state = f"{target.root}/_lineage/sources.json"
+        before = {} if full or not files.names(state) else json.loads(files.read(state))
+        stale = models.stale(marks, before, [n for n in models.order if target.exists(n)])
+        made: dict[str, DataFrame] = {n: target.read(n) for n in models.order if n not in stale}
+        for name in stale:
+            made[name] = stored(models.models[name].make(raw | seeds | made), name.replace("/", "-"))
+        target.publish({n: made[n] for n in stale} | {"lineage": self.spark.createDataFrame(models.edges(), "made_from STRING, name STRING, kind STRING")})
+        files.delete(state)
+        files.create(state, json.dumps(marks))
+        made = {n: target.read(n) for n in models.order}
         frames = {n.replace("/", "."): (lambda d=df: d) for n, df in made.items()} | {f"lake.{n}": (lambda d=df: d) for n, df in raw.items()} | {f"seeds.{n}": (lambda d=df: d) for n, df in seeds.items()}
         now, tests = dt.datetime.now(dt.UTC).replace(tzinfo=None, microsecond=0), warehouse.tests()
         results = quality.run(self.spark, tests, frames, new_run_id(), now).collect()
@@ -226,7 +238,7 @@ class Jobs:
         bad = {n: k for n in failing if (k := target.read(f"test_failures/{n}").count())}
         states = [r["status"] for r in results] + ["passed" if n not in bad else "warning" if n in warehouse.WARNINGS else "failed" for n in failing]
         failures = [f"{r['layer']}.{r['table_name']}.{r['check_name']}" for r in results if r["status"] == "failed"] + [n for n in bad if n not in warehouse.WARNINGS]
-        return {"job": "warehouse-build", "models": {n: df.count() for n, df in made.items()}, "tests": len(states), **{x: states.count(x) for x in ("passed", "warning", "failed")}, "failures": failures, "seconds": round(time.time() - began, 1)}
+        return {"job": "warehouse-build", "built": list(stale), "models": {n: df.count() for n, df in made.items()}, "tests": len(states), **{x: states.count(x) for x in ("passed", "warning", "failed")}, "failures": failures, "seconds": round(time.time() - began, 1)}
 
     def warehouse_gate(self) -> dict:
         found = self.warehouse_build()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from souk.functions import columns as c
 from souk.operators.joins import with_scalar
 from souk.operators.lifecycle import STATUSES
-from souk.plans import marts, quality, star
+from souk.plans import graph, marts, quality, star
 
 #: The generic tests of models, sources and seeds, in the language of quality.CATALOGUE.
 CATALOGUE = r"""
@@ -126,21 +126,29 @@ def quarantine(todo: Sequence[quality.Check], frames: Mapping[str, Callable[[],
     return reduce(DataFrame.unionAll, found).withColumn("failed_test", F.concat_ws(".", "layer", "table_name", "check_name"))
 
 
-def build(raw: Mapping[str, DataFrame], holidays: DataFrame, sales_events: DataFrame) -> dict[str, Callable[[Mapping[str, DataFrame]], DataFrame]]:
-    """The models in the order in which they need each other: name -> maker from the models made before."""
-    return {
-        "core/dim_date": lambda m: star.dates(raw["orders"], holidays, sales_events),
-        "core/dim_channels": lambda m: star.channels(raw["orders"]),
-        "core/dim_customers": lambda m: star.customers(raw["customers"]),
-        "core/dim_products": lambda m: star.products(raw["products"]),
-        "core/fct_sales": lambda m: star.sales(raw["order_lines"], raw["orders"], m["core/dim_customers"], m["core/dim_products"]),
-        "core/fct_orders": lambda m: star.order_facts(raw["orders"], m["core/dim_customers"]),
-        "marts/mart_daily_sales": lambda m: marts.daily_sales(m["core/fct_sales"], m["core/dim_products"], m["core/dim_date"]),
-        "marts/mart_customers": lambda m: marts.customer_history(m["core/fct_orders"], m["core/dim_customers"]),
-        "marts/mart_product_demand_features": lambda m: marts.demand_features(m["core/dim_products"], m["core/fct_sales"], m["core/dim_date"]),
-        "marts/mart_data_quality": lambda m: marts.data_quality(raw["quality_check_results"]),
-        "marts/mart_reject_history": lambda m: marts.reject_history(raw["quality_reject_history"]),
-    }
+#: Who reads the warehouse.
+EXPOSURES = {
+    "sales_dashboard": "core/dim_date core/dim_channels core/dim_customers core/dim_products core/fct_sales core/fct_orders marts/mart_customers marts/mart_data_quality marts/mart_reject_history".split(),
+    "demand_forecast_training_set": ["marts/mart_product_demand_features"],
+}
+
+
+def models() -> graph.Graph:
+    """The warehouse's models by what each is made from: gold and quality tables as they were published, the calendar, other models."""
+    made = [
+        graph.Model("core/dim_date", ("orders", "public_holidays", "sales_events"), lambda t: star.dates(t["orders"], t["public_holidays"], t["sales_events"])),
+        graph.Model("core/dim_channels", ("orders",), lambda t: star.channels(t["orders"])),
+        graph.Model("core/dim_customers", ("customers",), lambda t: star.customers(t["customers"])),
+        graph.Model("core/dim_products", ("products",), lambda t: star.products(t["products"])),
+        graph.Model("core/fct_sales", ("order_lines", "orders", "core/dim_customers", "core/dim_products"), lambda t: star.sales(t["order_lines"], t["orders"], t["core/dim_customers"], t["core/dim_products"])),
+        graph.Model("core/fct_orders", ("orders", "core/dim_customers"), lambda t: star.order_facts(t["orders"], t["core/dim_customers"])),
+        graph.Model("marts/mart_daily_sales", ("core/fct_sales", "core/dim_products", "core/dim_date"), lambda t: marts.daily_sales(t["core/fct_sales"], t["core/dim_products"], t["core/dim_date"])),
+        graph.Model("marts/mart_customers", ("core/fct_orders", "core/dim_customers"), lambda t: marts.customer_history(t["core/fct_orders"], t["core/dim_customers"])),
+        graph.Model("marts/mart_product_demand_features", ("core/dim_products", "core/fct_sales", "core/dim_date"), lambda t: marts.demand_features(t["core/dim_products"], t["core/fct_sales"], t["core/dim_date"])),
+        graph.Model("marts/mart_data_quality", ("quality_check_results",), lambda t: marts.data_quality(t["quality_check_results"])),
+        graph.Model("marts/mart_reject_history", ("quality_reject_history",), lambda t: marts.reject_history(t["quality_reject_history"])),
+    ]
+    return graph.Graph(made, EXPOSURES)
 
 
 def failing_rows(t: Mapping[str, DataFrame], today: dt.date) -> dict[str, DataFrame]:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from souk.functions import columns as c
-from souk.operators import history
+from souk.operators import calendar, history
 from souk.operators.joins import dimension_key, orphans
 from souk.operators.lifecycle import status_as_of
-from souk.plans import cleaning, marts
-from souk.queries.base import query
+from souk.plans import cleaning, marts, star
+from souk.queries.base import VIEWS, query
 
 for _name, _table in {
     "line_amounts": "gold_lines", "gold_orders": "gold_orders", "gold_customers": "gold_customers", "gold_products": "gold_products", "dim_date": "dim_dates", "dim_channels": "dim_channels", "dim_customers": "dim_customers", "dim_products": "dim_products",
@@ -45,6 +45,37 @@ def _(s):
     )
 
 
+#: The same rules in DuckDB SQL, Easter by another formula (of the years 1900 to 2099).
+VIEWS["calendar_years"] = "SELECT unnest(generate_series(year(min(order_date)), year(max(order_date) + 90)))::INT AS y FROM gold_orders"
+VIEWS["calendar_easter"] = """
+  SELECT y, make_date(y, 3, 22) + (CASE WHEN d = 29 AND e = 6 THEN 28 WHEN d = 28 AND e = 6 AND a > 10 THEN 27 ELSE d + e END)::INT AS sunday
+  FROM (SELECT *, (2 * (y % 4) + 4 * (y % 7) + 6 * d + 5) % 7 AS e FROM (SELECT y, y % 19 AS a, (19 * (y % 19) + 24) % 30 AS d FROM calendar_years))"""
+VIEWS["calendar_holidays"] = """
+  SELECT holiday_date, string_agg(DISTINCT name, ' / ' ORDER BY name) AS holiday_name FROM (
+    SELECT make_date(y, m, d) AS holiday_date, name FROM calendar_years, (VALUES ('New Year''s Day', 1, 1), ('Labour Day', 5, 1), ('Victory in Europe Day', 5, 8), ('Bastille Day', 7, 14), ('Assumption Day', 8, 15), ('All Saints'' Day', 11, 1), ('Armistice Day', 11, 11), ('Christmas Day', 12, 25)) t(name, m, d)
+    UNION ALL SELECT sunday + k, name FROM calendar_easter, (VALUES ('Easter Monday', 1), ('Ascension Day', 39), ('Whit Monday', 50)) t(name, k)) GROUP BY holiday_date"""
+VIEWS["calendar_sales"] = """
+  SELECT event_name, start_date, end_date FROM (SELECT y, make_date(y, 1, 1) + d::INT AS day FROM calendar_years, range(366) r(d)) days,
+    LATERAL (SELECT 'Winter sales' AS event_name, day AS start_date, day + 27 AS end_date WHERE isodow(day) = 3 AND month(day) = 1 AND day(day) <= 12 AND day(day) + 7 > 12
+      UNION ALL SELECT 'Summer sales', day, day + 27 WHERE isodow(day) = 3 AND month(day) = 6 AND day(day) BETWEEN 22 AND 28
+      UNION ALL SELECT 'Black Friday', day - 3, day + 4 WHERE isodow(day) = 4 AND month(day) = 11 AND day(day) BETWEEN 22 AND 28)"""
+VIEWS["calendar_dates"] = VIEWS["dim_dates"].replace("JOIN holidays ON", "JOIN calendar_holidays ON").replace("JOIN sales_windows ON", "JOIN calendar_sales ON")
+
+
+@query("retail_calendar", "SELECT holiday_name AS name, holiday_date AS first_day, holiday_date AS last_day FROM calendar_holidays UNION ALL SELECT * FROM calendar_sales")
+def _(s):
+    """Feasts and sales of the years that have orders, by rule."""
+    years = calendar.years_of(s.gold_orders, "order_date")
+    return calendar.holidays(years).select(F.col("holiday_name").alias("name"), F.col("holiday_date").alias("first_day"), F.col("holiday_date").alias("last_day")).unionAll(calendar.sales_events(years))
+
+
+@query("dim_date_by_rule", "SELECT * FROM calendar_dates")
+def _(s):
+    """The calendar dimension with feasts and sales by rule in place of seeds."""
+    years = calendar.years_of(s.gold_orders, "order_date")
+    return star.dates(s.gold_orders, calendar.holidays(years), calendar.sales_events(years))
+
+
 @query("clean_events", "SELECT event_id, order_id, event_ts, kind AS event_type, status, customer_id, CASE WHEN kind = 'order_created' THEN price END AS unit_price FROM event_good")
 def _(s):
     return s.clean_events[0].select("event_id", "order_id", "event_ts", "event_type", "status", "customer_id", F.try_element_at("items", F.lit(1)).getField("unit_price").alias("unit_price"))

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from souk.__main__ import checked
-from souk.plans import alerts, flow, status
+from souk.plans import alerts, flow, status, warehouse
 from souk.plans.cleaning import EXPORT_COLUMNS
 from souk.plans.jobs import Jobs, MissingTables, Settings, new_run_id, yesterday
 from tests.shop_server import Shop, serving
@@ -69,7 +69,8 @@ def test_a_day(jobs):
     assert "gold/order_lines  3 rows\n  units sold = 4" in status.render(list(told.values()))
     built = jobs.warehouse_build(DAY)
     assert built["models"]["core/fct_sales"] == 3 and built["tests"] == 83 == built["passed"] + built["warning"] + built["failed"]
-    assert built["failures"] == [] and jobs.warehouse().read("marts/mart_daily_sales").count() > 0
+    assert len(built["built"]) == 11 and jobs.warehouse_build(DAY)["built"] == [] and jobs.warehouse().read("lineage").count() == len(warehouse.models().edges())
+    assert jobs.warehouse().read("core/dim_date").where("is_public_holiday").count() > 0 and built["failures"] == [] and jobs.warehouse().read("marts/mart_daily_sales").count() > 0
     assert jobs.warehouse().read("test_failures/order_steps").count() == 0
     fresh = jobs.freshness()
     assert fresh["failed"] == 0 and fresh["sources"]["orders"]["status"] == "pass"
