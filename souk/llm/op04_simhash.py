@@ -5,8 +5,8 @@ holds each distinct fingerprint under 14 quadruples of positions, the blocks of
 hold one of them. Keys are counted by an aggregate and those of a single fingerprint dropped. Under a key, the bytes that a
 pair shares are tallied over all 8 positions; pairs with the guaranteed minimum of 5 are verified by their differing bits.
 Where a key holds many fingerprints, each is indexed again by one more position, of which a pair must share some: such a
-key fixes 5 bytes, so it holds at most 2^24 fingerprints (128 MB) however large the input. Links are followed breadth
-first among those not yet reached: a key gives at most one link for each fingerprint it holds, never all pairs.
+key fixes 5 bytes, so it holds at most 2^24 fingerprints (128 MB) however large the input. Above a handful of fingerprints a
+key gives fewer links than it holds fingerprints: those not connected yet are joined, breadth first or by looking up all neighbours.
 
 Links join the distinct fingerprints into components with joins and aggregates only. Copies share a fingerprint and are
 counted once before any of this.
@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.common import binary_column, materialize, parts, slices, unused, with_text
@@ -96,8 +96,8 @@ def linked(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return hit
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what is connected among fps: breadth first, each fingerprint reached once."""
+def forest(fps: np.ndarray) -> np.ndarray:
+    """Links, a row each, that connect what is connected among fps: breadth first, each fingerprint reached once."""
     links, left = [], fps
     while left.size:
         queue, left = [left[0]], left[1:]
@@ -106,25 +106,39 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
             hit = linked(np.array([one]), left)
             if hit.any():
                 found = left[hit]
-                links += [(int(one), int(x)) for x in found]
+                links.append(np.stack([np.full(found.size, one), found], 1))
                 queue += list(found)
                 left = left[~hit]
-    return links
+    return np.concatenate(links) if links else np.zeros((0, 2), np.uint64)
 
 
-def neighbour_links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """The same for many fingerprints that share 5 bytes: each is linked to the first found of those that differ from it in a given
-    set of bits, so the work is in proportion to their number."""
+def neighbour_links(fps: np.ndarray) -> np.ndarray:
+    """The same for many fingerprints that share 5 bytes. Those that differ in a given set of bits are looked up for all at once; only
+    pairs that are not connected yet become links, so there are fewer links than fingerprints whatever the number of neighbours."""
     fps = np.unique(fps)
     free = [b for b in range(64) if ((fps ^ fps[0]) >> np.uint64(b) & np.uint64(1)).any()]
-    links = []
+    root, links, apart = np.arange(fps.size), [], fps.size
     for n in range(1, MAX_BITS + 1):
         for bits in combinations(free, n):
+            if apart == 1:
+                break
             other = fps ^ np.uint64(sum(1 << b for b in bits))
             at = np.minimum(np.searchsorted(fps, other), fps.size - 1)
-            hit = (fps[at] == other) & (fps < other)
-            links += zip(fps[hit].tolist(), other[hit].tolist(), strict=True)
-    return links
+            one = np.flatnonzero((fps[at] == other) & (fps < other))
+            two = at[one]
+            while True:
+                low, high = np.minimum(root[one], root[two]), np.maximum(root[one], root[two])
+                new = np.flatnonzero(low != high)
+                if not new.size:
+                    break
+                # of the pairs that reach a tree, one joins it to a tree with a smaller root
+                joins = new[np.unique(high[new], return_index=True)[1]]
+                links.append(np.stack([fps[one[joins]], fps[two[joins]]], 1))
+                apart -= joins.size
+                root[high[joins]] = low[joins]
+                while (root[root] != root).any():
+                    root = root[root]
+    return np.concatenate(links) if links else np.zeros((0, 2), np.uint64)
 
 
 def bucket_links(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
@@ -133,17 +147,17 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
     fps, keys = fps[order], keys[order]
     begins = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
     sizes = np.diff(begins, append=keys.size)
-    links = []
+    links = [np.zeros((0, 2), np.uint64)]
     small = np.repeat(sizes <= SMALL, sizes)
     for step in range(1, SMALL):
         at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
         if not at.size:
             break
         hit = at[linked(fps[at], fps[at + step])]
-        links += zip(fps[hit].tolist(), fps[hit + step].tolist(), strict=True)
+        links.append(np.stack([fps[hit], fps[hit + step]], 1))
     for begin, n in zip(begins[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        links += (forest if n <= LOOK_UP_ABOVE else neighbour_links)(fps[begin : begin + n])
-    pairs = np.array(sorted({(min(p), max(p)) for p in links}), np.uint64).reshape(-1, 2).view(np.int64)
+        links.append((forest if n <= LOOK_UP_ABOVE else neighbour_links)(fps[begin : begin + n]))
+    pairs = np.unique(np.sort(np.concatenate(links), 1), axis=0).view(np.int64)
     return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
@@ -194,7 +208,7 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest"))
     chosen = own.groupBy("root").agg(first.alias("z")).select(F.col("root").alias("r"), "z")
     judged = materialize(own.join(chosen, F.col("root") == F.col("r")).select("doc_id", "digest", "n", (F.col("doc_id").eqNullSafe(F.col("z.doc_id")) & (F.col("digest") == F.col("z.digest"))).alias("stays")), "kept-keys")
-    k_id, k_digest, place = unused(docs.columns, "_key_id", "_key_digest", "_place")
+    k_id, k_digest, row = unused(docs.columns, "_key_id", "_key_digest", "_row")
 
     def keys(where: str) -> DataFrame:
         return judged.where(where).select(F.col("doc_id").alias(k_id), F.col("digest").alias(k_digest))
@@ -204,9 +218,10 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     if judged.where("stays and n > 1").isEmpty():
         return left
     again = keys("stays and n > 1")
-    over = Window.partitionBy(id_col, F.xxhash64(F.col(text_col).cast("string"))).orderBy(F.lit(1))
-    copies = left.join(again, same, "left_semi").withColumn(place, F.row_number().over(over)).where(F.col(place) == 1).drop(place)
-    return left.join(again, same, "left_anti").unionAll(copies)
+    # however often a row is repeated, an aggregate keeps one of each task before any is sent
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = left.join(again, same, "left_semi").groupBy(F.col(id_col).alias(k_id), F.xxhash64(F.col(text_col).cast("string")).alias(k_digest)).agg(F.any_value(whole).alias(row))
+    return left.join(again, same, "left_anti").unionAll(copies.select(*[F.col(row).getField(c).alias(c) for c in docs.columns]))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

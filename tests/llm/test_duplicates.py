@@ -97,6 +97,29 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, split, look_up)
     assert all(len(g) == 1 for g in groups.values()) and len({x for g in groups.values() for x in g}) == len(groups)
 
 
+def test_a_full_key_gives_fewer_links_than_fingerprints():
+    """All 2^16 settings of 16 bits, and settings with gaps that leave several components."""
+    every = np.arange(1 << 16, dtype=np.uint64) << np.uint64(20)
+    links = op04_simhash.neighbour_links(every)
+    assert links.shape == (65_535, 2) and np.unique(links).size == 65_536 and (np.bitwise_count(links[:, 0] ^ links[:, 1]) <= 3).all()
+    r = np.random.default_rng(2)
+    sparse = np.unique(r.integers(0, 1 << 24, 700, np.uint64))
+    for found in (op04_simhash.neighbour_links(sparse), op04_simhash.forest(sparse)):
+        want = brute_components(sparse.tolist())
+        root = {f: f for f in sparse.tolist()}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for u, v in found.tolist():
+            assert top(u) != top(v)  # a forest: no link closes a circle
+            root[top(u)] = top(v)
+        got = {f: top(f) for f in sparse.tolist()}
+        assert len({(want[f], got[f]) for f in got}) == len(set(want.values())) == len(set(got.values())) == sparse.size - len(found)
+
+
 def test_one_row_of_each_group_stays(spark):
     """Repeated ids, texts and null ids, and columns with the operator's own names."""
     near = "a text of some words that is copied once and once again here"
