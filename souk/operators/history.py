@@ -27,11 +27,33 @@ def validity_periods(versions: DataFrame, key: str, changed: str, created: str,
     )
 
 
-def as_of(facts: DataFrame, instant: str, fact_key: str, periods: DataFrame, period_key: str, columns: Sequence[str]) -> DataFrame:
-    """facts with the columns of the version that held at their instant, null where none did."""
-    p = periods.select(F.col(period_key).alias("_k"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), *columns)
-    held = (F.col(fact_key) == F.col("_k")) & (F.col(instant) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(instant) < F.col("_to")))
-    return facts.join(p, held, "left").drop("_k", "_from", "_to")
+#: Days of facts and versions of a key that are looked through together.
+BUCKET_DAYS = 30
+
+
+def as_of(facts: DataFrame, instant: str, fact_key: str, periods: DataFrame, period_key: str, columns: Sequence[str], bucket_days: int = BUCKET_DAYS) -> DataFrame:
+    """facts with the columns of the version that held at their instant, null where none did. Periods of a key must not overlap.
+
+    Facts and versions are laid in one order of time and the last version is carried forward, so no fact meets more than one version. Time is
+    cut into buckets: what a bucket starts with is carried over the buckets of a key, of which there are few, and joined to its rows. A key
+    with very many facts is thus spread over as many tasks as it has buckets.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    carried = F.struct(micros("valid_to").alias("until"), *[F.col(x).alias(x) for x in columns])
+    whole = F.struct(*[F.col(f"`{x}`") for x in facts.columns])
+    versions = periods.select(F.col(period_key).alias("_k"), micros("valid_from").alias("_at"), F.lit(0).alias("_kind"), carried.alias("_version")).where("_k is not null and _at is not null")
+    known = facts.select(F.col(fact_key).alias("_k"), micros(instant).alias("_at"), F.lit(1).alias("_kind"), whole.alias("_fact"))
+    rows = versions.unionByName(known.where("_k is not null and _at is not null"), allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_at") / (bucket_days * 86_400_000_000)))
+    inside = Window.partitionBy("_k", "_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy("_k", "_bucket").agg(F.max_by("_version", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_last"))
+    starts = last.select("_k", "_bucket", F.last("_last", True).over(before).alias("_start"))
+    met = rows.withColumn("_own", F.last("_version", True).over(inside)).where("_kind = 1").join(starts, ["_k", "_bucket"])
+    met = met.select("_fact", "_at", F.coalesce("_own", "_start").alias("_held"))
+    holds = F.coalesce(F.col("_at") < F.col("_held.until"), F.col("_held").isNotNull())
+    found = met.select("_fact.*", *[F.when(holds, F.col(f"_held.{x}")).alias(x) for x in columns])
+    without = facts.where(F.col(fact_key).isNull() | F.col(instant).isNull())
+    return found.unionAll(without.select("*", *[F.lit(None).cast(periods.schema[x].dataType).alias(x) for x in columns]))
 
 
 def watermark(stored: DataFrame, changed: str, margin_minutes: int = 10) -> DataFrame:

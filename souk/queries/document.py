@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from souk.operators.rows import numbered
 from souk.plans import dashboard
-from souk.queries.base import VIEWS, Shop, _kept, both
+from souk.queries.base import VIEWS, Shop, _kept, query
 from souk.queries.figures import _ALL, _BOUNDS, _BUY, _CAN, _DEPT, _INDEX_CATEGORY, _INDEX_CHANNEL, _INDEX_PAYMENT, _INDEX_STATUS, _REP, _RET, _SHIP, DISC, GROSS, NET, ORDERS, UNITS, money
 
 VIEWS["product_index"] = "SELECT product_key, product_name, category, (row_number() OVER (ORDER BY product_name, product_key) - 1)::BIGINT AS i FROM dim_products"
@@ -17,53 +20,72 @@ _CAT = f"JOIN {{dim_products}} p ON p.product_key = f.product_key JOIN {_INDEX_C
 _LONG = "CAST(sum({}) AS DECIMAL(18,{}))".format
 _RANKED = "(SELECT 'All' AS segment, m.* FROM {mart_customers} m UNION ALL SELECT customer_segment, m.* FROM {mart_customers} m)"
 _j = dashboard
-_SECTIONS = {
-    "first_day": ("'0'", _j.text("first_day"), _BOUNDS),
-    "last_day": ("'0'", _j.text("last_day"), _BOUNDS),
-    "channels": (_j.place("i"), _j.text("channel_name"), f"{_INDEX_CHANNEL} t"),
-    "categories": (_j.place("i"), _j.text("category"), f"{_INDEX_CATEGORY} t"),
-    "products": (_j.place("t.i"), _j.array(_j.text("product_name"), _j.number("k.i")), f"{{product_index}} t JOIN {_INDEX_CATEGORY} k ON k.category = t.category"),
-    "statuses": (_j.place("i"), _j.text("order_status"), f"{_INDEX_STATUS} t"),
-    "payments": (_j.place("i"), _j.text("payment_method"), f"{_INDEX_PAYMENT} t"),
-    **{f"columns.{n}": ("'0'", "'[' || " + " || ',' || ".join(f"chr(34) || '{x}' || chr(34)" for x in c) + " || ']'", "(SELECT 1 AS one) t") for n, c in dashboard.COLUMNS.items()},
-    "sales": (
-        _j.place("d", "ch", "cat"), _j.array(*map(_j.number, ("d", "ch", "cat", "net", "units", "gross", "disc", "orders"))),
-        f"(SELECT {_D} AS d, ch.i AS ch, k.i AS cat, {NET} AS net, {UNITS} AS units, coalesce({GROSS}, 0) AS gross, coalesce({DISC}, 0) AS disc, {ORDERS} AS orders FROM {{fct_sales}} f CROSS JOIN {_BOUNDS} {_CH} {_CAT} GROUP BY {_D}, ch.i, k.i) t",
-    ),
-    "sales_orders": (_j.place("d", "ch"), _j.array(*map(_j.number, ("d", "ch", "orders"))), f"(SELECT {_D} AS d, ch.i AS ch, {ORDERS} AS orders FROM {{fct_sales}} f CROSS JOIN {_BOUNDS} {_CH} GROUP BY {_D}, ch.i) t"),
-    "product_sales": (
-        _j.place("d", "ch", "p"), _j.array(*map(_j.number, ("d", "ch", "p", "net", "units"))),
-        f"(SELECT {_D} AS d, ch.i AS ch, x.i AS p, {NET} AS net, {UNITS} AS units FROM {{fct_sales}} f CROSS JOIN {_BOUNDS} {_CH} JOIN {{product_index}} x ON x.product_key = f.product_key GROUP BY {_D}, ch.i, x.i HAVING sum(units_sold) > 0) t",
-    ),
-    "orders": (
-        _j.place("d", "ch", "st", "pay"), _j.array(*map(_j.number, ("d", "ch", "st", "pay", "n", "cancelled", "returned", "billed", "shipping", "hours_sum", "hours_n", "days_sum", "days_n"))),
-        f"""(SELECT {_D} AS d, ch.i AS ch, st.i AS st, pm.i AS pay, count(*) AS n, {_CAN} AS cancelled, {_RET} AS returned, {money('sum(billed_amount)')} AS billed, coalesce({_SHIP}, 0) AS shipping, coalesce({_LONG('hours_to_ship', 1)}, 0) AS hours_sum, count(hours_to_ship) AS hours_n,
-        coalesce({_LONG('days_to_deliver', 2)}, 0) AS days_sum, count(days_to_deliver) AS days_n FROM {{fct_orders}} f CROSS JOIN {_BOUNDS} {_CH} JOIN {_INDEX_STATUS} st ON st.order_status = f.order_status JOIN {_INDEX_PAYMENT} pm ON pm.payment_method = f.payment_method GROUP BY {_D}, ch.i, st.i, pm.i) t""",
-    ),
-    "events": (_j.place("d"), _j.record(day=_j.number("d"), sales_event=_j.text("sales_event"), holiday=_j.text("holiday_name")), f"(SELECT CAST(date_day - first_day AS INT) AS d, sales_event, holiday_name FROM {{dim_dates}} CROSS JOIN {_BOUNDS} WHERE date_day BETWEEN first_day AND last_day AND (is_sales_event OR is_public_holiday)) t"),
-    "customers.segments": (
-        "segment", _j.record(segment=_j.text("segment"), **{n: _j.number(n) for n in ("customers", "buyers", "repeat_buyers", "lifetime_spend")}),
-        f"(SELECT {_ALL} AS segment, count(*) AS customers, {_BUY} AS buyers, {_REP} AS repeat_buyers, {money('sum(total_spent)')} AS lifetime_spend FROM {{mart_customers}} GROUP BY GROUPING SETS ((), (customer_segment))) t",
-    ),
-    "customers.departments": (
-        f"segment || {_j.place('place')}", _j.record(segment=_j.text("segment"), department=_j.text("department_code"), net_sales=_j.number("net")),
-        f"(SELECT *, row_number() OVER (PARTITION BY segment ORDER BY net DESC, department_code) AS place FROM ({_DEPT}) v) t WHERE place <= 10",
-    ),
-    "customers.recency": (
-        f"segment || {_j.place('days_from')}", _j.record(segment=_j.text("segment"), days_from=_j.number("days_from"), customers=_j.number("customers")),
-        f"(SELECT segment, days_from, count(*) AS customers FROM (SELECT segment, CAST(floor(days_since_last_order / 30.0) AS INT) * 30 AS days_from FROM {_RANKED} r WHERE days_since_last_order IS NOT NULL) v GROUP BY segment, days_from) t",
-    ),
-    "customers.top": (
-        f"segment || {_j.place('place')}",
-        _j.record(segment=_j.text("segment"), rank=_j.number("place"), name=_j.text("full_name"), id=_j.text("customer_id"), city=_j.text("city"), customer_segment=_j.text("customer_segment"), orders=_j.number("orders"), total_spent=_j.number("total_spent"), last_order=_j.text("last_order_date")),
-        f"(SELECT *, row_number() OVER (PARTITION BY segment ORDER BY total_spent DESC, customer_id) AS place FROM {_RANKED} r WHERE total_spent > 0) t WHERE place <= 20",
-    ),
-    "quality.run_id": ("'0'", _j.text("max(run_id)"), "{q_quality} t"),
-    "quality.checked_at": ("'0'", _j.text("max(checked_at)"), "{q_quality} t"),
-    "quality.checks": (
-        "checked_table || check_name", _j.record(**{"table": _j.text("checked_table"), "check": _j.text("check_name")}, **{n: _j.text(n) for n in ("layer", "dimension", "severity", "status", "description")}), "{q_quality} t WHERE is_latest_run",
-    ),
-    "quality.rejects": ("lpad(CAST(999999999 - rejected AS STRING), 9, '0') || source || reason", _j.record(source=_j.text("source"), reason=_j.text("reason"), rejected=_j.number("rejected")), "{mart_rejects} t WHERE is_latest_run"),
-}
+
+
+def _sections(text: Callable[[str], str]) -> dict[str, tuple[str, str, str]]:
+    """Order, item and source of each section; text gives the SQL of a JSON string."""
+    return {
+        "first_day": ("'0'", text("first_day"), _BOUNDS),
+        "last_day": ("'0'", text("last_day"), _BOUNDS),
+        "channels": (_j.place("i"), text("channel_name"), f"{_INDEX_CHANNEL} t"),
+        "categories": (_j.place("i"), text("category"), f"{_INDEX_CATEGORY} t"),
+        "products": (_j.place("t.i"), _j.array(text("product_name"), _j.number("k.i")), f"{{product_index}} t JOIN {_INDEX_CATEGORY} k ON k.category = t.category"),
+        "statuses": (_j.place("i"), text("order_status"), f"{_INDEX_STATUS} t"),
+        "payments": (_j.place("i"), text("payment_method"), f"{_INDEX_PAYMENT} t"),
+        **{f"columns.{n}": ("'0'", "'[' || " + " || ',' || ".join(f"chr(34) || '{x}' || chr(34)" for x in c) + " || ']'", "(SELECT 1 AS one) t") for n, c in dashboard.COLUMNS.items()},
+        "sales": (
+            _j.place("d", "ch", "cat"), _j.array(*map(_j.number, ("d", "ch", "cat", "net", "units", "gross", "disc", "orders"))),
+            f"(SELECT {_D} AS d, ch.i AS ch, k.i AS cat, {NET} AS net, {UNITS} AS units, coalesce({GROSS}, 0) AS gross, coalesce({DISC}, 0) AS disc, {ORDERS} AS orders FROM {{fct_sales}} f CROSS JOIN {_BOUNDS} {_CH} {_CAT} GROUP BY {_D}, ch.i, k.i) t",
+        ),
+        "sales_orders": (_j.place("d", "ch"), _j.array(*map(_j.number, ("d", "ch", "orders"))), f"(SELECT {_D} AS d, ch.i AS ch, {ORDERS} AS orders FROM {{fct_sales}} f CROSS JOIN {_BOUNDS} {_CH} GROUP BY {_D}, ch.i) t"),
+        "product_sales": (
+            _j.place("d", "ch", "p"), _j.array(*map(_j.number, ("d", "ch", "p", "net", "units"))),
+            f"(SELECT {_D} AS d, ch.i AS ch, x.i AS p, {NET} AS net, {UNITS} AS units FROM {{fct_sales}} f CROSS JOIN {_BOUNDS} {_CH} JOIN {{product_index}} x ON x.product_key = f.product_key GROUP BY {_D}, ch.i, x.i HAVING sum(units_sold) > 0) t",
+        ),
+        "orders": (
+            _j.place("d", "ch", "st", "pay"), _j.array(*map(_j.number, ("d", "ch", "st", "pay", "n", "cancelled", "returned", "billed", "shipping", "hours_sum", "hours_n", "days_sum", "days_n"))),
+            f"""(SELECT {_D} AS d, ch.i AS ch, st.i AS st, pm.i AS pay, count(*) AS n, {_CAN} AS cancelled, {_RET} AS returned, {money('sum(billed_amount)')} AS billed, coalesce({_SHIP}, 0) AS shipping, coalesce({_LONG('hours_to_ship', 1)}, 0) AS hours_sum, count(hours_to_ship) AS hours_n,
+            coalesce({_LONG('days_to_deliver', 2)}, 0) AS days_sum, count(days_to_deliver) AS days_n FROM {{fct_orders}} f CROSS JOIN {_BOUNDS} {_CH} JOIN {_INDEX_STATUS} st ON st.order_status = f.order_status JOIN {_INDEX_PAYMENT} pm ON pm.payment_method = f.payment_method GROUP BY {_D}, ch.i, st.i, pm.i) t""",
+        ),
+        "events": (_j.place("d"), _j.record(day=_j.number("d"), sales_event=text("sales_event"), holiday=text("holiday_name")), f"(SELECT CAST(date_day - first_day AS INT) AS d, sales_event, holiday_name FROM {{dim_dates}} CROSS JOIN {_BOUNDS} WHERE date_day BETWEEN first_day AND last_day AND (is_sales_event OR is_public_holiday)) t"),
+        "customers.segments": (
+            "segment", _j.record(segment=text("segment"), **{n: _j.number(n) for n in ("customers", "buyers", "repeat_buyers", "lifetime_spend")}),
+            f"(SELECT {_ALL} AS segment, count(*) AS customers, {_BUY} AS buyers, {_REP} AS repeat_buyers, {money('sum(total_spent)')} AS lifetime_spend FROM {{mart_customers}} GROUP BY GROUPING SETS ((), (customer_segment))) t",
+        ),
+        "customers.departments": (
+            f"segment || {_j.place('place')}", _j.record(segment=text("segment"), department=text("department_code"), net_sales=_j.number("net")),
+            f"(SELECT *, row_number() OVER (PARTITION BY segment ORDER BY net DESC, department_code) AS place FROM ({_DEPT}) v) t WHERE place <= 10",
+        ),
+        "customers.recency": (
+            f"segment || {_j.place('days_from')}", _j.record(segment=text("segment"), days_from=_j.number("days_from"), customers=_j.number("customers")),
+            f"(SELECT segment, days_from, count(*) AS customers FROM (SELECT segment, CAST(floor(days_since_last_order / 30.0) AS INT) * 30 AS days_from FROM {_RANKED} r WHERE days_since_last_order IS NOT NULL) v GROUP BY segment, days_from) t",
+        ),
+        "customers.top": (
+            f"segment || {_j.place('place')}",
+            _j.record(segment=text("segment"), rank=_j.number("place"), name=text("full_name"), id=text("customer_id"), city=text("city"), customer_segment=text("customer_segment"), orders=_j.number("orders"), total_spent=_j.number("total_spent"), last_order=text("last_order_date")),
+            f"(SELECT *, row_number() OVER (PARTITION BY segment ORDER BY total_spent DESC, customer_id) AS place FROM {_RANKED} r WHERE total_spent > 0) t WHERE place <= 20",
+        ),
+        "quality.run_id": ("'0'", text("max(run_id)"), "{q_quality} t"),
+        "quality.checked_at": ("'0'", text("max(checked_at)"), "{q_quality} t"),
+        "quality.checks": (
+            "checked_table || check_name", _j.record(**{"table": text("checked_table"), "check": text("check_name")}, **{n: text(n) for n in ("layer", "dimension", "severity", "status", "description")}), "{q_quality} t WHERE is_latest_run",
+        ),
+        "quality.rejects": ("lpad(CAST(999999999 - rejected AS STRING), 9, '0') || source || reason", _j.record(source=text("source"), reason=text("reason"), rejected=_j.number("rejected")), "{mart_rejects} t WHERE is_latest_run"),
+    }
+
+
+def _rows(text: Callable[[str], str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS section, {sort} AS sort, {item} AS item FROM {source}" for n, (sort, item, source) in _sections(text).items())
+
+
 _FRAMES = "fct_sales fct_orders dim_channels dim_products dim_customers dim_dates mart_customers mart_rejects product_index q_quality".split()
-both("dashboard_json", " UNION ALL ".join(f"SELECT '{n}' AS section, {sort} AS sort, {item} AS item FROM {source}" for n, (sort, item, source) in _SECTIONS.items()), *_FRAMES)
+#: DuckDB writes its strings itself.
+_DUCK = re.sub(r"\{(\w+)\}", r"\1", _rows(lambda x: f"coalesce(CAST(to_json(CAST({x} AS VARCHAR)) AS VARCHAR), 'null')"))
+
+
+def _document(s):
+    return s.spark.sql(_rows(dashboard.text), **{f: getattr(s, f) for f in _FRAMES})
+
+
+query("dashboard_json", _DUCK)(_document)
+query("dashboard_lists", f"SELECT section, '[' || string_agg(item, ',' ORDER BY sort, item) || ']' AS items FROM ({_DUCK}) WHERE section IN ({', '.join(map(repr, dashboard.SHORT))}) GROUP BY section")(lambda s: dashboard.lists(_document(s)))

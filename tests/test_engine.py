@@ -52,6 +52,26 @@ def test_validity_periods_and_lookup(spark):
     assert sorted((r["t"], r["at"] or 0) for r in history.as_of(facts, "t", "f", periods, "k", ["at"]).collect()) == [(d(1), 0), (d(8), 1), (d(9), 0), (d(9), 3)]
 
 
+@pytest.mark.parametrize("bucket_days", [1, 30, 4000])
+def test_lookup_equals_a_range_join(spark, bucket_days):
+    """Many facts of a key, facts at the very instant of a change, ended histories, null keys and instants."""
+    import random
+
+    r, d = random.Random(9), lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(hours=n)
+    versions = []
+    for k in range(6):
+        starts = sorted(r.sample(range(2000), r.randint(0, 9)))
+        ends = [*starts[1:], None if k % 2 else 2100][: len(starts)]
+        versions += [(f"k{k}", d(a), None if b is None else d(b), f"v{k}-{a}" if a % 5 else None) for a, b in zip(starts, ends, strict=True)]
+    instants = [x for _, a, b, _ in versions for x in (a, b) if x] + [d(r.randrange(-50, 2300)) for _ in range(300)]
+    facts = [(i, r.choice(["k0", "k1", "k2", "k3", "k4", "k5", "k9", None]), r.choice([*instants, None]) if i % 20 == 0 else r.choice(instants)) for i in range(600)]
+    f = spark.createDataFrame(facts, "id int, key string, t timestamp_ntz")
+    p = spark.createDataFrame(versions, "k string, valid_from timestamp_ntz, valid_to timestamp_ntz, what string")
+    held = (F.col("key") == F.col("k")) & (F.col("t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to")))
+    expected = sorted(map(tuple, f.join(p, held, "left").select("id", "key", "t", "what").collect()), key=repr)
+    assert sorted(map(tuple, history.as_of(f, "t", "key", p, "k", ["what"], bucket_days).collect()), key=repr) == expected and len(expected) == 600
+
+
 def test_fold_does_not_depend_on_order(spark):
     d = lambda n: dt.datetime(2026, 1, n)
     changes = [("o", "paid", d(2)), ("o", "shipped", d(4)), ("o", "paid", d(1)), ("o", "delivered", d(4))]
@@ -234,6 +254,20 @@ def test_the_document_is_json(spark):
     assert lists + sum(map(len, document["customers"].values())) + 88 + len(document["quality"]["rejects"]) + len(dashboard.SINGLE) == found.count()
 
 
+def test_texts_of_the_document_are_escaped(spark):
+    import json
+
+    from souk.plans import dashboard
+
+    names = ['plain', 'line\nbreak\r\n and\ttab', 'quote " and \\ and / é\u2028', "\x01\x1f", "", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
+    rows = df.selectExpr(f"{dashboard.record(name=dashboard.text('name'), i=dashboard.number('i'))} AS item").collect()
+    assert [json.loads(r["item"]) for r in rows] == [{"name": n, "i": i} for i, n in enumerate(names)]
+    lists = dashboard.lists(df.selectExpr("'channels' AS section", f"{dashboard.place('9 - i')} AS sort", f"{dashboard.text('name')} AS item"))
+    (one,) = lists.collect()
+    assert json.loads(one["items"]) == names[::-1] and one["section"] == "channels"
+
+
 def test_tables_reach_a_database_in_one_transaction(spark, tmp_path):
     from souk.sources.relational import Database, Unmapped, column_type
 
