@@ -356,6 +356,14 @@ def run(spark: SparkSession, todo: Sequence[Check], frames: Mapping[str, Callabl
     return spark.createDataFrame(rows, RESULT)
 
 
+def search(results: DataFrame, text: str = "", status: str | None = None) -> DataFrame:
+    """Results whose table, name, dimension or description holds a text, in any case; of one status only, if that is told."""
+    wanted = text.strip().lower()
+    told = F.lower(F.concat_ws(" ", F.concat_ws(".", "layer", "table_name"), "check_name", "dimension", "description"))
+    found = results.where(F.contains(told, F.lit(wanted))) if wanted else results
+    return found if status is None else found.where(F.col("status") == status)
+
+
 def reject_rates(received: DataFrame, rejects: DataFrame) -> DataFrame:
     """(source, received, rejected, reject_rate_pct): one grouped count for each side, joined."""
     r = rejects.groupBy("source").agg(F.count(F.lit(1)).alias("rejected"))

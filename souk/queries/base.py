@@ -9,7 +9,7 @@ from typing import ClassVar
 from pyspark.sql import DataFrame, SparkSession
 
 from souk.plans import cleaning, gold, marts, star, testdata
-from souk.sources.files import stored
+from souk.sources.files import Files, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,15 +34,15 @@ class Shop:
     """The engine's tables over a folder of driver tables. Each is stored once in a session, when it is first used; whatever
     is asked later reads it, as the warehouse's queries read what the daily jobs have built."""
 
-    _open: ClassVar[dict[tuple[str, str], Shop]] = {}
+    _open: ClassVar[dict[tuple[str, str, str], Shop]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Shop:
-        """The shop of this Spark application and folder."""
-        key = (spark.sparkContext.applicationId, sf_dir)
+        """The shop of this Spark application and folder, as its files are now."""
+        key = (spark.sparkContext.applicationId, sf_dir, Files(spark).stamp(sf_dir))
         if key not in cls._open:
             cls._open[key] = cls(spark, sf_dir)
         cls._open[key].spark = spark

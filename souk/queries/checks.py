@@ -164,6 +164,20 @@ def _(s):
     return s.check_results.groupBy("layer").agg(*[F.count_if(F.col("dimension") == d).alias(d) for d in _DIMENSIONS])
 
 
+@query(
+    "check_search",
+    """SELECT search, layer, table_name, check_name, status FROM all_checks, (VALUES ('not NULL', NULL), ('gold.order', NULL), ('unique', 'passed'), ('', 'failed'), ('no such check', NULL)) AS searches(search, wanted)
+      WHERE (wanted IS NULL OR status = wanted) AND lower(layer || '.' || table_name || ' ' || check_name || ' ' || dimension || ' ' || description) LIKE '%' || lower(search) || '%' ESCAPE '!'""",
+)
+def _(s):
+    """Some searches of the checks, each with what it finds."""
+    out = None
+    for text, status in (("not NULL", None), ("gold.order", None), ("unique", "passed"), ("", "failed"), ("no such check", None)):
+        one = quality.search(s.check_results, text, status).select(F.lit(text).alias("search"), "layer", "table_name", "check_name", "status")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query("freshness", "SELECT check_name, status, observed FROM all_checks WHERE layer = 'bronze'")
 def _(s):
     """How old the newest message, customer load and export file are."""

@@ -46,6 +46,12 @@ class Files:
         fs, p = self._at(path)
         return [x.rsplit("/", 1)[1] for x in self._listed(fs.listStatus(p))] if fs.exists(p) else []
 
+    def stamp(self, path: str) -> str:
+        """A text that changes with the files of a folder: their names, sizes and times."""
+        fs, p = self._at(path)
+        found = fs.listStatus(p) if fs.exists(p) else []
+        return ";".join(sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in found))
+
     def matching(self, pattern: str) -> list[str]:
         """Full paths of the files that a glob names. Names with a comma are not supported."""
         fs, p = self._at(pattern)

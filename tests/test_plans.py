@@ -109,3 +109,11 @@ def test_samples_are_bounded_and_do_not_depend_on_order(spark):
     run = lambda d: quality.run(spark, todo, {"x.t": lambda: d}, "r", dt.datetime(2026, 1, 1)).first()
     one, two = run(df), run(df.repartition(7).orderBy(F.desc("v")))
     assert one["sample"] == two["sample"] and one["sample"].count('"bad') == quality.SAMPLES and one["unexpected_count"] == 5000
+
+
+def test_checks_are_searched(spark):
+    rows = [("gold", "orders", "id_not_null", "completeness", "each row has an ID", "passed"), ("gold", "lines", "amount", "validity", "100% of rows", "failed"), ("silver", "orders", "id_unique", "uniqueness", "no two rows share an id", "failed")]
+    df = spark.createDataFrame(rows, "layer string, table_name string, check_name string, dimension string, description string, status string")
+    found = lambda *told: sorted(r["check_name"] for r in quality.search(df, *told).collect())
+    assert found() == ["amount", "id_not_null", "id_unique"] and found(" AN ID ") == ["id_not_null", "id_unique"] and found("gold.orders") == ["id_not_null"]
+    assert found("id", "failed") == ["amount", "id_unique"] and found("100%") == ["amount"] and found("_", "passed") == ["id_not_null"] and found("%%") == []
