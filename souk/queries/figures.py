@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from souk.operators import series
 from souk.operators.joins import with_scalar
 from souk.operators.rows import top_per_group
-from souk.plans import measures
+from souk.plans import cubes, measures
 from souk.queries.base import both, query
 
 
@@ -23,6 +25,11 @@ def share(part: str, whole: str, digits: int = 6) -> str:
     return f"round(CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0), {digits})"
 
 
+def plain(sql: str) -> str:
+    """A text of both engines as an oracle of frames."""
+    return re.sub(r"\{(\w+)\}", r"\1", sql)
+
+
 NET, UNITS = money("sum(net_sales_amount)"), count("sum(units_sold)")
 ORDERS = "count(DISTINCT CASE WHEN NOT is_cancelled THEN order_id END)"
 GROSS, DISC = (money(f"sum({c}) FILTER (WHERE NOT is_cancelled)") for c in ("gross_amount", "discount_amount"))
@@ -64,24 +71,22 @@ _INDEX_CATEGORY = "(SELECT category, CAST(row_number() OVER (ORDER BY net DESC,
 _INDEX_STATUS = "(SELECT order_status, CAST(row_number() OVER (ORDER BY CASE order_status WHEN 'created' THEN 1 WHEN 'paid' THEN 2 WHEN 'shipped' THEN 3 WHEN 'delivered' THEN 4 WHEN 'returned' THEN 5 WHEN 'cancelled' THEN 6 ELSE 7 END, order_status) - 1 AS INT) AS i FROM (SELECT DISTINCT order_status FROM {fct_orders}) t)"
 _INDEX_PAYMENT = "(SELECT payment_method, CAST(row_number() OVER (ORDER BY n DESC, payment_method NULLS LAST) - 1 AS INT) AS i FROM (SELECT payment_method, count(*) AS n FROM {fct_orders} GROUP BY payment_method) t)"
 _DAY = "CAST(order_date AS STRING)"
-both("dim_index", f"SELECT 'channel' AS kind, channel_name AS name, i FROM {_INDEX_CHANNEL} a UNION ALL SELECT 'category', category, i FROM {_INDEX_CATEGORY} b", "dim_channels", "dim_products", "fct_sales")
-both("status_index", f"SELECT order_status, i FROM {_INDEX_STATUS} a", "fct_orders")
-both("cube_sales", f"SELECT order_date, ch.i AS channel_i, k.i AS category_i, {NET} AS net, {UNITS} AS units, coalesce({GROSS}, 0) AS gross, coalesce({DISC}, 0) AS discounts, {ORDERS} AS orders FROM {{fct_sales}} s JOIN {_INDEX_CHANNEL} ch ON ch.channel = s.channel JOIN {{dim_products}} p ON p.product_key = s.product_key JOIN {_INDEX_CATEGORY} k ON k.category = p.category GROUP BY order_date, ch.i, k.i", "fct_sales", "dim_channels", "dim_products")
-both("cube_sales_orders", f"SELECT order_date, ch.i AS channel_i, {ORDERS} AS orders FROM {{fct_sales}} s JOIN {_INDEX_CHANNEL} ch ON ch.channel = s.channel GROUP BY order_date, ch.i", "fct_sales", "dim_channels")
-both("cube_product_sales", f"SELECT order_date, ch.i AS channel_i, product_id, {NET} AS net, {UNITS} AS units FROM {{fct_sales}} s JOIN {_INDEX_CHANNEL} ch ON ch.channel = s.channel JOIN {{dim_products}} p ON p.product_key = s.product_key GROUP BY order_date, ch.i, product_id HAVING sum(units_sold) > 0", "fct_sales", "dim_channels", "dim_products")
+query("dim_index", plain(f"SELECT 'channel' AS kind, channel_name AS name, i FROM {_INDEX_CHANNEL} a UNION ALL SELECT 'category', category, i FROM {_INDEX_CATEGORY} b"))(lambda s: cubes.channel_index(s.dim_channels, s.fct_sales).select(F.lit("channel").alias("kind"), F.col("channel_name").alias("name"), "i").unionAll(cubes.category_index(s.dim_products, s.fct_sales).select(F.lit("category"), "category", "i")))
+query("status_index", plain(f"SELECT order_status, i FROM {_INDEX_STATUS} a"))(lambda s: cubes.status_index(s.fct_orders))
+query("cube_sales", plain(f"SELECT order_date, ch.i AS channel_i, k.i AS category_i, {NET} AS net, {UNITS} AS units, coalesce({GROSS}, 0) AS gross, coalesce({DISC}, 0) AS discounts, {ORDERS} AS orders FROM {{fct_sales}} s JOIN {_INDEX_CHANNEL} ch ON ch.channel = s.channel JOIN {{dim_products}} p ON p.product_key = s.product_key JOIN {_INDEX_CATEGORY} k ON k.category = p.category GROUP BY order_date, ch.i, k.i"))(lambda s: cubes.sales(s.fct_sales, s.dim_channels, s.dim_products))
+query("cube_sales_orders", plain(f"SELECT order_date, ch.i AS channel_i, {ORDERS} AS orders FROM {{fct_sales}} s JOIN {_INDEX_CHANNEL} ch ON ch.channel = s.channel GROUP BY order_date, ch.i"))(lambda s: cubes.sales_orders(s.fct_sales, s.dim_channels))
+query("cube_product_sales", plain(f"SELECT order_date, ch.i AS channel_i, product_id, {NET} AS net, {UNITS} AS units FROM {{fct_sales}} s JOIN {_INDEX_CHANNEL} ch ON ch.channel = s.channel JOIN {{dim_products}} p ON p.product_key = s.product_key GROUP BY order_date, ch.i, product_id HAVING sum(units_sold) > 0"))(lambda s: cubes.product_sales(s.fct_sales, s.dim_channels, s.dim_products))
 both("having", f"SELECT product_key, {UNITS} AS units FROM {{fct_sales}} GROUP BY product_key HAVING sum(units_sold) > 500", "fct_sales")
-both(
-    "cube_orders",
+query("cube_orders", plain(
     f"""SELECT order_date, ch.i AS channel_i, st.i AS status_i, pm.i AS payment_i, count(*) AS n, {_CAN} AS cancelled, {_RET} AS returned, {money('sum(billed_amount)')} AS billed, coalesce({_SHIP}, 0) AS shipping, {money('coalesce(sum(hours_to_ship), 0)')} AS hours_sum, count(hours_to_ship) AS hours_n,
-    {money('coalesce(sum(days_to_deliver), 0)')} AS days_sum, count(days_to_deliver) AS days_n FROM {{fct_orders}} o JOIN {_INDEX_CHANNEL} ch ON ch.channel = o.channel JOIN {_INDEX_STATUS} st ON st.order_status = o.order_status JOIN {_INDEX_PAYMENT} pm ON pm.payment_method = o.payment_method GROUP BY order_date, ch.i, st.i, pm.i""",
-    "fct_orders", "fct_sales", "dim_channels",
-)
-both("event_days", f"SELECT date_day, sales_event, holiday_name FROM {{dim_dates}} CROSS JOIN {_BOUNDS} WHERE date_day BETWEEN first_day AND last_day AND (is_sales_event OR is_public_holiday)", "dim_dates", "fct_sales")
+    {money('coalesce(sum(days_to_deliver), 0)')} AS days_sum, count(days_to_deliver) AS days_n FROM {{fct_orders}} o JOIN {_INDEX_CHANNEL} ch ON ch.channel = o.channel JOIN {_INDEX_STATUS} st ON st.order_status = o.order_status JOIN {_INDEX_PAYMENT} pm ON pm.payment_method = o.payment_method GROUP BY order_date, ch.i, st.i, pm.i"""
+))(lambda s: cubes.orders(s.fct_orders, s.fct_sales, s.dim_channels))
+query("event_days", plain(f"SELECT date_day, sales_event, holiday_name FROM {{dim_dates}} CROSS JOIN {_BOUNDS} WHERE date_day BETWEEN first_day AND last_day AND (is_sales_event OR is_public_holiday)"))(lambda s: cubes.event_days(s.dim_dates, s.fct_sales))
 _ALL = "CASE WHEN grouping(customer_segment) = 1 THEN 'All' ELSE customer_segment END"
-both("segments", f"SELECT {_ALL} AS segment, count(*) AS customers, {_BUY} AS buyers, {_REP} AS repeat_buyers, {money('sum(total_spent)')} AS lifetime_spend FROM {{mart_customers}} GROUP BY GROUPING SETS ((), (customer_segment))", "mart_customers")
+query("segments", plain(f"SELECT {_ALL} AS segment, count(*) AS customers, {_BUY} AS buyers, {_REP} AS repeat_buyers, {money('sum(total_spent)')} AS lifetime_spend FROM {{mart_customers}} GROUP BY GROUPING SETS ((), (customer_segment))"))(lambda s: cubes.segments(s.mart_customers))
 _DEPT = f"SELECT {_ALL} AS segment, c.department_code, {NET} AS net FROM {{fct_sales}} f JOIN {{dim_customers}} c ON c.customer_key = f.customer_key LEFT JOIN {{mart_customers}} m ON m.customer_key = f.customer_key WHERE c.department_code IS NOT NULL GROUP BY GROUPING SETS ((c.department_code), (c.department_code, customer_segment))"
-both("dept_by_segment", _DEPT, "fct_sales", "dim_customers", "mart_customers")
-both("top_departments", f"SELECT segment, department_code, net, place FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY net DESC, department_code) AS place FROM ({_DEPT}) t) u WHERE place <= 10", "fct_sales", "dim_customers", "mart_customers")
+query("dept_by_segment", plain(_DEPT))(lambda s: cubes.departments(s.fct_sales, s.dim_customers, s.mart_customers))
+query("top_departments", plain(f"SELECT segment, department_code, net, place FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY net DESC, department_code) AS place FROM ({_DEPT}) t) u WHERE place <= 10"))(lambda s: cubes.top_departments(s.fct_sales, s.dim_customers, s.mart_customers))
 
 
 @query("recency_hist", "SELECT CASE WHEN grouping(customer_segment) = 1 THEN 'All' ELSE customer_segment END AS segment, (d * 30)::INT AS days_from, count(*) AS customers FROM (SELECT customer_segment, days_since_last_order // 30 AS d FROM mart_customers WHERE days_since_last_order IS NOT NULL) GROUP BY GROUPING SETS ((d), (d, customer_segment))")
