@@ -9,7 +9,7 @@ whole corpus fits no machine, so strings are first brought together with all the
    segment is packed in 14 bytes: hash, content hash, document, place and length.
 3. Where one hash has several different segments in several documents, these segments' bytes are brought together by the
    hash, and the Burrows-Wheeler expansion of souk.llm.suffix finds all strings that they share. It compares the bytes
-   themselves. Of each set of equal strings, all those outside the smallest document are hits.
+   themselves, of those parts of the segments whose strings' hashes occur twice. Of each set of equal strings, all those outside the smallest document are hits.
 4. Covered segments and hits are merged into maximal runs of bytes for each document.
 
 Groups stay small whatever the skew. A segment that a third of all documents hold is one entry for each slice of documents
@@ -260,6 +260,31 @@ def _strings(data: list[bytes], documents: np.ndarray, owner: np.ndarray, begin:
     return at[~later], of[~later], keys[~later], (of[later], at[later])
 
 
+def thinned(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of a text that strings cover which may occur twice: (parts, a sentinel behind each; where each begins; where it began).
+
+    starts: where the pieces of text begin, and its size; a sentinel ends each piece. Strings are counted by three parts of a hash, so none that
+    occurs twice is lost, and a few that occur once stay for the transform to tell."""
+    places = np.ones(text.size, bool)
+    places[(starts[1:, None] - 1 - np.arange(length)).ravel()] = False
+    places = np.flatnonzero(places)
+    keys = _block_hashes(text, length)[places]
+    last = np.uint64((1 << (4 * keys.size).bit_length()) - 1)
+    for shift in (0, 20, 40):
+        slots = (keys >> np.uint64(shift) & last).astype(np.int64)
+        twice = np.bincount(slots)[slots] > 1 if slots.size else np.zeros(0, bool)
+        places, keys = places[twice], keys[twice]
+    edges = np.bincount(places, minlength=text.size + 1) - np.bincount(places + length, minlength=text.size + 1)
+    covered = np.cumsum(edges)[:-1] > 0
+    begin, end = runs(covered)
+    at = np.concatenate([[0], np.cumsum(end - begin + 1)])
+    out = np.full(int(at[-1]), SENTINEL, np.uint8)
+    inside = np.ones(out.size, bool)
+    inside[at[1:] - 1] = False
+    out[inside] = text[covered]
+    return out, at, begin
+
+
 def compare_segments(joined: DataFrame, length: int, n_tasks: int) -> DataFrame:
     """(_id, _digest, _edges): bytes of the open segments that strings in smaller documents cover. joined: documents with their marks."""
     n_buckets = BUCKETS_PER_PARTITION * n_tasks
@@ -308,7 +333,10 @@ def compare_segments(joined: DataFrame, length: int, n_tasks: int) -> DataFrame:
             inside = np.ones(text.size, bool)
             inside[starts[1:] - 1] = False
             text[inside] = np.frombuffer(b"".join(c[4] for c in cells), np.uint8)
-            places, groups = shared_prefix_groups(text, length)
+            kept, kept_at, kept_from = thinned(text, starts, length)
+            places, groups = shared_prefix_groups(kept, length)
+            part = _Slice.owners(kept_at, places)
+            places = places - kept_at[part] + kept_from[part]
             segment = _Slice.owners(starts, places)
             smallest = np.full(int(groups.max(initial=0)) + 1, np.iinfo(np.int64).max)
             np.minimum.at(smallest, groups, doc[segment])

@@ -188,6 +188,24 @@ def test_shared_prefix_groups(seed):
     assert {tuple(sorted(x)) for x in got.values()} == {tuple(x) for x in where.values() if len(x) > 1}
 
 
+def test_thinned_text_keeps_all_repeats():
+    """What is left for the transform is small where little repeats, and gives the same strings."""
+    rng, length = np.random.default_rng(5), 50
+    shared = rng.integers(97, 123, 130).astype(np.uint8)
+    pieces = [rng.integers(97, 123, n).astype(np.uint8) for n in (50, 51, 400, 3000, 700)]
+    pieces = [np.concatenate([p, shared[:k], p[:20]]) for p, k in zip(pieces, (130, 49, 50, 130, 90), strict=True)] + [pieces[0], np.full(300, 97, np.uint8)]
+    text = np.concatenate([np.append(p, np.uint8(SENTINEL)) for p in pieces])
+    starts = np.concatenate([[0], np.cumsum([p.size + 1 for p in pieces])])
+    kept, at, begin = op03_suffix_dedup.thinned(text, starts, length)
+    places, groups = shared_prefix_groups(kept, length)
+    part = np.searchsorted(at, places, side="right") - 1
+    sets = lambda places, groups: {tuple(sorted(places[groups == g].tolist())) for g in np.unique(groups)}
+    assert sets(places - at[part] + begin[part], groups) == sets(*shared_prefix_groups(text, length))
+    assert kept.size < text.size / 2
+    alone = np.append(pieces[3][:3000], np.uint8(SENTINEL))
+    assert op03_suffix_dedup.thinned(alone, np.array([0, alone.size]), length)[0].size < alone.size / 2
+
+
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_suffix_dedup(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(op03_suffix_dedup, "HOT", hot)
