@@ -31,3 +31,22 @@ def test_days_of_products_meet_no_shuffle(spark, monkeypatch):
 def test_the_feature_table_makes_what_a_query_asks_for(spark):
     """A sum of units needs no window over the days."""
     assert "Window" not in plan(Shop.of(spark, SMALL).mart_features.groupBy().sum("units_sold"))
+
+
+def test_tables_are_dealt_out_once(spark):
+    """Lines by their order in silver, sales by their product in demand, versions by their record."""
+    from souk.operators import history
+
+    s = Shop.of(spark, SMALL)
+    one_product = marts.daily_demand(s.fct_sales)
+    assert shuffled(one_product) == 1
+    versions = spark.createDataFrame([("a", 1, 0, 1)], "k string, at int, made int, n int")
+    assert shuffled(history.validity_periods(versions, "k", "at", "made", [versions["n"].desc()])) == 1
+
+
+def test_lines_of_silver_are_dealt_out_by_order(spark, monkeypatch):
+    """Copies of a line, what ships an order and the order itself meet where its lines are."""
+    made = []
+    monkeypatch.setattr("souk.queries.base.stored", lambda df, name: made.append(df) or df)
+    Shop(spark, SMALL).silver_lines  # noqa: B018
+    assert "l_linenumber" not in "".join(x for x in plan(made[0]).split("\n") if "Exchange hashpartitioning" in x)
