@@ -50,3 +50,16 @@ def test_lines_of_silver_are_dealt_out_by_order(spark, monkeypatch):
     monkeypatch.setattr("souk.queries.base.stored", lambda df, name: made.append(df) or df)
     Shop(spark, SMALL).silver_lines  # noqa: B018
     assert "l_linenumber" not in "".join(x for x in plan(made[0]).split("\n") if "Exchange hashpartitioning" in x)
+
+
+def test_keys_are_counted_without_what_rows_refer_to(spark, monkeypatch):
+    import datetime as dt
+
+    from souk.plans import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "_key_counts", lambda df, text: seen.append(df.columns) or (0, 0))
+    child, parent = spark.createDataFrame([(1, 2)], "id int, of int"), spark.createDataFrame([(2,)], "of int")
+    own = quality.parse("a.child\n  unique  uniqueness  error  key: id\n  known  consistency  error  found: of IN a.parent")
+    found = quality.look(child, own, {"a.parent": lambda: parent}, dt.datetime(2001, 8, 2))
+    assert seen == [["id", "of"]] and found[own[1]].unexpected == 0
