@@ -63,3 +63,27 @@ def test_keys_are_counted_without_what_rows_refer_to(spark, monkeypatch):
     own = quality.parse("a.child\n  unique  uniqueness  error  key: id\n  known  consistency  error  found: of IN a.parent")
     found = quality.look(child, own, {"a.parent": lambda: parent}, dt.datetime(2001, 8, 2))
     assert seen == [["id", "of"]] and found[own[1]].unexpected == 0
+
+
+def test_export_rows_are_dealt_out_by_product_and_by_order(spark, monkeypatch):
+    """Copies are looked for among rejects only, and rows meet products without being sorted."""
+    from souk.plans import cleaning
+
+    made, s = {}, Shop.of(spark, SMALL)
+    monkeypatch.setattr(cleaning, "stored", lambda df, name: made.setdefault(name, df))
+    export, catalogue = s.bronze_export, s.catalogue
+    lines = cleaning.marketplace_lines(export, catalogue)[0]
+    judged = plan(made["judged-export"]).split("== Initial Plan ==")[-1]
+    assert "SortMergeJoin" not in judged and "Aggregate" not in judged.replace("HashAggregate(keys=[_ref", "")
+    assert shuffled(lines) == shuffled(made["judged-export"]) + 1
+
+
+def test_copies_of_export_rows_change_nothing(spark):
+    from souk.plans import cleaning
+
+    s = Shop.of(spark, SMALL)
+    once = cleaning.marketplace_lines(s.bronze_export, s.catalogue)
+    twice = cleaning.marketplace_lines(s.bronze_export.unionByName(s.bronze_export), s.catalogue)
+    for a, b in zip(once, twice, strict=True):
+        a, b = a.drop("rejected_at"), b.drop("rejected_at")
+        assert a.count() == b.count() and a.exceptAll(b).isEmpty()
