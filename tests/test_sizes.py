@@ -87,3 +87,14 @@ def test_copies_of_export_rows_change_nothing(spark):
     for a, b in zip(once, twice, strict=True):
         a, b = a.drop("rejected_at"), b.drop("rejected_at")
         assert a.count() == b.count() and a.exceptAll(b).isEmpty()
+
+
+def test_the_document_reads_the_facts_once(spark, monkeypatch):
+    """What its sections share is made once; sales that no product tells are summed over orders."""
+    from souk.plans import quality
+    from souk.queries import checks, document  # noqa: F401  checks names the results
+
+    monkeypatch.setattr(Shop, "check_results", property(lambda s: s.spark.createDataFrame([], quality.RESULT)))
+    Shop.of(spark, SMALL).__dict__.pop("check_results", None)
+    read = document._document(Shop.of(spark, SMALL))._jdf.queryExecution().analyzed().toString()
+    assert len([x for x in read.split("\n") if "Relation [" in x and "line_number" in x]) == 1
