@@ -98,3 +98,23 @@ def test_the_document_reads_the_facts_once(spark, monkeypatch):
     Shop.of(spark, SMALL).__dict__.pop("check_results", None)
     read = document._document(Shop.of(spark, SMALL))._jdf.queryExecution().analyzed().toString()
     assert len([x for x in read.split("\n") if "Relation [" in x and "line_number" in x]) == 1
+
+
+def test_the_store_is_asked_for_buckets_of_orders(spark):
+    """A batch of a hundred orders of a bucket reads and writes its state once and sets one timer; so does its end."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from souk.streaming import stateful
+
+    asked, kept = [], {}
+    state = SimpleNamespace(get=lambda: asked.append("get") or kept.get("v"), update=lambda v: asked.append("update") or kept.update(v=v), clear=lambda: asked.append("clear") or kept.clear(), exists=lambda: asked.append("exists") or "v" in kept)
+    handle = SimpleNamespace(getValueState=lambda *_: state, registerTimer=lambda t: asked.append(f"at {t}"), deleteTimer=lambda t: asked.append("not"))
+    p = stateful.OrderStates(10)
+    p.init(handle)
+    rows = [Row(order_id=f"o{i}", status="paid", us=i * 1000) for i in range(100)]
+    assert len(list(p.handleInputRows((0,), iter(rows), None))) == 100 and asked == ["get", "at 10", "update"]
+    asked.clear()
+    closed = list(p.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 50), SimpleNamespace(getExpiryTimeInMs=lambda: 10)))
+    assert sorted(r["order_id"] for r in closed) == sorted(f"o{i}" for i in range(41)) and all(r["closed"] for r in closed) and asked == ["get", "at 51", "update"]
