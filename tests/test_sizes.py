@@ -118,3 +118,18 @@ def test_the_store_is_asked_for_buckets_of_orders(spark):
     asked.clear()
     closed = list(p.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 50), SimpleNamespace(getExpiryTimeInMs=lambda: 10)))
     assert sorted(r["order_id"] for r in closed) == sorted(f"o{i}" for i in range(41)) and all(r["closed"] for r in closed) and asked == ["get", "at 51", "update"]
+
+
+def test_features_are_made_by_stretches_of_days(spark):
+    """The summary makes no row for each day, a stretch's features are those of its days, and no list is made twice to ask whether it is empty."""
+    from pyspark.sql import functions as F
+
+    from souk.queries import models  # noqa: F401
+    from souk.queries.base import QUERIES
+
+    s = Shop.of(spark, SMALL)
+    made = plan(QUERIES["demand_features"](spark, SMALL))
+    assert "Window [" not in made.split("BroadcastExchange")[0] and made.count("Generate explode") == 1 and "size(transform" not in made
+    stretches = marts.demand_stretches(s.dim_products, s.fct_sales)
+    days = marts.demand_features(s.dim_products, s.fct_sales, s.dim_dates)
+    assert stretches.count() * 3 < days.count() == stretches.agg(F.sum(F.expr("_last - _first + 1"))).first()[0]
