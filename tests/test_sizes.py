@@ -133,3 +133,15 @@ def test_features_are_made_by_stretches_of_days(spark):
     stretches = marts.demand_stretches(s.dim_products, s.fct_sales)
     days = marts.demand_features(s.dim_products, s.fct_sales, s.dim_dates)
     assert stretches.count() * 3 < days.count() == stretches.agg(F.sum(F.expr("_last - _first + 1"))).first()[0]
+
+
+def test_the_grain_of_features_is_told_by_stretches(spark):
+    """Days that two stretches of a product hold are rows twice and product days once; no row is made for a day."""
+    from souk.queries import checks  # noqa: F401
+    from souk.queries.base import QUERIES
+
+    rows = [("a", "2000-01-01", 0, 4), ("a", "2000-01-01", 3, 9), ("a", "2000-01-01", 20, 20), ("b", "2000-01-01", 0, 0), ("b", "2000-01-01", 0, 0), ("c", "2000-01-03", 0, 1), ("c", "2000-01-01", 0, 9)]
+    stretches = spark.createDataFrame(rows, "product_key string, first_day string, _first int, _last int").selectExpr("product_key", "CAST(first_day AS DATE) AS first_day", "_first", "_last")
+    assert tuple(marts.feature_grain(stretches).first()) == (5 + 7 + 1 + 2 + 2 + 10, 11 + 1 + 10)
+    for name in ("reconcile_feature_grain", "reconcile_demand_units"):
+        assert "sequence(_first" not in plan(QUERIES[name](spark, SMALL))
