@@ -145,3 +145,18 @@ def test_the_grain_of_features_is_told_by_stretches(spark):
     assert tuple(marts.feature_grain(stretches).first()) == (5 + 7 + 1 + 2 + 2 + 10, 11 + 1 + 10)
     for name in ("reconcile_feature_grain", "reconcile_demand_units"):
         assert "sequence(_first" not in plan(QUERIES[name](spark, SMALL))
+
+
+def test_a_test_asks_only_for_the_tables_that_it_looks_at(spark):
+    """Rows that fail tests on orders need no facts of lines and no marts; nothing is asked for before rows are."""
+    import datetime as dt
+
+    from souk.plans import warehouse
+
+    asked, orders = [], Shop.of(spark, SMALL).fct_orders
+    tables = {n: (lambda n=n: asked.append(n) or orders) for n in ("fct_orders", "fct_sales", "order_lines", "mart_daily_sales", "mart_product_demand_features")}
+    failing = warehouse.failing_rows(tables, dt.date(2001, 8, 2))
+    assert len(failing) == 10 and not asked
+    for name in ("order_steps", "declared_totals", "no_future_order"):
+        failing[name]()
+    assert set(asked) == {"fct_orders"}
