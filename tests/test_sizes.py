@@ -160,3 +160,17 @@ def test_a_test_asks_only_for_the_tables_that_it_looks_at(spark):
     for name in ("order_steps", "declared_totals", "no_future_order"):
         failing[name]()
     assert set(asked) == {"fct_orders"}
+
+
+def test_references_are_counted_by_key(spark, monkeypatch):
+    """Rows meet no parent: each key does once, with how many rows have it. Null keys are not found."""
+    import datetime as dt
+
+    from souk.plans import quality
+
+    met, flagged = [], quality.flagged
+    monkeypatch.setattr(quality, "flagged", lambda df, *others: met.append((sorted(df.columns), df.count())) or flagged(df, *others))
+    child = spark.createDataFrame([(i, k, "wide") for i, k in enumerate([2, 2, 2, 7, 7, None])], "id int, of int, other string")
+    own = quality.parse("a.child\n  unique  uniqueness  error  key: id\n  known  consistency  error  found: of IN a.parent BY at")
+    seen = quality.look(child, own, {"a.parent": lambda: spark.createDataFrame([(2,), (3,)], "at int")}, dt.datetime(2001, 8, 2))[own[1]]
+    assert met == [(["_rows", "of"], 3)] and (seen.elements, seen.concerned, seen.unexpected, seen.sample) == (6, 6, 3, '["7"]')
